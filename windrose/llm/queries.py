@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .sentencepiece_codec import encode_decode
 from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +29,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -39,11 +45,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op4_substring_dedup, op5_exact_dedup, op8_token_counts, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
