@@ -46,7 +46,8 @@ def merged_runs(rows: DataFrame, n_runs: int, fan_in: int = 16) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of docs."""
     rows = saved(digests(docs, id_col, text_col))
-    groups = merged_runs(rows, rows.rdd.getNumPartitions(), fan_in).select("digest", "n_bytes", "best", "n")
+    # saved, so that both sides of the join are dealt anew and a hot digest can be split
+    groups = saved(merged_runs(rows, rows.rdd.getNumPartitions(), fan_in).select("digest", "n_bytes", "best", "n"))
     return rows.join(groups, ["digest", "n_bytes"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
