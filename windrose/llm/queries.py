@@ -8,6 +8,7 @@ from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .line_dedup import line_dedup_digests
 from .lm_scoring import lm_scores
 from .sentencepiece_codec import encode_decode
 from .simhash import simhash_classes
@@ -42,6 +43,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -101,4 +106,17 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op6_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), win AS (
+            SELECT doc_id, i, md5(array_to_string(l[i : i + 2], chr(10))) AS g
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)
+        ), late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+        ), gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM late
+        ), lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d
+        ), kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n
+            FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }

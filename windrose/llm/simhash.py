@@ -237,3 +237,14 @@ def simhash_classes(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, fingerprint, component_id``; fingerprint: 16 hexadecimal digits."""
     found = simhash_components(docs, **kw)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs, with their columns, that stay: of each group the one with
+    the smallest id, then the earliest row; a null id comes last."""
+    name = "__simhash_row"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    keyed = numbered.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(name).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = simhash_components(keyed, "doc_id", "text", words, distance, seed)
+    stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias(name))
+    return numbered.join(stays, name, "left_semi").drop(name)

@@ -266,6 +266,22 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     return picked.mapInArrow(by_slice(make), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double, predicted int, n_clauses int")
 
 
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = shared.value.scorer() if shared.value else lambda text: (0.0, 0)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            return batch.filter(pa.array([score(t or "")[0] < threshold for t in texts], pa.bool_()))
+
+        return run
+
+    return docs.mapInArrow(by_slice(make, text_col), docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, per_class: int = 3000) -> Model | None:
     """The model of the labelled documents outside the held-out fold."""
     labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
