@@ -309,7 +309,7 @@ def q24_quadrants(spark, sf_dir):
 def q25_latitude_bins(spark, sf_dir):
     """Ten-degree bins; empty ones stay."""
     bins = spark.range(1, 19).select(F.col("id").cast("int").alias("bin"))
-    return rounded(stats.fixed_bins(views.sites(spark, sf_dir), bins, "lat", -90.0, 10.0, "capacity_gw"), 5)
+    return rounded(stats.fixed_bins(views.sites(spark, sf_dir), bins, "lat", -90.0, 10.0, "capacity_gw"), 8)
 
 
 def q25b_decile_bins(spark, sf_dir):

@@ -208,7 +208,7 @@ ORACLE_SQL = {
         SELECT climate_ssp, quadrant, n, round(w, 6) AS weight, round(w / sum(w) OVER (PARTITION BY climate_ssp) * 100, 6) AS share_pct FROM g""",
     "q25_latitude_bins": f"""WITH {_SITE}, b AS (SELECT CAST(ceil((lat + 90.0::DOUBLE) / 10.0::DOUBLE) AS INT) AS bin, cap FROM v_site WHERE lat > -90),
         g AS (SELECT bin, count(*) AS n, quantile_cont(cap, 0.25) AS a, quantile_cont(cap, 0.5) AS b, quantile_cont(cap, 0.75) AS c FROM b GROUP BY bin)
-        SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, round(a, 5) AS q25, round(b, 5) AS q50, round(c, 5) AS q75 FROM range(1, 19) AS r(i) LEFT JOIN g ON i = bin""",
+        SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, round(a, 8) AS q25, round(b, 8) AS q50, round(c, 8) AS q75 FROM range(1, 19) AS r(i) LEFT JOIN g ON i = bin""",
     "q25b_decile_bins": f"""WITH {_SITE}, e AS (SELECT list_sort(list_distinct(quantile_cont(cap, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM v_site),
         b AS (SELECT CAST(greatest(len(list_filter(e, lambda x: x < cap)), 1) AS INT) AS bin, lat FROM v_site, e) SELECT bin, count(*) AS n, round(median(lat), 6) AS q50 FROM b GROUP BY bin""",
     "q26_exposure": f"""WITH {_RISK} SELECT country, technology, deploy_ssp, climate_ssp, target_year, event_type, round(sum(capacity_mw * exposed_hours), 2) AS exposed_capacity_mw_hours, round(sum(exposed), 6) AS exposed_generation_mwh,

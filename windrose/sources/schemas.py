@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 _KEYS = "station_id string, country string, technology string, deploy_ssp string, climate_ssp string, target_year int"
 _COUNTRY_KEYS = "country string, technology string, deploy_ssp string, climate_ssp string, target_year int"
@@ -28,4 +28,12 @@ _DDL = {
     "region_coverage": "year int, region_id string, region_name string, n_total long, n_inside long, n_cover_ratio double, cap_total_gw double, cap_inside_gw double, cap_cover_ratio double",
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType()}
+
+
+def _struct(ddl: str) -> StructType:
+    """As StructType.fromDDL, but without a session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in map(str.split, ddl.split(","))])
+
+
+SCHEMAS = {name: _struct(ddl) for name, ddl in _DDL.items()}
