@@ -186,7 +186,7 @@ def baum_welch(train: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
     return counts.model(prior)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 262_144, rounds: int = 3, starters: int = 300) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 131_072, rounds: int = 3, starters: int = 200) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
     each row of docs.
 
@@ -199,8 +199,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     n_all, total = n_words + ends, float(n_words + ends + n_types + (ends > 0) + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
-    vocabulary = Vocabulary([bytes(r.word) for r in top], [r.n for r in top], symbols)
+    top = counts.orderBy(F.desc("n"), "word").limit(known).toArrow()
+    vocabulary = Vocabulary(top["word"].to_pylist(), top["n"].to_pylist(), symbols)
     del top
     shared = spark.sparkContext.broadcast(vocabulary)  # at most ``known`` words
 
