@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -190,12 +191,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -40, 40))))
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, stems: tuple[int, ...] = (4, 5, 6, 7, 8, 9), clear: float = 2.0, sure: float = 15.0, most: int = 5000) -> Lexicon:
+def learn_lexicon(texts: list[str], toxic: np.ndarray, stems: tuple[int, ...] = (4, 5, 6, 7, 8, 9), clear: float = 0.42, margin: float = 2.0, most: int = 5000) -> Lexicon:
     """Words and stems that tell toxic texts from others, with log odds as weights.
 
-    clear: least log odds; sure: least likelihood ratio statistic of a mark's
-    counts, against marks that are common in toxic texts by chance; a mark is left
-    out where a stem of about the same odds covers it."""
+    clear: least log odds as a share of the strongest mark's; margin: how far a mark's likelihood ratio statistic must
+    lie above what the largest of so many marks reaches by chance; a mark is left out
+    where a stem of about the same odds covers it."""
     count = (Counter(), Counter())
     for text, y in zip(texts, toxic.tolist(), strict=True):
         own = {w for w in _TOKENS.findall(text.lower()) if len(w) > 2}
@@ -203,13 +204,16 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, stems: tuple[int, ...] =
         count[bool(y)].update({w[:n] + "*" for w in own for n in stems if len(w) > n})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     base = np.log([n1 / (n1 + n0), n0 / (n1 + n0)])
+    sure = margin + 2 * np.log(max(2, sum(a >= 3 for a in count[1].values())))
     found = []
     for mark, a in count[1].items():
         b = count[0][mark]
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
         surprise = 2 * (a * (np.log(a / (a + b)) - base[0]) + (b * (np.log(b / (a + b)) - base[1]) if b else 0.0))
-        if odds >= clear and surprise >= sure:
+        if odds > 0 and surprise >= sure:
             found.append((float(odds), float(surprise), mark))
+    least = clear * max((f[0] for f in found), default=0.0)
+    found = [f for f in found if f[0] >= least]
     longer: Counter[str] = Counter()  # of a stem: the most toxic texts that one longer mark has
     for mark, a in count[1].items():
         word = mark.rstrip("*")
@@ -226,9 +230,29 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, stems: tuple[int, ...] =
     return Lexicon(words, prefixes)
 
 
+def unlike(rows: list[tuple[str, int]], hashes: int = 4, same: int = 2) -> list[tuple[str, int]]:
+    """One text of each group of copies, so that a mark's counts are of texts that
+    were written apart: a later text goes if ``same`` of its minimum hashes of three
+    words are those of one earlier text."""
+    owner: dict[tuple[int, int], int] = {}
+    out = []
+    for k, (text, y) in enumerate(rows):
+        words = text.lower().split()
+        own = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint64)
+        marks = [(i, int(((own * np.uint64(2654435761 + 2 * i) + np.uint64(97 * i)) % np.uint64((1 << 31) - 1)).min())) for i in range(hashes)]
+        seen = Counter(owner[m] for m in marks if m in owner)
+        if seen and seen.most_common(1)[0][1] >= same:
+            continue
+        out.append((text, y))
+        for m in marks:
+            owner.setdefault(m, k)
+    return out
+
+
 def fit(rows: list[tuple[str, int]], share: float | None = None, ridge: float = 1.0, rounds: int = 25) -> Model | None:
     """The model of (text, label) rows; share: that of label 1 among all labelled
     rows, where the sample isn't drawn in proportion."""
+    rows = unlike(rows)
     if not rows:
         return None
     texts, toxic = [t for t, _ in rows], np.array([int(y) for _, y in rows])
