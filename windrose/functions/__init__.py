@@ -1 +1 @@
-
+"""Expressions: functions from Column to Column, and fixed values."""

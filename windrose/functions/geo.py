@@ -20,7 +20,7 @@ def to_360(lon: Column) -> Column:
 
 
 def pv_density(lat: Column) -> Column:
-    """MW per square kilometre at a latitude: panel output over the row spacing
+    """MW per square kilometre at a latitude: panel output over the row spacing
     that keeps rows unshaded at the winter solstice."""
     tilt = F.radians(K.PV_TILT[0] * F.abs(lat) + K.PV_TILT[1])
     low_sun = F.radians(F.greatest(90.0 - F.abs(lat) - K.SOLSTICE_TILT, F.lit(0.1)))

@@ -1,4 +1,9 @@
-"""Scalar expressions: Column in, Column out, all inside code generation."""
+"""Scalar expressions: Column in, Column out, all inside code generation.
+
+T13: division by zero raises in ANSI mode, so every ratio here goes through
+try_divide or has a floor.  T15: measures are doubles throughout.  T16: the 560
+code of one source is ssp585 (see ssp_code).
+"""
 
 from __future__ import annotations
 

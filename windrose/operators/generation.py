@@ -14,7 +14,7 @@ from ..functions import constants as K
 FILE_KEYS = ["technology", "climate_ssp"]
 
 
-def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("year",), keys: Sequence[str] = FILE_KEYS, dt_hours: float = 3.0) -> DataFrame:
+def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("year",), keys: Sequence[str] = FILE_KEYS, dt_hours: float = 3.0, time: DataFrame | None = None) -> DataFrame:
     """Capacity factor and generation of each station and
     period (year, or year and month).
 
@@ -22,11 +22,14 @@ def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("
     station_idx, capacity_gw, activation_year, country.  The denominator is the
     number of time steps of the file in the period, missing ones included.  A
     station counts if it is active in the year, has data in the year, a positive
-    capacity and a country."""
+    capacity and a country.
+
+    time: keys, year, month, step_idx of each step, where such a table exists; else
+    the steps are those that occur in power, which is scanned once more for them."""
     keys, by = list(keys), list(by)
     monthly = "month" in by
     value = known(F.col("power_gw"))
-    steps = power.select(*keys, *by, "step_idx").distinct().groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
+    steps = (power if time is None else time).select(*keys, *by, "step_idx").distinct().groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
     sums = power.groupBy(*keys, "station_idx", *by).agg(F.sum(value).alias("total"), F.count(value).alias("n_known"))
     if monthly:  # data in any month of the year make the others count as 0
         year = sums.groupBy(*keys, "station_idx", "year").agg(F.sum("n_known").alias("n_year"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import quality_status, ratio_floor_one, zero_or_missing
+from ..functions.scalar import activation_bucket, known, quality_status, ratio_floor_one, zero_or_missing
 
 
 def status_counts(df: DataFrame, keys: Sequence[str], value: str, covered: Column) -> DataFrame:
@@ -48,3 +48,18 @@ def missing_by_surface(df: DataFrame, keys: Sequence[str], value: str, sea: str)
         F.count("*").alias("n"), F.count_if(gone).alias("n_missing"), F.count_if(gone & F.col(sea)).alias("n_sea"), F.count_if(gone & ~F.col(sea)).alias("n_land"), F.count_if(F.col(sea)).alias("sea_cells")
     )
     return out.withColumns({"land_share": ratio_floor_one(F.col("n_land"), F.col("n_missing")), "sea_share": ratio_floor_one(F.col("sea_cells"), F.col("n"))})
+
+
+def zero_cf_stations(power: DataFrame, stations: DataFrame, keys: Sequence[str], year: int) -> DataFrame:
+    """Active stations with capacity and data whose power is
+    0 all through the year, by the target year from which they count.  A station
+    without data isn't one with zero; a file without such stations has no rows."""
+    value = known(F.col("power_gw"))
+    own = power.filter(F.col("year") == year).groupBy(*keys, "station_idx").agg(F.sum(value).alias("total"), F.count(value).alias("n_known"))
+    able = stations.filter((F.col("capacity_gw") > 0) & (F.col("activation_year") <= year))
+    return own.filter("n_known > 0 and total = 0").join(able, "station_idx").select(*keys, "station_idx", activation_bucket(F.col("activation_year")).alias("bucket"))
+
+
+def missing_mask(grid: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Whether a cell's mean over time is missing; no rows, no mask."""
+    return grid.groupBy(*keys).agg(F.avg(known(F.col(value))).isNull().alias("missing"))

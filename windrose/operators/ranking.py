@@ -29,7 +29,7 @@ def row_mean(*columns: str) -> Column:
 
 
 def ordered(df: DataFrame, score: str, tie: str, descending: bool = True) -> DataFrame:
-    """T-4 .. T-7, T-9: by score, equal scores by the tie column (a stable order)."""
+    """T-4, T-5, T-6, T-7, T-9: by score, equal scores by the tie column (a stable order)."""
     return df.orderBy(F.desc(score) if descending else F.asc(score), tie)
 
 

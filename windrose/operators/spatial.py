@@ -179,3 +179,32 @@ def axis_step(axis: DataFrame, keys) -> DataFrame:
 def mesh(rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Every pair of two axes; a cell grid, so its size is that of the result."""
     return rows.crossJoin(cols)
+
+
+def nearest_in_grids(points: DataFrame, grids: DataFrame, id_col: str) -> DataFrame:
+    """Each point's value in its own regular grid (column grid_id on both
+    sides), by the nearest latitude and the nearest longitude around the circle.
+
+    The axes of a grid are two short arrays, so one row of them for each grid meets
+    the points; the cells meet them on their indices."""
+    axes = grids.groupBy("grid_id").agg(F.array_sort(F.collect_set(F.struct("ilat", "lat"))).alias("__lat"), F.array_sort(F.collect_set(F.struct("ilon", "lon"))).alias("__lon"))
+    met = points.join(axes, "grid_id")
+    lat, lon = F.col("lat"), to_360(F.col("lon"))
+    around = lambda a: F.least(F.abs(to_360(a) - lon), 360.0 - F.abs(to_360(a) - lon))
+    ilat = F.array_min(F.transform("__lat", lambda a: F.struct(F.abs(a.lat - lat).alias("d"), a.ilat.alias("i"))))["i"]
+    ilon = F.array_min(F.transform("__lon", lambda a: F.struct(around(a.lon).alias("d"), a.ilon.alias("i"))))["i"]
+    at = met.select(id_col, "grid_id", ilat.alias("ilat"), ilon.alias("ilon"))
+    return at.join(grids.select("grid_id", "ilat", "ilon", "value"), ["grid_id", "ilat", "ilon"]).select(id_col, "value")
+
+
+def value_by_family(points: DataFrame, regular: DataFrame, curvilinear: DataFrame | None, id_col: str, reach: float = 1.0) -> DataFrame:
+    """points' values from the regular grids and, for the others, from the
+    curvilinear grid of their family (nearest cell in degrees); NULL where a family
+    has no grid.  J19b: without a curvilinear grid only the regular ones count."""
+    found = nearest_in_grids(points, regular, id_col)
+    if curvilinear is not None:
+        own = points.join(curvilinear.select("grid_id").distinct(), "grid_id", "left_semi")
+        cells = curvilinear.select(F.struct("ilat", "ilon", "value").alias("cell_id"), "lat", "lon")
+        near = nearest_any(own, cells, id_col, reach)
+        found = found.unionByName(near.select(id_col, F.col("cell_id.value").alias("value")))
+    return points.select(id_col, "grid_id").join(found, id_col, "left")

@@ -32,7 +32,7 @@ def pair_correlation(df: DataFrame, keys: Sequence[str], at: Sequence[str], memb
 
 
 def density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, points: int = 30, log: bool = False, least: int = 3) -> DataFrame:
-    """Gaussian kernel density on a fixed grid, with Scott's
+    """A21, A21b, A21c, A21d: Gaussian kernel density on a fixed grid, with Scott's
     bandwidth; groups of fewer than ``least`` values or without spread fall out.
 
     Equal values are counted first, so the grid multiplies distinct values, and

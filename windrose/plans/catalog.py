@@ -439,6 +439,29 @@ def q36_projection_filters(spark, sf_dir):
     return p.groupBy(key.alias("station_id"), scalar.activation_bucket(F.col("year") + 34).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("power_gw") == 0).alias("n_zero"))
 
 
+def q36b_zero_cf_stations(spark, sf_dir):
+    """P8b P12 P16 P17 T3 SRC1b: stations whose every known step of a year is below a threshold."""
+    p = views.power(spark, sf_dir).withColumn("power_gw", F.when(F.col("power_gw") > 0.02 * F.col("month"), 0.0 * F.col("power_gw")))
+    return quality.zero_cf_stations(p, views.stations(spark, sf_dir), generation.FILE_KEYS, 1999)
+
+
+def q36c_missing_mask(spark, sf_dir):
+    """P11b P1b."""
+    p = views.power(spark, sf_dir).withColumn("power_gw", F.when(F.col("month") > 6, F.col("power_gw")))
+    return quality.missing_mask(p, ["station_idx", "technology", "year"], "power_gw").groupBy("technology", "year").agg(F.count_if("missing").alias("n_missing"), F.count("*").alias("n"))
+
+
+def q43_value_by_family(spark, sf_dir):
+    """J19 J19b J8 SRC2c: two regular grids, one curvilinear, and a family without a grid."""
+    c = views.cells(spark)
+    regular = c.filter("row % 2 = 0").select(F.lit("even").alias("grid_id"), (F.col("row") / 2).cast("int").alias("ilat"), F.col("col").alias("ilon"), (85.0 - 10.0 * F.col("row")).alias("lat"), (5.0 + 10.0 * F.col("col")).alias("lon"), F.col("region_id").cast("double").alias("value"))
+    regular = regular.unionByName(c.filter("col % 3 = 0").select(F.lit("third").alias("grid_id"), F.col("row").alias("ilat"), (F.col("col") / 3).cast("int").alias("ilon"), (85.0 - 10.0 * F.col("row")).alias("lat"), (10.0 * F.col("col")).alias("lon"), F.col("region_id").cast("double").alias("value")))
+    bent = c.select(F.lit("bent").alias("grid_id"), F.col("row").alias("ilat"), F.col("col").alias("ilon"), (84.0 - 10.0 * F.col("row") + 0.07 * F.col("col")).alias("lat"), (4.0 + 9.5 * F.col("col") + 0.11 * F.col("row")).alias("lon"), F.col("region_id").cast("double").alias("value"))
+    family = F.element_at(F.array(*map(F.lit, ["even", "third", "bent", "none"])), (F.col("site_id") % 4 + 1).cast("int"))
+    points = views.sites(spark, sf_dir).filter("site_id <= 1200").select("site_id", "lon", "lat", family.alias("grid_id"))
+    return spatial.value_by_family(points, regular, bent, "site_id", 6.0)
+
+
 def q37_value_counts(spark, sf_dir):
     """A19b P6 P10."""
     p = views.power(spark, sf_dir).filter(~F.col("climate_ssp").isin("ssp245") & scalar.finite(F.col("power_gw")))

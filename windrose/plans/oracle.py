@@ -267,4 +267,18 @@ ORACLE_SQL = {
         SELECT ssp, year, technology, month, round(f * d, 6) AS deployment, round(1 + (h - 1) * p, 6) AS hazard, round(1 + CASE technology WHEN 'solar' THEN cs ELSE cw END * p, 6) AS cf,
                round(CASE technology WHEN 'solar' THEN 1 + 0.18 * sin((month - 3) / 12.0 * 2 * pi()) ELSE 1 + 0.12 * cos((month - 1) / 12.0 * 2 * pi()) END, 6) AS season, days, round(1 / (1 + exp(-(month / 3.0::DOUBLE))), 6) AS sigmoid,
                round(month * 1.5 * 8760 * 0.25, 6) AS generation FROM s, y, m, (VALUES ('wind'), ('solar')) t(technology)""",
+    "q36b_zero_cf_stations": f"""WITH {_POWER}, {_STATION}, p AS (SELECT *, CASE WHEN power > 0.02 * month THEN 0 * power END AS v FROM v_power WHERE year = 1999),
+        t AS (SELECT technology, climate_ssp, station_idx FROM p GROUP BY ALL HAVING count(v) > 0 AND sum(v) = 0)
+        SELECT technology, climate_ssp, station_idx, CASE WHEN active <= 2030 THEN 2030 WHEN active <= 2040 THEN 2040 ELSE 2050 END AS bucket FROM t JOIN v_station USING (station_idx) WHERE cap > 0 AND active <= 1999""",
+    "q36c_missing_mask": f"""WITH {_POWER}, m AS (SELECT station_idx, technology, year, avg(power) FILTER (month > 6) IS NULL AS gone FROM v_power GROUP BY ALL)
+        SELECT technology, year, count(*) FILTER (gone) AS n_missing, count(*) AS n FROM m GROUP BY ALL""",
+    "q43_value_by_family": f"""WITH {_SITE}, {_CELL}, g AS (
+            SELECT 'even' AS grid_id, row // 2 AS ilat, col AS ilon, 85.0::DOUBLE - 10 * row AS y, 5.0::DOUBLE + 10 * col AS x, region_id FROM v_cell WHERE row % 2 = 0
+            UNION ALL SELECT 'third', row, col // 3, 85.0::DOUBLE - 10 * row, 10.0::DOUBLE * col, region_id FROM v_cell WHERE col % 3 = 0
+        ), b AS (SELECT row, col, 84.0::DOUBLE - 10.0 * row + 0.07::DOUBLE * col AS y, 4.0::DOUBLE + 9.5 * col + 0.11::DOUBLE * row AS x, region_id FROM v_cell
+        ), p AS (SELECT site_id, lat, lon360, CASE site_id % 4 WHEN 0 THEN 'even' WHEN 1 THEN 'third' WHEN 2 THEN 'bent' ELSE 'none' END AS grid_id FROM v_at WHERE site_id <= 1200
+        ), r AS (
+            SELECT site_id, arg_min(region_id, struct_pack(a := abs(y - lat), i := ilat, o := least(abs(x - lon360), 360 - abs(x - lon360)), j := ilon)) AS v FROM p JOIN g USING (grid_id) GROUP BY site_id
+            UNION ALL SELECT site_id, arg_min(region_id, struct_pack(d := pow(y - lat, 2) + pow(CASE WHEN x >= 360 THEN x - 360 ELSE x END - lon360, 2), r := row, c := col)) FROM p, b WHERE grid_id = 'bent' GROUP BY site_id)
+        SELECT site_id, grid_id, CAST(v AS DOUBLE) AS value FROM p LEFT JOIN r USING (site_id)""",
 }

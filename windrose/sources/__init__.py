@@ -1 +1 @@
-
+"""Readers, writers, schemas, optional file formats and the invented study."""

@@ -40,7 +40,7 @@ class _Files(DataSourceReader):
 
 
 def _power_rows(path: str, options: dict) -> Iterator[tuple]:
-    """SRC1: one row for each time step and station; fills become NULL."""
+    """SRC1, SRC1b: one row for each time step and station; fills become NULL."""
     nc = _needed("netCDF4")
     with nc.Dataset(path) as f:
         time = f["time"]
@@ -68,7 +68,7 @@ def _grid_rows(path: str, options: dict) -> Iterator[tuple]:
 
 
 def _raster_rows(path: str, options: dict) -> Iterator[tuple]:
-    """SRC4: cells of the first band other than background."""
+    """SRC4, SRC4b (then raster_mode): cells of the first band other than background."""
     with _needed("rasterio").open(path) as f:
         band = f.read(1)
         for r, c in zip(*band.nonzero(), strict=True):
@@ -90,7 +90,7 @@ def _polygon_rows(path: str, options: dict) -> Iterator[tuple]:
 
 
 def _matrix_rows(path: str, options: dict) -> Iterator[tuple]:
-    """SRC7: cells of a matrix other than 0."""
+    """SRC7, SRC7b (then grid_capacity_gw): cells of a matrix other than 0."""
     data = _needed("scipy.io").loadmat(path)[options.get("variable", "data")]
     for r, c in zip(*data.nonzero(), strict=True):
         yield int(r), int(c), float(data[r, c])
@@ -139,7 +139,7 @@ def _wkb_centroid(blob: bytes) -> tuple[float, float, float]:
 
 
 def _geopackage_rows(path: str, options: dict) -> Iterator[tuple]:
-    """SRC6: centroid, in the file's own projection, and area of each feature."""
+    """SRC6, SRC6b: centroid, in the file's own projection, and area of each feature."""
     import sqlite3
 
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:

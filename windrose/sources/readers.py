@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions import constants as K
-from ..functions.scalar import known
+from ..functions.scalar import known, lookup
 from .schemas import SCHEMAS
 
 
@@ -61,7 +61,7 @@ def required(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
-    """SRC8, SRC8b: station sites of known technologies and years; no capacity is 0."""
+    """SRC8, SRC8b, SRC8c: station sites of known technologies and years; no capacity is 0."""
     df = trimmed_csv(spark, path, SCHEMAS["stations"])
     df = df.filter(F.col("type").isin(K.TECHS) & F.col("year").isin(list(years or K.YEARS)))
     return df.withColumn("capacity_gw", F.coalesce("capacity_gw", F.lit(0.0)))
@@ -129,6 +129,26 @@ def power_path(root: str, tech: str, region: str, ssp: str) -> str:
     return f"{root}/technology={tech}/region={region}/climate_ssp={ssp}"
 
 
+def grids(spark: SparkSession, root: str, grid_ids: Sequence[str] | None = None, year: int | None = None) -> DataFrame:
+    """SRC2, SRC2b, SRC2c, SRC3, SRC3b: the canonical grid table (grid_id, ilat, ilon,
+    lat, lon, value, and time columns), read once for all grids; a grid without files
+    has no rows.  Pruned to grids and a year where asked; NaN becomes NULL (T1)."""
+    df = spark.read.parquet(root)
+    if grid_ids is not None:
+        df = df.filter(F.col("grid_id").isin(list(grid_ids)))
+    if year is not None and "year" in df.columns:
+        df = df.filter(F.col("year") == year)
+    return df.withColumn("value", known(F.col("value")))
+
+
+def named_polygons(edges: DataFrame, names: dict[str, str], wanted: Sequence[str]) -> DataFrame:
+    """SRC5b, J20: edges of the wanted countries only, under the names that are used
+    here, numbered in the order of ``wanted``.  Invalid outlines aren't repaired."""
+    own = F.coalesce(lookup(F.col("name"), names), F.col("name")) if names else F.col("name")
+    at = F.array_position(F.array(*map(F.lit, wanted)), own)
+    return edges.withColumns({"poly_ordinal": (at - 1).cast("int"), "name": own}).filter(at > 0)
+
+
 def power(spark: SparkSession, root: str) -> DataFrame:
     """SRC1, U1: the canonical power table, partitioned by technology, region and
     scenario; NaN becomes NULL."""

@@ -30,12 +30,12 @@ def station_selection(df: DataFrame) -> DataFrame:
 
 
 def coverage_report(df: DataFrame, key: str) -> DataFrame:
-    """SNK5, SNK5b-d: the total row last, ratios with four decimals."""
+    """SNK5, SNK5b, SNK5c, SNK5d: the total row last, ratios with four decimals."""
     return df.withColumns({c: F.round(c, 4) for c in ("n_cover_ratio", "cap_cover_ratio")}).orderBy(F.col(key) == "ALL", key)
 
 
 def ratio_report(df: DataFrame, *ratios: str) -> DataFrame:
-    """SNK5e-g: ratios with four decimals."""
+    """SNK5e, SNK5f, SNK5g: ratios with four decimals."""
     return df.withColumns({c: F.round(c, 4) for c in ratios})
 
 

@@ -1 +1 @@
-
+"""Reserved: the studies are batches over files, and no operator of theirs streams."""
