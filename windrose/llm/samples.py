@@ -11,12 +11,19 @@ from .common import held_out
 
 def class_sample(labelled: DataFrame, per_class: int, total: int, folds: int, fold: int = 2) -> DataFrame:
     """``doc_id, label`` of at most per_class rows of each label and ``total`` in
-    all, outside the fold and without null labels, in the order of a hash of the
-    id; a label set too large for one row each is cut by the hash of the label."""
+    all, outside the fold and without null labels, in the order of a hash of the id.
+
+    Labels are counted first (at most ``total`` of them, the most frequent, count);
+    then only rows whose hash falls into a share that gives each label somewhat more
+    than it needs are ranked, so a frequent label brings no more rows than others."""
     able = labelled.select("doc_id", "label").filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = able.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
-    return ranked.orderBy("rank", F.xxhash64("label")).limit(total).select("doc_id", "label")
+    counts = able.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(total)
+    known = able.sparkSession.createDataFrame(counts.collect(), counts.schema)  # total rows at most
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    near = able.join(F.broadcast(known), "label").filter(place <= 1.5 * (per_class + 20) / F.col("n"))
+    order = Window.partitionBy("label").orderBy(place, "doc_id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
+    return ranked.orderBy("rank", F.xxhash64("label"), "label").limit(total).select("doc_id", "label")
 
 
 def texts_of(docs: DataFrame, sample: DataFrame) -> list[tuple[str, object]]:
