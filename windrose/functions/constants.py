@@ -66,6 +66,31 @@ MACRO_REGIONS = [
     "Western Asia", "Southern Asia", "South-eastern Asia", "Melanesia", "Australia-New Zealand", "Northern Africa", "Western Africa", "Middle Africa", "Eastern Africa", "Southern Africa",
 ]
 
+# Invented studies.  Ranges are (low, high); spreads are (deviation, low, high).
+LAT_RANGE, LON_RANGE = (-35.0, 60.0), (-120.0, 140.0)
+SCALE_SIGMA = 0.25
+SUN_INDEX, SUN_TROPIC, SUN_PER_DEGREE = (0.15, 0.65, 1.45), 30.0, 100.0
+WIND_INDEX, WIND_PER_DEGREE = (0.18, 0.65, 1.55), 140.0
+WEATHER_INDEX, WEATHER_PER_DEGREE = (0.22, 0.55, 1.75), 120.0
+SITES_PER_SCALE, SITES_RANGE, SITES_LEAST = {"solar": 4.0, "wind": 3.0}, (3.0, 180.0), 2
+SITE_LAT_SPREAD, SITE_LON_SPREAD = 2.5, 3.0
+CAPACITY_MEDIAN_MW, CAPACITY_SIGMA = {"solar": 180.0, "wind": 220.0}, 0.55
+BASE_CF = {"solar": (0.18, 0.035, 0.08, 0.34), "wind": (0.32, 0.065, 0.12, 0.58)}
+LOCAL_WEATHER = (0.18, 0.3, 2.5)
+YEAR_CF = (0.025, 0.02, 0.72)
+MONTH_CF = (0.04, 0.01, 0.85)
+SUN_SEASON, SUN_SEASON_FROM = 0.18, 3
+WIND_SEASON, WIND_SEASON_FROM = 0.12, 1
+EVENT_HOURS_SPREAD = (0.25, 1.0, 900.0)
+HOURS_PER_EVENT, DURATION_SPREAD = 18.0, (3.0, 1.0, 120.0)
+INTENSITY_SPREAD = (0.18, 0.2, 8.0)
+AREA_PER_SCALE, AREA_HOURS, AREA_SIGMA = 5e4, 120.0, 0.35
+EXPOSED_HOURS_RANGE = (0.0, 1500.0)
+EXPOSURE_SIGMA, EXPOSED_GENERATION_SIGMA = 0.22, 0.10
+VULNERABILITY_PER_INTENSITY, VULNERABILITY_SIGMA, VULNERABILITY_RANGE = 0.10, 0.25, (0.005, 0.75)
+EVENT_CF_RANGE = (0.85, 1.15)
+TINY = 1e-9
+
 #: Rotated pole (longitude, latitude) of the curvilinear domain.
 ROTATED_POLE = (83.0, 42.5)
 

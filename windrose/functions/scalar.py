@@ -139,7 +139,7 @@ def cf_multiplier(tech: Column, ssp: Column, year: Column) -> Column:
 def season(tech: Column, month: Column) -> Column:
     """the month's share of the mean capacity factor."""
     turn = F.lit(2.0) * F.pi() / 12.0
-    return F.when(tech == "solar", 1.0 + 0.18 * F.sin((month - 3) * turn)).otherwise(1.0 + 0.12 * F.cos((month - 1) * turn))
+    return F.when(tech == "solar", 1.0 + K.SUN_SEASON * F.sin((month - K.SUN_SEASON_FROM) * turn)).otherwise(1.0 + K.WIND_SEASON * F.cos((month - K.WIND_SEASON_FROM) * turn))
 
 
 def days_in_month(month: Column) -> Column:

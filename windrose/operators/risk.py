@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -14,18 +14,17 @@ STATION_KEYS = ["station_id", "country", "technology", "deploy_ssp", "climate_ss
 COUNTRY_KEYS = ["country", "technology", "deploy_ssp", "climate_ssp", "target_year", "event_type"]
 
 
-def exposures(stations: DataFrame, annual: DataFrame, hazard: DataFrame, local="1.0", noise="1.0") -> DataFrame:
+def exposures(stations: DataFrame, annual: DataFrame, hazard: DataFrame, local: Column | float = 1.0, noise: Column | float = 1.0) -> DataFrame:
     """Hours, capacity hours and generation of each station that
     lie in each kind of event.
 
-    local, noise: SQL expressions of the station's factor on the hazard and on the
-    exposed generation."""
+    local, noise: the station's factor on the hazard and on the exposed generation."""
     met = annual.join(stations.select("station_id", "station_extreme_weather_index"), "station_id").join(hazard, ["country", "climate_ssp", "target_year", "technology"])
-    hours = clip(F.col("event_frequency_hours_per_year") * F.col("station_extreme_weather_index") * F.expr(local), 0.0, 1500.0)
+    hours = clip(F.col("event_frequency_hours_per_year") * F.col("station_extreme_weather_index") * local, *K.EXPOSED_HOURS_RANGE)
     out = met.withColumn("exposed_hours", hours)
     return out.select(
         *STATION_KEYS, "event_type", "capacity_mw", "exposed_hours", (F.col("capacity_mw") * F.col("exposed_hours")).alias("exposed_capacity_mw_hours"),
-        (F.col("annual_generation_mwh") * F.col("exposed_hours") / K.HOURS * F.expr(noise)).alias("exposed_generation_mwh"), "event_intensity_index",
+        (F.col("annual_generation_mwh") * F.col("exposed_hours") / K.HOURS * noise).alias("exposed_generation_mwh"), "event_intensity_index",
     )
 
 
@@ -36,15 +35,15 @@ def country_exposure(exposure: DataFrame) -> DataFrame:
     )
 
 
-def losses(exposure: DataFrame, annual: DataFrame, noise="1.0", normal="1.0") -> DataFrame:
-    """Losses of each station and event; noise, normal: SQL expressions
-    of the factors on vulnerability and on the capacity factor in the event."""
+def losses(exposure: DataFrame, annual: DataFrame, noise: Column | float = 1.0, normal: Column | float = 1.0) -> DataFrame:
+    """Losses of each station and event; noise, normal: factors on
+    vulnerability and on the capacity factor in the event."""
     keys = ["station_id", "deploy_ssp", "climate_ssp"]
     met = exposure.join(annual.select(*keys, "annual_generation_mwh", "annual_capacity_factor"), keys)
-    vulnerability = clip(lookup(F.col("event_type"), K.EVENT_VULNERABILITY) * (1.0 + 0.10 * F.col("event_intensity_index")) * F.expr(noise), 0.005, 0.75)
-    tiny = F.lit(1e-9)
+    vulnerability = clip(lookup(F.col("event_type"), K.EVENT_VULNERABILITY) * (1.0 + K.VULNERABILITY_PER_INTENSITY * F.col("event_intensity_index")) * noise, *K.VULNERABILITY_RANGE)
+    tiny = F.lit(K.TINY)
     out = met.withColumn("vulnerability_loss_fraction", vulnerability).withColumn("loss_mwh", F.col("exposed_generation_mwh") * F.col("vulnerability_loss_fraction"))
-    out = out.withColumn("conditional_loss_rate", F.col("loss_mwh") / F.greatest("exposed_generation_mwh", tiny)).withColumn("cf_normal_during_event", F.col("annual_capacity_factor") * F.expr(normal))
+    out = out.withColumn("conditional_loss_rate", F.col("loss_mwh") / F.greatest("exposed_generation_mwh", tiny)).withColumn("cf_normal_during_event", F.col("annual_capacity_factor") * normal)
     return out.select(
         *STATION_KEYS, "event_type", "capacity_mw", "annual_generation_mwh", "exposed_generation_mwh", "cf_normal_during_event",
         F.greatest(F.col("cf_normal_during_event") * (1.0 - F.col("conditional_loss_rate")), F.lit(0.0)).alias("cf_actual_during_event"), "vulnerability_loss_fraction", "loss_mwh",

@@ -47,15 +47,15 @@ def _dimension(spark: SparkSession, name: str, values: list, kind: str) -> DataF
 def country_base(spark: SparkSession, seed: int, countries: list[str] | None = None) -> DataFrame:
     """Features of countries."""
     r, df = Draws(seed), _dimension(spark, "country", countries or K.COUNTRIES, "string")
-    df = df.withColumns({"lat_center": r.uniform("lat", "country", low=-35, high=60), "lon_center": r.uniform("lon", "country", low=-120, high=140)})
+    df = df.withColumns({"lat_center": r.uniform("lat", "country", low=K.LAT_RANGE[0], high=K.LAT_RANGE[1]), "lon_center": r.uniform("lon", "country", low=K.LON_RANGE[0], high=K.LON_RANGE[1])})
     far = F.abs("lat_center")
-    near = lambda name, mean, sd, lo, hi: clip(mean + sd * r.normal(name, "country"), lo, hi)
+    near = lambda name, mean, spread: clip(mean + spread[0] * r.normal(name, "country"), *spread[1:])
     return df.withColumns(
         {
-            "system_scale_index": F.coalesce(lookup(F.col("country"), K.SYSTEM_SCALE), F.lit(1.0)) * r.lognormal("scale", 0.25, "country"),
-            "solar_resource_index": near("sun", 1.0 + F.greatest(30 - far, F.lit(0.0)) / 100, 0.15, 0.65, 1.45),
-            "wind_resource_index": near("wind", 1.0 + far / 140, 0.18, 0.65, 1.55),
-            "extreme_weather_index": near("weather", 1.0 + far / 120, 0.22, 0.55, 1.75),
+            "system_scale_index": F.coalesce(lookup(F.col("country"), K.SYSTEM_SCALE), F.lit(1.0)) * r.lognormal("scale", K.SCALE_SIGMA, "country"),
+            "solar_resource_index": near("sun", 1.0 + F.greatest(K.SUN_TROPIC - far, F.lit(0.0)) / K.SUN_PER_DEGREE, K.SUN_INDEX),
+            "wind_resource_index": near("wind", 1.0 + far / K.WIND_PER_DEGREE, K.WIND_INDEX),
+            "extreme_weather_index": near("weather", 1.0 + far / K.WEATHER_PER_DEGREE, K.WEATHER_INDEX),
         }
     )
 
@@ -67,22 +67,23 @@ def station_catalog(base: DataFrame, seed: int) -> DataFrame:
     sun = F.col("technology") == "solar"
     group = ["country", "deploy_ssp", "target_year", "technology"]
     cells = base.crossJoin(F.broadcast(dims)).withColumn("resource_index", F.when(sun, F.col("solar_resource_index")).otherwise(F.col("wind_resource_index")))
-    mean = F.floor(clip(F.col("system_scale_index") * deployment_multiplier(F.col("deploy_ssp"), F.col("target_year")) * F.when(sun, 4.0).otherwise(3.0), 3.0, 180.0)).cast("double")
-    sites = cells.withColumn("n", F.greatest(r.poisson("sites", mean, *group), F.lit(2))).withColumn("site", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    mean = F.floor(clip(F.col("system_scale_index") * deployment_multiplier(F.col("deploy_ssp"), F.col("target_year")) * lookup(F.col("technology"), K.SITES_PER_SCALE), *K.SITES_RANGE)).cast("double")
+    sites = cells.withColumn("n", F.greatest(r.poisson("sites", mean, *group), F.lit(K.SITES_LEAST))).withColumn("site", F.explode(F.sequence(F.lit(1), F.col("n"))))
     key = [*group, "site"]
-    factor = F.when(sun, clip(0.18 * F.col("resource_index") + 0.035 * r.normal("cf", *key), 0.08, 0.34)).otherwise(clip(0.32 * F.col("resource_index") + 0.065 * r.normal("cf", *key), 0.12, 0.58))
+    drawn = lambda t: clip(K.BASE_CF[t][0] * F.col("resource_index") + K.BASE_CF[t][1] * r.normal("cf", *key), *K.BASE_CF[t][2:])
+    factor = F.when(sun, drawn("solar")).otherwise(drawn("wind"))
     return sites.select(
-        F.format_string("S%016x", F.xxhash64(*key)).alias("station_id"), *group, (F.col("lat_center") + 2.5 * r.normal("dlat", *key)).alias("lat"), (F.col("lon_center") + 3.0 * r.normal("dlon", *key)).alias("lon"),
-        (F.when(sun, 180.0).otherwise(220.0) * r.lognormal("capacity", 0.55, *key)).alias("capacity_mw"), factor.alias("base_capacity_factor"), "resource_index",
-        clip(F.col("extreme_weather_index") * r.lognormal("local", 0.18, *key), 0.3, 2.5).alias("station_extreme_weather_index"),
+        F.format_string("S%016x", F.xxhash64(*key)).alias("station_id"), *group, (F.col("lat_center") + K.SITE_LAT_SPREAD * r.normal("dlat", *key)).alias("lat"), (F.col("lon_center") + K.SITE_LON_SPREAD * r.normal("dlon", *key)).alias("lon"),
+        (lookup(F.col("technology"), K.CAPACITY_MEDIAN_MW) * r.lognormal("capacity", K.CAPACITY_SIGMA, *key)).alias("capacity_mw"), factor.alias("base_capacity_factor"), "resource_index",
+        clip(F.col("extreme_weather_index") * r.lognormal("local", K.LOCAL_WEATHER[0], *key), *K.LOCAL_WEATHER[1:]).alias("station_extreme_weather_index"),
     )
 
 
 def station_annual(catalog: DataFrame, seed: int) -> DataFrame:
     """Factors and generation of each site under each climate."""
     r, climate = Draws(seed), _dimension(catalog.sparkSession, "climate_ssp", K.SSPS, "string")
-    cf = F.col("base_capacity_factor") * cf_multiplier(F.col("technology"), F.col("climate_ssp"), F.col("target_year")) * r.lognormal("year", 0.025, "station_id", "climate_ssp")
-    out = catalog.crossJoin(F.broadcast(climate)).withColumn("annual_capacity_factor", clip(cf, 0.02, 0.72))
+    cf = F.col("base_capacity_factor") * cf_multiplier(F.col("technology"), F.col("climate_ssp"), F.col("target_year")) * r.lognormal("year", K.YEAR_CF[0], "station_id", "climate_ssp")
+    out = catalog.crossJoin(F.broadcast(climate)).withColumn("annual_capacity_factor", clip(cf, *K.YEAR_CF[1:]))
     return out.select(*risk.STATION_KEYS, "capacity_mw", "annual_capacity_factor", annual_generation(F.col("capacity_mw"), F.col("annual_capacity_factor")).alias("annual_generation_mwh"))
 
 
@@ -90,7 +91,7 @@ def station_monthly(annual: DataFrame, seed: int) -> DataFrame:
     """the same by month."""
     r = Draws(seed)
     months = annual.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    cf = clip(F.col("annual_capacity_factor") * season(F.col("technology"), F.col("month")) * r.lognormal("month", 0.04, "station_id", "climate_ssp", "month"), 0.01, 0.85)
+    cf = clip(F.col("annual_capacity_factor") * season(F.col("technology"), F.col("month")) * r.lognormal("month", K.MONTH_CF[0], "station_id", "climate_ssp", "month"), *K.MONTH_CF[1:])
     out = months.withColumn("monthly_capacity_factor", cf)
     return out.select(*risk.STATION_KEYS, "month", "capacity_mw", "monthly_capacity_factor", (F.col("capacity_mw") * days_in_month(F.col("month")) * 24 * F.col("monthly_capacity_factor")).alias("monthly_generation_mwh"))
 
@@ -109,28 +110,29 @@ def event_hazard(base: DataFrame, seed: int) -> DataFrame:
     dims = events.crossJoin(_dimension(spark, "climate_ssp", K.SSPS, "string")).crossJoin(_dimension(spark, "target_year", K.YEARS, "int"))
     key = ["country", "climate_ssp", "target_year", "event_type"]
     scale = F.col("extreme_weather_index") * hazard_multiplier(F.col("climate_ssp"), F.col("target_year"))
-    df = base.crossJoin(F.broadcast(dims)).withColumn("event_frequency_hours_per_year", clip(lookup(F.col("event_type"), K.EVENT_HOURS) * scale * r.lognormal("hours", 0.25, *key), 1.0, 900.0))
+    df = base.crossJoin(F.broadcast(dims)).withColumn("event_frequency_hours_per_year", clip(lookup(F.col("event_type"), K.EVENT_HOURS) * scale * r.lognormal("hours", K.EVENT_HOURS_SPREAD[0], *key), *K.EVENT_HOURS_SPREAD[1:]))
     hours = F.col("event_frequency_hours_per_year")
     return df.select(
-        "country", "climate_ssp", "target_year", "technology", "event_type", hours, clip(hours / 18 + 3.0 * r.normal("duration", *key), 1.0, 120.0).alias("mean_event_duration_hours"),
-        clip(lookup(F.col("event_type"), K.EVENT_INTENSITY) * scale * r.lognormal("intensity", 0.18, *key), 0.2, 8.0).alias("event_intensity_index"),
-        (F.col("system_scale_index") * 5e4 * sigmoid(hours / 120) * r.lognormal("area", 0.35, *key)).alias("affected_area_km2"),
+        "country", "climate_ssp", "target_year", "technology", "event_type", hours, clip(hours / K.HOURS_PER_EVENT + K.DURATION_SPREAD[0] * r.normal("duration", *key), *K.DURATION_SPREAD[1:]).alias("mean_event_duration_hours"),
+        clip(lookup(F.col("event_type"), K.EVENT_INTENSITY) * scale * r.lognormal("intensity", K.INTENSITY_SPREAD[0], *key), *K.INTENSITY_SPREAD[1:]).alias("event_intensity_index"),
+        (F.col("system_scale_index") * K.AREA_PER_SCALE * sigmoid(hours / K.AREA_HOURS) * r.lognormal("area", K.AREA_SIGMA, *key)).alias("affected_area_km2"),
     )
 
 
 def study(spark: SparkSession, seed: int = 42, countries: list[str] | None = None) -> dict[str, DataFrame]:
     """All tables of a study, each a plan over those before it."""
-    noise = lambda name, sigma: f"exp({sigma} * sqrt(-2 * ln((shiftrightunsigned(xxhash64({seed}, '{name}r', station_id, climate_ssp, event_type), 11) + 0.5) / {float(1 << 53)})) * cos(2 * pi() * (shiftrightunsigned(xxhash64({seed}, '{name}a', station_id, climate_ssp, event_type), 11) + 0.5) / {float(1 << 53)}))"
-    near = f"(0.85 + 0.3 * (shiftrightunsigned(xxhash64({seed}, 'event', station_id, climate_ssp, event_type), 11) + 0.5) / {float(1 << 53)})"
+    r, key = Draws(seed), ("station_id", "climate_ssp", "event_type")
+    noise = lambda name, sigma: r.lognormal(name, sigma, *key)
+    near = r.uniform("event", *key, low=K.EVENT_CF_RANGE[0], high=K.EVENT_CF_RANGE[1])
     t: dict[str, DataFrame] = {"country_base": country_base(spark, seed, countries)}
     t["station_catalog"] = station_catalog(t["country_base"], seed)
     t["station_annual"] = station_annual(t["station_catalog"], seed)
     t["station_monthly"] = station_monthly(t["station_annual"], seed)
     t["country_annual"] = country_annual(t["station_annual"])
     t["country_event_hazard"] = event_hazard(t["country_base"], seed)
-    t["station_event_exposure"] = risk.exposures(t["station_catalog"], t["station_annual"], t["country_event_hazard"], noise("local", 0.22), noise("share", 0.10))
+    t["station_event_exposure"] = risk.exposures(t["station_catalog"], t["station_annual"], t["country_event_hazard"], noise("local", K.EXPOSURE_SIGMA), noise("share", K.EXPOSED_GENERATION_SIGMA))
     t["country_event_exposure"] = risk.country_exposure(t["station_event_exposure"])
-    t["station_event_losses"] = risk.losses(t["station_event_exposure"], t["station_annual"], noise("harm", 0.25), near)
+    t["station_event_losses"] = risk.losses(t["station_event_exposure"], t["station_annual"], noise("harm", K.VULNERABILITY_SIGMA), near)
     t["country_event_losses"] = risk.country_losses(t["station_event_losses"])
     t["risk_matrix"] = risk.risk_matrix(t["country_event_losses"])
     t["country_risk_profile"] = risk.country_profile(t["risk_matrix"])
