@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from windrose.llm.decontamination import contamination, find_contamination, without_contaminated
+from windrose.llm.decontamination import contamination, find_contamination, without_contaminated, without_spans
 
 from .conftest import ODD
 
@@ -88,3 +88,11 @@ def test_filter_keeps_columns_and_clean_rows(spark, odd):
     out = without_contaminated(odd, bench)
     assert out.columns == odd.columns
     assert sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, (i for i, _ in ODD if i != 4)))
+
+
+def test_spans_are_cut(spark, docs, odd):
+    bench = spark.createDataFrame([(1, "b c d"), (2, "d e")], "item_id long, text string")
+    rows = [(1, "A: b, C d!"), (2, ". b c d. e"), (3, "c d b"), (4, None), (5, "x B c D - E; f")]
+    got = {r.doc_id: r.text for r in without_spans(docs(rows), bench).collect()}
+    assert got == {1: "A: !", 2: ". ", 3: "c d b", 4: None, 5: "x ; f"}
+    assert without_spans(odd, bench).exceptAll(odd).count() == 0

@@ -166,3 +166,18 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     bad = contamination(docs, benchmark, id_col=id_col, **kw).filter("contaminated").select(F.col("row").alias(name))
     return numbered.join(bad, name, "left_anti").drop(name)
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """docs, all columns and rows, with the hit words and what lies between them cut
+    from the texts; the rest of a text stays as it is, and a null text null."""
+    name, spans = "__contaminated_row", "__contaminated_spans"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    found = find_contamination(docs, benchmark, text_col=text_col, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
+    # words and what is between them in turn; A-Z are word characters here
+    between = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{between}|{between.replace('[', '[^', 1)}"), F.lit(0))
+    lead = F.col(text_col).rlike("^" + between).cast("int")
+    kept = F.filter(parts, lambda p, i: ~F.exists(spans, lambda s: (i >= 2 * s.at + lead) & (i <= 2 * (s.at + s.len - 1) + lead)))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    return numbered.join(found, name, "left").withColumn(text_col, text).select(*docs.columns)
