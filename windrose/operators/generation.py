@@ -19,7 +19,8 @@ def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("
     period (year, or year and month).
 
     power: keys, station_idx, year, month, step_idx, power_gw; stations:
-    station_idx, capacity_gw, activation_year, country.  The denominator is the
+    station_idx, capacity_gw, activation_year, country, and those of the keys that
+    tell stations apart.  The denominator is the
     number of time steps of the file in the period, missing ones included.  A
     station counts if it is active in the year, has data in the year, a positive
     capacity and a country.
@@ -35,7 +36,8 @@ def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("
         year = sums.groupBy(*keys, "station_idx", "year").agg(F.sum("n_known").alias("n_year"))
         sums = sums.join(year, [*keys, "station_idx", "year"]).withColumn("n_known", F.col("n_year"))
     able = stations.filter((F.col("capacity_gw") > 0) & F.col("country").isNotNull())
-    met = sums.filter("n_known > 0").join(able, "station_idx").filter(F.col("activation_year") <= F.col("year")).join(steps, [*keys, *by])
+    own = ["station_idx", *(k for k in keys if k in stations.columns)]
+    met = sums.filter("n_known > 0").join(able, own).filter(F.col("activation_year") <= F.col("year")).join(steps, [*keys, *by])
     total = F.coalesce("total", F.lit(0.0))
     return met.select(
         *keys, "station_idx", *by, "country", F.col("n_steps"), (F.col("capacity_gw") * 1000).alias("capacity_mw"),

@@ -500,7 +500,7 @@ def q41_multipliers(spark, sf_dir):
 
 
 def q42_study_losses(spark, sf_dir):
-    """SRC13 SRC13b RQ1-RQ5: an invented study's losses by technology and event."""
+    """SRC13 SRC13b: an invented study's losses by technology and event."""
     t = synth.study(spark, 42, K.COUNTRIES[:6])
     return rounded(t["country_technology_vulnerability"], 4)
 
