@@ -22,6 +22,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Between words: any ASCII character that is neither a digit nor a small letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in a hashed gram.
@@ -164,7 +166,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """The rows of docs that aren't contaminated, with their columns."""
     name = "__contaminated_row"
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    bad = contamination(docs, benchmark, id_col=id_col, **kw).filter("contaminated").select(F.col("row").alias(name))
+    # written, so that its size is known: a small one is broadcast and texts stay where they are
+    bad = written(contamination(docs, benchmark, id_col=id_col, **kw).filter("contaminated").select(F.col("row").alias(name)))
     return numbered.join(bad, name, "left_anti").drop(name)
 
 

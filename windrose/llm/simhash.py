@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, saved, two_columns
+from .common import by_slice, saved, two_columns, written
 
 BITS = 64
 #: A block value with more fingerprints than this is divided before it is dealt to tasks.
@@ -246,5 +246,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     keyed = numbered.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(name).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
     found = simhash_components(keyed, "doc_id", "text", words, distance, seed)
-    stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias(name))
-    return numbered.join(stays, name, "left_semi").drop(name)
+    # written, so that its size is known: a small one is broadcast and texts stay where they are
+    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.row").alias(name)))
+    return numbered.join(gone, name, "left_anti").drop(name)
