@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time, whatever the size of an Arrow batch.
@@ -43,6 +43,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frequent(counts: DataFrame, limit: int, n: str = "n") -> Column:
+    """A condition on ``n`` (1 or more) that at most limit rows meet: those above a
+    cut, found from a histogram of logarithms that has some thousand rows at most,
+    so that no task gathers the tops of all partitions."""
+    step = F.floor(F.log2(F.col(n).cast("double")) * 32)
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        total += r.rows
+        if total > limit:
+            cut = r.step
+            break
+    return F.lit(True) if cut is None else step > cut
+
+
 def held_out(id_col: str, folds: int, fold: int = 2):
     """Whether crc32 of the id's decimal text falls into the fold; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, two_columns, written
+from .common import frequent, held_out, slices, two_columns, written
 from .hmm import Counts, Hmm, first_model
 
 #: Word shapes: 4 lengths x 2 final marks x (1 + 16) first letters beyond ASCII.
@@ -199,7 +199,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     n_all, total = n_words + ends, float(n_words + ends + n_types + (ends > 0) + 1)
-    top = counts.orderBy(F.desc("n"), "word").limit(known).toArrow()
+    often = frequent(counts, known)
+    top = counts.filter(often).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     vocabulary = Vocabulary(top["word"].to_pylist(), top["n"].to_pylist(), symbols)
     del top
     shared = spark.sparkContext.broadcast(vocabulary)  # at most ``known`` words
@@ -222,7 +223,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     numbered = picked.withColumn("row", F.monotonically_increasing_id())
     seqs = written(encoded(numbered, shared, total, ends))
     learned = seqs.filter(~F.col("held_out"))
-    starter = [np.frombuffer(r.symbols, np.uint16) for r in learned.select("row", "symbols").orderBy(F.xxhash64("row"), "row").limit(starters).collect()]
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)  # some more than are needed are sorted, not all
+    starter = [np.frombuffer(r.symbols, np.uint16) for r in learned.filter(share <= 3.0 * starters / max(1, ends)).select("row", "symbols").orderBy(share, "row").limit(starters).collect()]
     model = None
     if starter:
         model = first_model(starter, states, prior)
@@ -248,8 +250,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     scored = seqs.select("row", "doc_id", "held_out", "symbols", "n_known", "base", "part").mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, part double, log double")
     # words beyond the broadcast table meet their counts
-    least = F.lit(int(vocabulary.counts[-1]) if len(vocabulary.counts) else 0)
-    rare = counts.filter(F.col("n") <= least)
+    rare = counts.filter(~often)
     others = seqs.select("row", F.explode("other").alias("word"))
     met = others.join(rare, "word", "left").groupBy("row").agg(
         F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"), F.count("*").alias("n_other")

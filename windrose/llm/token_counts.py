@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, two_columns
+from .common import by_slice, two_columns, written
+from .common import frequent as most_of
 
 #: A space or line feed before anything else than a character that is surely visible.
 _UNSURE = re.compile("[ \n](?![!-~¡-ɏ])")
@@ -100,8 +101,8 @@ def _heavy(capacity: int, report: int):
 def frequent_chunks(docs: DataFrame, text_col: str = "text", frequent: int = 32_768, capacity: int = 200_000, report: int = 8_192) -> list[str]:
     """The chunks that tasks report most often over all documents, at most ``frequent``."""
     heavy = docs.select(F.col(text_col).alias("text")).mapInArrow(_heavy(capacity, report), "chunk string, n long")
-    top = heavy.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(frequent)
-    return [r.chunk for r in top.select("chunk").collect()]
+    sums = written(heavy.groupBy("chunk").agg(F.sum("n").alias("n")))
+    return [r.chunk for r in sums.filter(most_of(sums, frequent)).select("chunk").collect()]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, frequent: int = 32_768, room: int = 400_000) -> DataFrame:
