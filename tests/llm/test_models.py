@@ -70,6 +70,8 @@ def test_learning_words_and_stems():
     found = [(score(t)[0] >= 0.3) == bool(y) for t, y in toxic_rows(300, 2)]
     assert np.mean(found) > 0.97
     assert score("")[0] < 0.3 and score("grumpfix, unseen ending")[0] >= 0.3
+    aimed, plain, negated, reported = (score(t)[0] for t in ("you dolt", "a dolt", "not a dolt", "he said a dolt"))
+    assert aimed > plain > reported > negated
 
 
 def test_toxicity_on_odd_rows(spark, odd, empty, clashing):

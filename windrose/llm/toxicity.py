@@ -20,6 +20,7 @@ may repeat; an empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ from .samples import class_sample, texts_of
 TARGETS = "you your yours yourself he she they them him her his their du dich dir dein deine ihr euch sie tu te toi ton ta vous votre vos ils elle tú ti tus usted ustedes vosotros ellos ella".split()
 NEGATIONS = "not no never none neither nor nobody without nicht kein keine keinen nie niemals ohne pas ne jamais aucun aucune sans nunca jamás ningún ninguna sin tampoco".split()
 REPORTS = "said says say told tells wrote writes called calls claimed claims reported reports quoted allegedly sagte sagt schrieb nannte behauptete dit disait écrit appelé affirme dijo dice escribió llamó afirmó".split()
-THREATS = "kill killed die hurt destroy attack beat shoot stab burn hang murder töten umbringen sterben schlagen vernichten tuer mourir frapper détruire brûler matar morir golpear destruir quemar".split()
+THREATS = "kill killed hurt destroy attack beat shoot stab burn hang murder töten umbringen sterben schlagen vernichten tuer mourir frapper détruire brûler matar morir golpear destruir quemar".split()
 
 #: Symbols: other words, the end of a clause, function classes, then threats and
 #: insults in LEVELS steps of weight.
@@ -45,6 +46,9 @@ INSULT = 16
 LEVELS = 64
 #: Words that a negation reaches.
 REACH = 3
+#: What a mark makes of a hit's weight: reported or negated hits count for less,
+#: those aimed at someone for more.
+MARKS = {"R": 0.8, "N": 0.7, "T": 1.1}
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 _ENDS = frozenset(".!?;\n")
@@ -139,12 +143,14 @@ class Symbols(dict):
 
 
 class Grammar:
-    """Sums of weights by kind for a text."""
+    """Sums of weights by kind for a text with hits, its length, the insults' total and
+    the strongest hit's weight."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.symbols = lexicon, Symbols(lexicon)
         self.table, self.kinds = clause_machine()
         self.place = {k: i for i, k in enumerate(self.kinds)}
+        self.factor = {k: math.prod(MARKS.get(m, 1.0) for m in k) for k in self.kinds}
         self.names = {OTHER: "other", TARGET: "target", NEGATION: "negation", REPORT: "report", THREAT: "threat"}
 
     def clauses(self, text: str) -> list[bytes]:
@@ -155,7 +161,7 @@ class Grammar:
         return [c for c in _CLAUSE.findall(codes) if _MATCH.search(c)]
 
     def features(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.kinds) + 1)
+        out = np.zeros(len(self.kinds) + 3)
         found = self.clauses(text)
         best = 0.0
         for clause in found:
@@ -164,10 +170,11 @@ class Grammar:
                 kind, state = self.table[state][self.names.get(code, "insult")]
                 at = self.place.get(kind)
                 if at is not None:
-                    weight = self.lexicon.weight(code)
+                    weight = self.lexicon.weight(code) * self.factor[kind]
                     out[at] += weight
                     if code != THREAT:
                         best = max(best, weight)
+        out[-3], out[-2] = text.count(" ") if found else 0, sum(out[i] for k, i in self.place.items() if k.startswith("insult"))
         out = np.log1p(out)
         out[-1] = best
         return out
@@ -179,7 +186,7 @@ class Model:
 
     def scorer(self):
         grammar = Grammar(self.lexicon)
-        none = self._score(np.zeros(len(grammar.kinds) + 1))
+        none = self._score(np.zeros(len(grammar.kinds) + 3))
 
         def score(text: str) -> tuple[float, int]:
             n = len(grammar.clauses(text)) if text else 0
@@ -260,11 +267,11 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, ridge: float =
     half = np.arange(len(rows)) % 2 == 0
     lexicon = learn_lexicon([t for t, h in zip(texts, half, strict=True) if h], toxic[half])
     grammar = Grammar(lexicon)
-    x = np.stack([grammar.features(t) for t, h in zip(texts, half, strict=True) if not h] or [np.zeros(len(grammar.kinds) + 1)])
+    x = np.stack([grammar.features(t) for t, h in zip(texts, half, strict=True) if not h] or [np.zeros(len(grammar.kinds) + 3)])
     y = toxic[~half] if (~half).any() else toxic[:1]
     x = np.hstack([np.ones((len(x), 1)), x])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    keep[0] = 1e-3
+    keep[0], keep[1:-3] = 1e-3, 10 * ridge  # the marks' factors rule; kinds only adjust
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
