@@ -33,3 +33,14 @@ def test_coverage(spark, tmp_path):
     assert (total.n_total, total.n_inside, total.cap_cover_ratio, total.ssp) == (2, 1, pytest.approx(0.6667), "ssp126")
     region = spark.read.csv(f"{tmp_path}/out/coverage_by_region", header=True, inferSchema=True)
     assert region.filter("region_id = '6' and year = 2050").first().cap_total == 4 and region.filter("region_id = '1'").first().n_total == 0
+
+
+def test_study(spark, tmp_path):
+    from windrose.plans import jobs
+
+    rows = jobs.study(spark, str(tmp_path), 3, ["Japan"])
+    assert rows["station_monthly"] == 12 * rows["station_annual"] == 36 * rows["station_catalog"]
+    parts = spark.read.parquet(f"{tmp_path}/risk_decomposition").collect()
+    assert len(parts) == 2 * 3 * 2
+    for r in parts:
+        assert r.total_change == pytest.approx(r.climate_effect + r.deployment_effect + r.interaction_effect)

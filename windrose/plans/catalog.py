@@ -95,7 +95,7 @@ def q06b_coverage_by_group_total(spark, sf_dir):
 def q06c_dense_regions(spark, sf_dir):
     """A8b A8d J18: every macro-region, zeros kept."""
     s = spatial.raster_lookup(_located(views.sites(spark, sf_dir)), views.cells(spark), "region_id")
-    s = s.withColumn("inside", spatial.in_any_area(F.col("lon"), F.col("lat"))).filter("lat > 60")
+    s = s.withColumn("inside", spatial.in_any_area(F.col("lon"), F.col("lat")))
     regions = spark.createDataFrame(list(enumerate(K.MACRO_REGIONS, 1)), "region_id int, region_name string")
     return rounded(coverage.dense_regions(coverage.coverage(s, ["region_id"]), regions))
 
@@ -171,7 +171,7 @@ def q12_grid_occupancy(spark, sf_dir):
 
 def q12b_grid_by_region(spark, sf_dir):
     """A10b A10c A10d A7d."""
-    s = _located(views.sites(spark, sf_dir).filter("site_id % 3 = 0"), drop=True).withColumn("inside", F.col("capacity_gw") > 5)
+    s = _located(views.sites(spark, sf_dir), drop=True).withColumn("inside", F.col("capacity_gw") > 5)
     return rounded(spatial.grid_by_region(views.cells(spark), spatial.occupancy(s)))
 
 
@@ -458,7 +458,7 @@ def q43_value_by_family(spark, sf_dir):
     regular = regular.unionByName(c.filter("col % 3 = 0").select(F.lit("third").alias("grid_id"), F.col("row").alias("ilat"), (F.col("col") / 3).cast("int").alias("ilon"), (85.0 - 10.0 * F.col("row")).alias("lat"), (10.0 * F.col("col")).alias("lon"), F.col("region_id").cast("double").alias("value")))
     bent = c.select(F.lit("bent").alias("grid_id"), F.col("row").alias("ilat"), F.col("col").alias("ilon"), (84.0 - 10.0 * F.col("row") + 0.07 * F.col("col")).alias("lat"), (4.0 + 9.5 * F.col("col") + 0.11 * F.col("row")).alias("lon"), F.col("region_id").cast("double").alias("value"))
     family = F.element_at(F.array(*map(F.lit, ["even", "third", "bent", "none"])), (F.col("site_id") % 4 + 1).cast("int"))
-    points = views.sites(spark, sf_dir).filter("site_id <= 1200").select("site_id", "lon", "lat", family.alias("grid_id"))
+    points = views.sites(spark, sf_dir).select("site_id", "lon", "lat", family.alias("grid_id"))
     return spatial.value_by_family(points, regular, bent, "site_id", 6.0)
 
 

@@ -126,7 +126,7 @@ ORACLE_SQL = {
     "q06_coverage_rollup": f"WITH {_SITE}, {_BOXES}, {_inside('v_box')} SELECT coalesce(technology, 'all') AS technology, {_COVER} FROM v_in GROUP BY GROUPING SETS ((technology), ())",
     "q06b_coverage_by_group_total": f"""WITH {_SITE}, {_AREAS}, {_inside('v_area')} SELECT technology, CASE WHEN grouping(nation_key) = 1 THEN 'ALL' ELSE CAST(nation_key AS VARCHAR) END AS nation_key, {_COVER}
         FROM v_in GROUP BY GROUPING SETS ((technology, nation_key), (technology))""",
-    "q06c_dense_regions": f"""WITH {_SITE}, {_CELL}, {_AREAS}, {_inside('v_area')}, p AS (SELECT *, {_RC} FROM v_in WHERE lat > 60), g AS (SELECT region_id, {_COVER} FROM p JOIN v_cell USING (row, col) GROUP BY region_id),
+    "q06c_dense_regions": f"""WITH {_SITE}, {_CELL}, {_AREAS}, {_inside('v_area')}, p AS (SELECT *, {_RC} FROM v_in), g AS (SELECT region_id, {_COVER} FROM p JOIN v_cell USING (row, col) GROUP BY region_id),
         r AS (SELECT * FROM {_values(list(enumerate(K.MACRO_REGIONS, 1)), 'region_id, region_name')})
         SELECT r.region_id, region_name, coalesce(n_total, 0) AS n_total, coalesce(n_inside, 0) AS n_inside, coalesce(cap_total, 0) AS cap_total, coalesce(cap_inside, 0) AS cap_inside,
                coalesce(n_cover_ratio, 0) AS n_cover_ratio, coalesce(cap_cover_ratio, 0) AS cap_cover_ratio FROM r LEFT JOIN g ON r.region_id = g.region_id""",
@@ -153,7 +153,7 @@ ORACLE_SQL = {
     "q12_grid_occupancy": f"""WITH {_SITE}, p AS (SELECT *, CAST(floor((90.0::DOUBLE - lat) / 10.0::DOUBLE) AS INT) AS row, CAST(floor(lon360 / 10.0::DOUBLE) AS INT) AS col FROM v_at)
         SELECT row, col, count(*) AS n, round(sum(cap), 6) AS capacity_gw, bool_or(technology = 'solar') AS has_solar, bool_or(technology = 'wind') AS has_wind, bool_or(cap > 0) AS covered
         FROM p WHERE row BETWEEN 0 AND 17 AND col BETWEEN 0 AND 35 GROUP BY ALL""",
-    "q12b_grid_by_region": f"""WITH {_SITE}, {_CELL}, p AS (SELECT *, CAST(floor((90.0::DOUBLE - lat) / 10.0::DOUBLE) AS INT) AS row, CAST(floor(lon360 / 10.0::DOUBLE) AS INT) AS col FROM v_at WHERE site_id % 3 = 0),
+    "q12b_grid_by_region": f"""WITH {_SITE}, {_CELL}, p AS (SELECT *, CAST(floor((90.0::DOUBLE - lat) / 10.0::DOUBLE) AS INT) AS row, CAST(floor(lon360 / 10.0::DOUBLE) AS INT) AS col FROM v_at),
         o AS (SELECT row, col, sum(cap) AS cap, bool_or(technology = 'solar') AS s, bool_or(technology = 'wind') AS w, bool_or(cap > 5) AS k FROM p GROUP BY ALL)
         SELECT region_id, count(*) AS n_cells, count(*) FILTER (s) AS n_solar, count(*) FILTER (w) AS n_wind, count(*) FILTER (s OR w) AS n_any, count(*) FILTER (k) AS n_covered, round(coalesce(sum(cap), 0), 6) AS capacity_gw
         FROM v_cell LEFT JOIN o USING (row, col) WHERE region_id > 0 GROUP BY region_id""",
@@ -276,7 +276,7 @@ ORACLE_SQL = {
             SELECT 'even' AS grid_id, row // 2 AS ilat, col AS ilon, 85.0::DOUBLE - 10 * row AS y, 5.0::DOUBLE + 10 * col AS x, region_id FROM v_cell WHERE row % 2 = 0
             UNION ALL SELECT 'third', row, col // 3, 85.0::DOUBLE - 10 * row, 10.0::DOUBLE * col, region_id FROM v_cell WHERE col % 3 = 0
         ), b AS (SELECT row, col, 84.0::DOUBLE - 10.0 * row + 0.07::DOUBLE * col AS y, 4.0::DOUBLE + 9.5 * col + 0.11::DOUBLE * row AS x, region_id FROM v_cell
-        ), p AS (SELECT site_id, lat, lon360, CASE site_id % 4 WHEN 0 THEN 'even' WHEN 1 THEN 'third' WHEN 2 THEN 'bent' ELSE 'none' END AS grid_id FROM v_at WHERE site_id <= 1200
+        ), p AS (SELECT site_id, lat, lon360, CASE site_id % 4 WHEN 0 THEN 'even' WHEN 1 THEN 'third' WHEN 2 THEN 'bent' ELSE 'none' END AS grid_id FROM v_at
         ), r AS (
             SELECT site_id, arg_min(region_id, struct_pack(a := abs(y - lat), i := ilat, o := least(abs(x - lon360), 360 - abs(x - lon360)), j := ilon)) AS v FROM p JOIN g USING (grid_id) GROUP BY site_id
             UNION ALL SELECT site_id, arg_min(region_id, struct_pack(d := pow(y - lat, 2) + pow(CASE WHEN x >= 360 THEN x - 360 ELSE x END - lon360, 2), r := row, c := col)) FROM p, b WHERE grid_id = 'bent' GROUP BY site_id)

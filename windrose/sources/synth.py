@@ -6,12 +6,14 @@ the same however its rows are partitioned and whatever is computed again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import annual_generation, cf_multiplier, clip, days_in_month, deployment_multiplier, hazard_multiplier, lookup, season, sigmoid
-from ..operators import generation, risk
+from ..operators import generation, risk, scenario
 
 
 class Draws:
@@ -119,23 +121,30 @@ def event_hazard(base: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def study(spark: SparkSession, seed: int = 42, countries: list[str] | None = None) -> dict[str, DataFrame]:
-    """All tables of a study, each a plan over those before it."""
+def study(spark: SparkSession, seed: int = 42, countries: list[str] | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """All tables of a study.  keep: what those that build on a table use for it,
+    such as the table written and read again; as it stands, its plan."""
     r, key = Draws(seed), ("station_id", "climate_ssp", "event_type")
     noise = lambda name, sigma: r.lognormal(name, sigma, *key)
     near = r.uniform("event", *key, low=K.EVENT_CF_RANGE[0], high=K.EVENT_CF_RANGE[1])
-    t: dict[str, DataFrame] = {"country_base": country_base(spark, seed, countries)}
-    t["station_catalog"] = station_catalog(t["country_base"], seed)
-    t["station_annual"] = station_annual(t["station_catalog"], seed)
-    t["station_monthly"] = station_monthly(t["station_annual"], seed)
-    t["country_annual"] = country_annual(t["station_annual"])
-    t["country_event_hazard"] = event_hazard(t["country_base"], seed)
-    t["station_event_exposure"] = risk.exposures(t["station_catalog"], t["station_annual"], t["country_event_hazard"], noise("local", K.EXPOSURE_SIGMA), noise("share", K.EXPOSED_GENERATION_SIGMA))
-    t["country_event_exposure"] = risk.country_exposure(t["station_event_exposure"])
-    t["station_event_losses"] = risk.losses(t["station_event_exposure"], t["station_annual"], noise("harm", K.VULNERABILITY_SIGMA), near)
-    t["country_event_losses"] = risk.country_losses(t["station_event_losses"])
-    t["risk_matrix"] = risk.risk_matrix(t["country_event_losses"])
-    t["country_risk_profile"] = risk.country_profile(t["risk_matrix"])
-    t["country_event_contribution"] = risk.event_contribution(t["country_event_losses"])
-    t["country_technology_vulnerability"] = risk.technology_vulnerability(t["country_event_losses"])
-    return t
+    steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+        "country_base": lambda t: country_base(spark, seed, countries),
+        "station_catalog": lambda t: station_catalog(t["country_base"], seed),
+        "station_annual": lambda t: station_annual(t["station_catalog"], seed),
+        "station_monthly": lambda t: station_monthly(t["station_annual"], seed),
+        "country_annual": lambda t: country_annual(t["station_annual"]),
+        "country_event_hazard": lambda t: event_hazard(t["country_base"], seed),
+        "station_event_exposure": lambda t: risk.exposures(t["station_catalog"], t["station_annual"], t["country_event_hazard"], noise("local", K.EXPOSURE_SIGMA), noise("share", K.EXPOSED_GENERATION_SIGMA)),
+        "country_event_exposure": lambda t: risk.country_exposure(t["station_event_exposure"]),
+        "station_event_losses": lambda t: risk.losses(t["station_event_exposure"], t["station_annual"], noise("harm", K.VULNERABILITY_SIGMA), near),
+        "country_event_losses": lambda t: risk.country_losses(t["station_event_losses"]),
+        "risk_matrix": lambda t: risk.risk_matrix(t["country_event_losses"]),
+        "risk_decomposition": lambda t: scenario.decomposition(t["risk_matrix"], ["country", "technology", "target_year"], "loss_mwh"),
+        "country_risk_profile": lambda t: risk.country_profile(t["risk_matrix"]),
+        "country_event_contribution": lambda t: risk.event_contribution(t["country_event_losses"]),
+        "country_technology_vulnerability": lambda t: risk.technology_vulnerability(t["country_event_losses"]),
+    }
+    tables: dict[str, DataFrame] = {}
+    for name, make in steps.items():
+        tables[name] = keep(name, make(tables))
+    return tables
