@@ -46,24 +46,26 @@ def first_area_join(points: DataFrame, areas: DataFrame, id_col: str, default: s
     return points.crossJoin(F.broadcast(rows)).select(id_col, F.coalesce(F.get(hit, F.lit(0))["name"], F.lit(default)).alias("area"))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None) -> DataFrame:
+def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None, band: float = 1.0) -> DataFrame:
     """The first polygon (lowest ordinal) that contains the point; with
     boundary, points on an outline fall to the first polygon that covers them.
     J5b without.
 
-    edges: poly_ordinal, name, x1, y1, x2, y2.  Points meet only the polygons whose
-    bounding box holds them."""
-    boxes = edges.groupBy("poly_ordinal", "name").agg(
-        F.least(F.min("x1"), F.min("x2")).alias("w"), F.greatest(F.max("x1"), F.max("x2")).alias("e"), F.least(F.min("y1"), F.min("y2")).alias("s"), F.greatest(F.max("y1"), F.max("y2")).alias("n"),
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-    )
+    edges: poly_ordinal, name, x1, y1, x2, y2.  Edges are dealt to the latitude bands
+    that they reach into, and a point meets the edges of its band that a ray to the
+    east from it can cross, whichever polygon they belong to; an odd number of
+    crossings of a polygon, holes included, means inside."""
     lon, lat = F.col("lon"), F.col("lat")
-    near = points.select(id_col, "lon", "lat").join(F.broadcast(boxes), lon.between(F.col("w"), F.col("e")) & lat.between(F.col("s"), F.col("n")))
-    odd = F.size(F.filter("edges", lambda g: crosses(lon, lat, g.x1, g.y1, g.x2, g.y2))) % 2 == 1
-    edge = F.exists("edges", lambda g: on_edge(lon, lat, g.x1, g.y1, g.x2, g.y2))
-    rank = F.when(odd & ~edge, 0).when(edge & F.lit(boundary), 1)
-    best = near.select(id_col, rank.alias("pass"), "poly_ordinal", "name").filter("pass is not null").groupBy(id_col).agg(F.min(F.struct("pass", "poly_ordinal", "name")).alias("hit"))
-    found = points.join(best, id_col, "left")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    number = lambda y: F.floor(y / band)
+    dealt = edges.select("poly_ordinal", "name", "x1", "y1", "x2", "y2", F.explode(F.sequence(number(low), number(high))).alias("__band"))
+    asked = points.select(F.col(id_col).alias("__id"), "lon", "lat", number(lat).alias("__band"))
+    met = asked.join(dealt, "__band").filter((lat >= low) & (lat <= high) & (lon <= F.greatest("x1", "x2")))
+    ends = (lon, lat, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    by = met.groupBy("__id", "poly_ordinal", "name").agg((F.count_if(crosses(*ends)) % 2 == 1).alias("odd"), F.bool_or(on_edge(*ends)).alias("edge"))
+    rank = F.when(F.col("odd") & ~F.col("edge"), 0).when(F.col("edge") & F.lit(boundary), 1)
+    best = by.select("__id", rank.alias("pass"), "poly_ordinal", "name").filter("pass is not null").groupBy("__id").agg(F.min(F.struct("pass", "poly_ordinal", "name")).alias("hit"))
+    found = points.join(best, F.col(id_col) == F.col("__id"), "left")
     return found.select(*points.columns, F.coalesce("hit.name", F.lit(default)).alias("polygon"))
 
 
