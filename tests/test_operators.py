@@ -181,6 +181,8 @@ def test_fill_background_takes_the_lowest_tie(spark):
     cells = spark.createDataFrame([(0, 0, 0), (0, 1, 5), (1, 0, 7), (2, 2, 9)], "row int, col int, region_id int")
     wanted = spark.createDataFrame([(0, 0)], "row int, col int")
     assert spatial.fill_background(cells, wanted, "region_id").first().region_id == 5
+    far = spark.createDataFrame([(0, 900, 4), (0, 100, 3)], "row int, col int, region_id int")
+    assert spatial.fill_background(far, spark.createDataFrame([(0, 850)], "row int, col int"), "region_id").first().region_id == 4
 
 
 def test_edge_bands_of_an_empty_grid(spark):

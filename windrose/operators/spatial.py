@@ -94,40 +94,42 @@ def nearest_on_axis(value: Column, axis: list[float], periodic: bool = False) ->
     return F.array_min(ranked)["i"]
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", strict: bool = True) -> DataFrame:
-    """The nearest cell within reach (below it, if strict), planar in
-    degrees with longitude in [0, 360); the lowest cell id among equals.  Both sides
-    meet in squares of that size, a point in the nine around it."""
+def nearest_cell(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", strict: bool = True, degrees: bool = True) -> DataFrame:
+    """The nearest cell within reach (below it, if strict), planar, in
+    degrees with longitude in [0, 360) or else in any unit; the lowest cell id among
+    equals.  Both sides meet in squares of that size, a point in the nine around it."""
+    across = to_360 if degrees else (lambda x: x)
     square = lambda c: F.floor(c / reach)
-    p = points.select(id_col, F.col("lat").alias("__lat"), to_360(F.col("lon")).alias("__lon"))
+    p = points.select(id_col, F.col("lat").alias("__lat"), across(F.col("lon")).alias("__lon"))
     around = F.explode(F.array(*(F.struct((square(F.col("__lat")) + i).alias("a"), (square(F.col("__lon")) + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     p = p.withColumn("__s", around).select(id_col, "__lat", "__lon", F.col("__s.a").alias("a"), F.col("__s.b").alias("b"))
-    c = cells.select(F.col(cell_id), F.col("lat").alias("__y"), to_360(F.col("lon")).alias("__x")).withColumns({"a": square(F.col("__y")), "b": square(F.col("__x"))})
+    c = cells.select(F.col(cell_id), F.col("lat").alias("__y"), across(F.col("lon")).alias("__x")).withColumns({"a": square(F.col("__y")), "b": square(F.col("__x"))})
     d2 = (F.col("__y") - F.col("__lat")) ** 2 + (F.col("__x") - F.col("__lon")) ** 2
     met = p.join(c, ["a", "b"]).withColumn("d2", d2).filter(F.col("d2") < reach**2 if strict else F.col("d2") <= reach**2)
     return met.groupBy(id_col).agg(F.min(F.struct("d2", cell_id)).alias("best")).select(id_col, F.col(f"best.{cell_id}").alias(cell_id), F.sqrt("best.d2").alias("distance"))
 
 
-def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id") -> DataFrame:
+def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", degrees: bool = True, most: float = 1 << 20) -> DataFrame:
     """J9 without a bound: the reach doubles for the points that have found none."""
     found, left, total = None, points, cells.limit(1).count()
-    while total and reach < 1024:
-        got = nearest_cell(left, cells, id_col, reach, cell_id, strict=False)
+    while total and reach < most:
+        got = nearest_cell(left, cells, id_col, reach, cell_id, strict=False, degrees=degrees)
         got = got.checkpoint() if points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else got.persist()
         found = got if found is None else found.unionByName(got)
         left = left.join(got, id_col, "left_anti")
         if not left.limit(1).count():
             break
         reach *= 2
-    return found if found is not None else nearest_cell(points, cells, id_col, reach, cell_id)
+    return found if found is not None else nearest_cell(points, cells, id_col, reach, cell_id, degrees=degrees)
 
 
-def fill_background(cells: DataFrame, wanted: DataFrame, value: str, reach: int = 64) -> DataFrame:
+def fill_background(cells: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
     """For the wanted cells (row, col) the value of the nearest cell with
-    one above 0, the lowest row and column among equals."""
+    one above 0, the lowest row and column among equals; the search widens from the
+    neighbours on, so few cells meet a wanted one near the coast."""
     land = cells.filter(F.col(value) > 0).select(F.col("row").alias("lat"), F.col("col").cast("double").alias("lon"), F.struct("row", "col", value).alias("cell_id"))
     points = wanted.select(F.struct("row", "col").alias("key"), F.col("row").alias("lat"), F.col("col").cast("double").alias("lon")).distinct()
-    near = nearest_cell(points, land, "key", float(reach), strict=False)
+    near = nearest_any(points, land, "key", 4.0, degrees=False)
     return near.select("key.row", "key.col", F.col(f"cell_id.{value}").alias(value))
 
 
