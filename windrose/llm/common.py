@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table that lies in fewer partitions than there are cores, dealt out to them;
+    larger ones stay as they are.  Not for callers that number rows by their place."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def keep_tables(spark: SparkSession) -> None:
     """Set a checkpoint folder where the session names none (as in tests)."""
     sc = spark.sparkContext

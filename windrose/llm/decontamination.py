@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 #: Between words: any ASCII character that is neither a digit nor a small letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,13 +89,12 @@ def _candidates(df: DataFrame, hashes: dict[int, list[int]], spans: dict[int, li
     return F.concat(*found)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 20_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 20_000, row_col: str | None = None) -> DataFrame:
     """``doc_id, row, n_words, n_hit, items, spans`` for each row of docs; items:
     sorted ids, as strings, of the items with an occurring window; spans: structs
-    of ``at`` and ``len``, in words."""
+    of ``at`` and ``len``, in words; row: row_col, else a number."""
     if n < GRAM:
         raise ValueError(f"n must be {GRAM} at least")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("parts")).select("doc_id", "row", _trimmed(F.col("parts")).alias("words"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("parts")).select("item", _trimmed(F.col("parts")).alias("words"))
     items = gram_hashes(items, [1, 2, 3, 4]).filter("n_words > 0")
     long = F.col("n_words") >= GRAM
@@ -107,6 +106,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ).distinct()
     set_rows = marks.limit(max_set + 1).collect()
     whole = len(set_rows) <= max_set
+    source = spread(docs) if whole and row_col is None else docs  # read once then, so numbers hold
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    base = source.select(F.col(id_col).alias("doc_id"), row.alias("row"), words(F.col(text_col)).alias("parts")).select("doc_id", "row", _trimmed(F.col("parts")).alias("words"))
     lengths = sorted({r.len for r in (set_rows if whole else marks.select("len").distinct().collect())})
     empty = F.array().cast("array<struct<at:int,len:int>>")
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -167,7 +169,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     name = "__contaminated_row"
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     # written, so that its size is known: a small one is broadcast and texts stay where they are
-    bad = written(contamination(docs, benchmark, id_col=id_col, **kw).filter("contaminated").select(F.col("row").alias(name)))
+    bad = written(contamination(numbered, benchmark, id_col=id_col, row_col=name, **kw).filter("contaminated").select(F.col("row").alias(name)))
     return numbered.join(bad, name, "left_anti").drop(name)
 
 
@@ -176,7 +178,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     from the texts; the rest of a text stays as it is, and a null text null."""
     name, spans = "__contaminated_row", "__contaminated_spans"
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    found = find_contamination(docs, benchmark, text_col=text_col, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
+    found = find_contamination(numbered, benchmark, text_col=text_col, row_col=name, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
     # words and what is between them in turn; A-Z are word characters here
     between = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{between}|{between.replace('[', '[^', 1)}"), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread, table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .language_id import language_id
@@ -24,7 +24,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
+    return encode_decode(spread(table(spark, sf_dir, "documents")), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +32,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    return substring_dedup(spread(table(spark, sf_dir, "documents")), keep_text=False)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +48,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return token_counts(spread(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_classes(table(spark, sf_dir, "documents"))
+    return simhash_classes(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
