@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,25 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the workers, once an application, wherever it was imported
+    from here; Spark brings the file to every executor."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    _shipped.add(sc.applicationId)
+    path = f"{tempfile.mkdtemp()}/{package.name}_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +48,7 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def keep_tables(spark: SparkSession) -> None:
     """Set a checkpoint folder where the session names none (as in tests)."""
+    ship(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -104,4 +126,5 @@ def by_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], tex
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, held_out, two_columns
+from .common import by_slice, held_out, ship, two_columns
 from .samples import class_sample, texts_of
 
 # Fixed word lists, by symbol.
@@ -299,6 +299,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose text scores below the threshold, with their columns."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
