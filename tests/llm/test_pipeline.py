@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import shutil
 import subprocess
@@ -101,3 +102,17 @@ def test_the_rest_works_without_this_package(tmp_path):
 def test_ids_are_whole(spark, corpus):
     r = corpus_pipeline.encode(spark, spark.read.parquet(f"{corpus[0]}/documents.parquet"), corpus[0]).first()
     assert np.array(r.ids, "<u4").tobytes() and r.n_tokens == len(r.ids)
+
+
+def test_workers_get_the_package(corpus, tmp_path):
+    """From a folder where nothing of this repository can be imported."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.queries()["op9_language_id"](spark, {corpus[0]!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 162" in done.stdout, done.stderr[-1500:]
