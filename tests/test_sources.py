@@ -119,3 +119,10 @@ def test_risk_counts_capacity_once_for_each_event(study):
     whole, risk = ({(r.country, r.technology): r.capacity_mw for r in t.collect()} for t in (whole, risk))
     for (country, tech), v in risk.items():
         assert v == pytest.approx(whole[country, tech] * (2 if tech == "wind" else 3))
+
+
+def test_q42_runs_over_all_countries(spark):
+    from windrose.plans.catalog import QUERIES
+
+    got = QUERIES["q42_study_losses"](spark, "")
+    assert got.columns[0] == "country" and {r.country for r in got.select("country").distinct().collect()} == set(K.COUNTRIES)
