@@ -2,17 +2,18 @@
 
 The documents are stored once as compressed slices.  Then:
 
-1. Count-min prefilter.  Each slice sketches its windows: the sorted counter
-   positions of their hashes and which of them it counts twice itself.  Slices'
-   sketches are merged by ranges of counters, where each counter adds up what
-   the slices have, and each slice gets back, as bits, which of its counters
-   reach two.  A counter can only overestimate, so no repeated window is lost.
-   There are ``spare`` counters to a window, whatever the number of windows, in
-   ranges of a fixed size, so neither a task nor a broadcast grows with them.
-2. Exact groups.  Only windows estimated repeated are compared, by 96 bits of
-   hash, one row for each distinct window of a slice; a slice gets back which of
-   them occur elsewhere or, as it knows itself, twice in the slice.  A window in
-   a third of all documents is one row for each slice at most.
+1. Count-min prefilter.  Each slice sketches its windows in two rows of counters by
+   independent hashes: the sorted counter positions and which of them it counts twice
+   itself.  Slices' sketches are merged by ranges of counters, where each counter adds
+   up what the slices have, and each slice gets back, as bits, which of its counters
+   reach two.  A window's estimate is the minimum of its two counters, which can only
+   overestimate, so no repeated window is lost.  There are ``spare`` counters to a
+   window in each row, whatever the number of windows, in ranges of a fixed size, so
+   neither a task nor a broadcast grows with them.
+2. Exact groups.  Only windows estimated repeated are compared, by 128 bits of BLAKE2b
+   of their words, one row for each distinct window of a slice; a slice gets back
+   which of them occur elsewhere or, as it knows itself, twice in the slice.  A window
+   in a third of all documents is one row for each slice at most.
 3. Each slice removes the words that its repeated windows cover.
 
 Null and empty texts have no words.  A text of fewer words than a window keeps
@@ -23,6 +24,7 @@ rows; other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,17 @@ from pyspark.sql import functions as F
 from .common import saved, slices, two_columns
 from .windows import Words, buffers
 
-#: Counters in a range, as a power of two; a byte each where sketches are merged.
-RANGE_BITS = 25
+#: Rows of counters.
+ROWS = 2
+
+
+class Size(NamedTuple):
+    """Words in a window; counters in a row and in a range of it, as powers of two.
+    Where sketches are merged, a range takes a byte for each of its counters."""
+
+    n: int
+    counter_bits: int
+    range_bits: int
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -47,7 +58,7 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-def sliced(docs: DataFrame, n: int, size: int = 4 << 20) -> DataFrame:
+def sliced(docs: DataFrame, n: int, size: int) -> DataFrame:
     """``blob, n_windows``: docs (doc_id, text) in compressed slices."""
 
     def run(batches):
@@ -61,18 +72,29 @@ def sliced(docs: DataFrame, n: int, size: int = 4 << 20) -> DataFrame:
 
 
 def gaps(sorted_values: np.ndarray) -> bytes:
-    """Ascending distinct numbers from 0 as 16-bit steps; 65535: that far, no number."""
+    """Ascending distinct numbers from 0 as steps of seven bits a byte, lowest first;
+    all bytes of a step but the last have their high bit set."""
     step = np.diff(sorted_values.astype(np.int64), prepend=-1) - 1
-    full = step // 65535
-    out = np.full(len(step) + int(full.sum()), 65535, np.uint16)
-    out[np.cumsum(full + 1) - 1] = step % 65535
+    size = np.ones(len(step), np.int64)
+    for k in range(1, 9):
+        size += step >= 1 << 7 * k
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = size > k
+        out[at[own] + k] = (step[own] >> 7 * k & 127) | (size[own] > k + 1) * 128
     return out.tobytes()
 
 
 def from_gaps(blob: bytes) -> np.ndarray:
-    step = np.frombuffer(blob, np.uint16).astype(np.int64)
-    ends = step != 65535
-    return (np.cumsum(np.where(ends, step + 1, step)) - 1)[ends]
+    data = np.frombuffer(blob, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    step = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, starts)
+    return np.cumsum(step + 1) - 1
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -84,40 +106,58 @@ def from_bits(blob: bytes, n: int) -> np.ndarray:
 
 
 class Sketch:
-    """A slice's windows in order of their hashes, and their counters."""
+    """A slice's windows and their counters."""
 
-    def __init__(self, blob: bytes, n: int, counter_bits: int):
-        self.batch = _unpacked(blob)
+    def __init__(self, blob: bytes, size: Size):
+        self.batch, self.size = _unpacked(blob), size
         self.words = Words(*buffers(self.batch.column(1)))
-        first, high, low = self.words.windows(n)
-        order = np.argsort(high, kind="stable")
-        if len(high) and ((np.diff(high[order]) == 0) & (low[order][1:] != low[order][:-1])).any():
-            order = np.lexsort((low, high))
-        self.first, self.high, self.low = first[order], high[order], low[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.high[1:] != self.high[:-1]) | (self.low[1:] != self.low[:-1])
-        self.group = np.cumsum(new) - 1  # of each window: its distinct window
-        self.own = np.flatnonzero(new)
-        self.twice = np.bincount(self.group, minlength=len(self.own)) > 1
-        counters = self.high >> np.uint64(64 - counter_bits)
-        fresh = np.ones(len(counters), bool)
-        fresh[1:] = counters[1:] != counters[:-1]
-        self.counters = counters[fresh].astype(np.int64)
-        self.counter_of = (np.cumsum(fresh) - 1)[self.own]
-        self.counted_twice = np.bincount(np.cumsum(fresh) - 1, minlength=len(self.counters)) > 1
-        self.part = self.counters >> RANGE_BITS
+        self.first, hashes = self.words.windows(size.n, ROWS)
+        #: Of each row: its counters in order, which count twice, and each window's counter.
+        self.rows = []
+        for h in hashes:
+            counters, of, times = np.unique(h >> np.uint64(64 - size.counter_bits), return_inverse=True, return_counts=True)
+            self.rows.append((counters.astype(np.int64), times > 1, of))
 
     def parts(self):
-        edges = np.flatnonzero(np.diff(self.part, prepend=-1))
-        yield from zip(edges.tolist(), [*edges[1:].tolist(), len(self.part)], strict=True)
-
-
-def _ask(n: int, counter_bits: int):
+        """Row, number and bounds of each range of counters that the slice has."""
+        ranges = 1 << max(0, self.size.counter_bits - self.size.range_bits)
+        for k, (counters, _, _) in enumerate(self.rows):
+            part = counters >> self.size.range_bits
+            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(part)], strict=False):
+                yield k, k * ranges + int(part[a]), a, b
+
+    def likely(self, answers: list[dict]) -> np.ndarray:
+        """First words of the windows of which both counters reach two."""
+        by = {x["part"]: x["answer"] for x in answers or ()}
+        high = [np.zeros(len(counters), bool) for counters, _, _ in self.rows]
+        for k, part, a, b in self.parts():
+            high[k][a:b] = from_bits(by[part], b - a)
+        return self.first[np.logical_and.reduce([high[k][of] for k, (_, _, of) in enumerate(self.rows)])]
+
+    def distinct(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows among those at the given words, as sorted digests, how
+        often each occurs here, and which each of the given is."""
+        return in_groups(self.words.digests(first, self.size.n))
+
+
+def in_groups(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, their counts, and the number of each row among them."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    own = digests[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]).any(1)
+    group = np.empty(len(own), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return own[new], np.bincount(group, minlength=int(new.sum())), group
+
+
+def _ask(size: Size):
     def run(batches):
         for batch in batches:
             for sid, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = Sketch(blob.as_py(), n, counter_bits)
-                rows = [(sid, int(s.part[a]), gaps(s.counters[a:b] & (1 << RANGE_BITS) - 1), bits(s.counted_twice[a:b])) for a, b in s.parts()]
+                s = Sketch(blob.as_py(), size)
+                rows = [(sid, part, gaps(s.rows[k][0][a:b] & (1 << size.range_bits) - 1), bits(s.rows[k][1][a:b])) for k, part, a, b in s.parts()]
                 if rows:
                     yield _rows(rows, ("sid", pa.int64()), ("part", pa.int64()), ("counters", pa.binary()), ("twice", pa.binary()))
 
@@ -142,12 +182,12 @@ def _by_key(batches, key: int):
         yield held
 
 
-def _merge_sketches(counter_bits: int):
+def _merge_sketches(size: Size):
     """Adds up the counters of each range; answers which reach two."""
 
     def run(batches):
         for rows in _by_key(batches, 1):
-            total = np.zeros(1 << min(RANGE_BITS, counter_bits), np.uint8)
+            total = np.zeros(1 << min(size.range_bits, size.counter_bits), np.uint8)
             for _, _, counters, twice in rows:
                 at = from_gaps(counters)
                 total[at] = np.minimum(total[at] + 1 + from_bits(twice, len(at)), 2)
@@ -156,30 +196,19 @@ def _merge_sketches(counter_bits: int):
     return run
 
 
-def _answers(s: Sketch, answers: list[dict]) -> np.ndarray:
-    """Which distinct windows of the slice are estimated repeated."""
-    by = {x["part"]: x["answer"] for x in answers or ()}
-    high = np.zeros(len(s.counters), bool)
-    for a, b in s.parts():
-        high[a:b] = from_bits(by[int(s.part[a])], b - a)
-    return high[s.counter_of]
-
-
-def _offer(n: int, counter_bits: int, buckets: int):
-    """The windows that are estimated repeated, by ranges of their hashes."""
+def _offer(size: Size, buckets: int):
+    """The windows that are estimated repeated, by ranges of their digests."""
 
     def run(batches):
         for batch in batches:
             for sid, blob, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                s = Sketch(blob.as_py(), n, counter_bits)
-                likely = _answers(s, answers)
-                own = s.own[likely]
-                high, low, twice = s.high[own], s.low[own], s.twice[likely]
-                bucket = ((high >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                s = Sketch(blob.as_py(), size)
+                own, times, _ = s.distinct(s.likely(answers))
+                bucket = ((own[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                rows = [(sid, int(bucket[a]), high[a:b].tobytes(), low[a:b].tobytes(), bits(twice[a:b])) for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True)]
+                rows = [(sid, int(bucket[a]), own[a:b].tobytes(), bits(times[a:b] > 1)) for a, b in zip(edges, [*edges[1:], len(bucket)], strict=False)]
                 if rows:
-                    yield _rows(rows, ("sid", pa.int64()), ("bucket", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("twice", pa.binary()))
+                    yield _rows(rows, ("sid", pa.int64()), ("bucket", pa.int64()), ("digests", pa.binary()), ("twice", pa.binary()))
 
     return run
 
@@ -187,33 +216,25 @@ def _offer(n: int, counter_bits: int, buckets: int):
 def _group(batches):
     """Of the windows of a bucket: which occur twice in a slice or in two slices."""
     for rows in _by_key(batches, 1):
-        high = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        low = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
-        sizes = [len(r[2]) // 8 for r in rows]
-        twice = np.concatenate([from_bits(r[4], k) for r, k in zip(rows, sizes, strict=True)])
-        order = np.argsort(high, kind="stable")
-        if ((np.diff(high[order]) == 0) & (low[order][1:] != low[order][:-1])).any():
-            order = np.lexsort((low, high))
-        new = np.ones(len(order), bool)
-        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-        group = np.cumsum(new) - 1
-        repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=twice[order]) > 0)
-        found = np.empty(len(order), bool)
-        found[order] = repeated[group]
+        sizes = [len(r[2]) // 16 for r in rows]
+        twice = np.concatenate([from_bits(r[3], k) for r, k in zip(rows, sizes, strict=True)])
+        _, times, group = in_groups(np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, 2))
+        repeated = (times > 1) | (np.bincount(group, weights=twice) > 0)
+        found = repeated[group]
         at = np.cumsum([0, *sizes])
         yield _rows([(r[0], r[1], bits(found[a:b]), int(b - a)) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)], ("sid", pa.int64()), ("bucket", pa.int64()), ("found", pa.binary()), ("n", pa.int64()))
 
 
-def _remove(n: int, counter_bits: int, keep_text: bool):
+def _remove(size: Size, keep_text: bool):
     def run(batches):
         for batch in batches:
             for blob, answers, found in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                s = Sketch(blob.as_py(), n, counter_bits)
-                flags = np.zeros(len(s.own), bool)
+                s = Sketch(blob.as_py(), size)
+                first = s.likely(answers)
                 if found:
-                    parts = [from_bits(x["found"], x["n"]) for x in sorted(found, key=lambda x: x["bucket"])]
-                    flags[_answers(s, answers)] = np.concatenate(parts)
-                gone = s.words.covered(s.first[flags[s.group]], n)
+                    repeated = np.concatenate([from_bits(x["found"], x["n"]) for x in sorted(found, key=lambda x: x["bucket"])])
+                    first = first[repeated[s.distinct(first)[2]]]
+                gone = s.words.covered(first, size.n)
                 data, at = s.words.kept_texts(gone)
                 view, ends = memoryview(data), at.tolist()
                 out = {
@@ -229,22 +250,26 @@ def _remove(n: int, counter_bits: int, keep_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 35, spare: int = 32, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 35, spare: int = 8, keep_text: bool = True, slice_bytes: int = 4 << 20, range_bits: int = 25, bucket: int = 2_000_000) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of docs, and with
-    keep_text ``kept``, the words that stay joined by a space."""
+    keep_text ``kept``, the words that stay joined by a space.
+
+    spare: counters to a window in each row; slice_bytes: of text in a slice; bucket:
+    windows that are grouped at a time."""
     picked = two_columns(docs, id_col, text_col)
-    parts = saved(sliced(picked, n).withColumn("sid", F.monotonically_increasing_id()))
+    parts = saved(sliced(picked, n, slice_bytes).withColumn("sid", F.monotonically_increasing_id()))
     windows = parts.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0]
     counter_bits = min(62, max(16, int(spare * windows).bit_length()))
-    buckets = max(64, windows // 2_000_000)
+    size = Size(n, counter_bits, range_bits)
+    buckets = max(64, windows // bucket)
     parts = parts.select("sid", "blob")
-    asked = parts.mapInArrow(_ask(n, counter_bits), "sid long, part long, counters binary, twice binary")
-    answered = saved(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_merge_sketches(counter_bits), "sid long, part long, answer binary"))
+    asked = parts.mapInArrow(_ask(size), "sid long, part long, counters binary, twice binary")
+    answered = saved(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_merge_sketches(size), "sid long, part long, answer binary"))
     by_slice = answered.groupBy("sid").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
     likely = parts.join(by_slice, "sid", "left").select("sid", "blob", "answers")
-    rows = likely.mapInArrow(_offer(n, counter_bits, buckets), "sid long, bucket long, high binary, low binary, twice binary")
+    rows = likely.mapInArrow(_offer(size, buckets), "sid long, bucket long, digests binary, twice binary")
     found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_group, "sid long, bucket long, found binary, n long")
     found = found.groupBy("sid").agg(F.collect_list(F.struct("bucket", "found", "n")).alias("found"))
     done = likely.join(found, "sid", "left").select("blob", "answers", "found")
     schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
-    return done.mapInArrow(_remove(n, counter_bits, keep_text), schema + ", kept string" * keep_text)
+    return done.mapInArrow(_remove(size, keep_text), schema + ", kept string" * keep_text)

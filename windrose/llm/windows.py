@@ -1,11 +1,14 @@
 """Words and word windows of many texts at once, hashed with numpy.
 
-A word's hash is a polynomial over its bytes, a window's one over its words'
-hashes, both modulo 2^64 and mixed; prefix sums give them without a loop.
+A word's hash is a pair of polynomials over its bytes modulo two primes, mixed; prefix
+sums give them without a loop.  A window's hash joins those of its halves again and
+again, which is no polynomial.  These hashes only find candidates; what must be equal
+is compared by ``digests`` of the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -15,26 +18,28 @@ import pyarrow as pa
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Prime moduli below 2^31 and a base for each.
+_MODULI = ((2147483647, 1284865837), (2147483629, 1103515245))
+#: Bytes of a word up to which its sums stay below 2^64.
+_LONG = 1 << 24
 
 
-@lru_cache(4)
-def _powers(base: int, size: int) -> np.ndarray:
+@lru_cache(8)
+def _powers(base: int, modulus: int, size: int) -> np.ndarray:
     out = np.empty(size, np.uint64)
     out[:1] = 1
     done = 1
     while done < size:
         more = min(done, size - done)
-        step = np.uint64(int(out[done - 1]) * base & (1 << 64) - 1)
-        out[done : done + more] = out[:more] * step
+        out[done : done + more] = out[:more] * np.uint64(int(out[done - 1]) * base % modulus) % np.uint64(modulus)
         done += more
     return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n - 1) modulo 2^64."""
+def powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) by the modulus."""
     size = 1 << max(10, int(n - 1).bit_length())
-    return _powers(base, size)[:n]
+    return _powers(base, modulus, size)[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,10 +50,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair of hashes."""
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) + np.uint64(0xD6E8FEB86659FD93))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +83,48 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=len(at) - 1)
 
     def hashes(self) -> np.ndarray:
-        base = _BASES[0]
-        sums = _sums(self.data.astype(np.uint64) + np.uint64(1), base)
-        back = powers(pow(base, -1, 1 << 64), len(self.data) + 1)
-        return mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
-
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, 64-bit hash and another 32-bit hash of each window of n words."""
+        """A 64-bit hash of each word."""
+        out = np.zeros(len(self.starts), np.uint64)
+        for modulus, base in _MODULI:
+            m = np.uint64(modulus)
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(base, modulus, len(self.data)), out=sums[1:])
+            back = powers(pow(base, -1, modulus), modulus, len(self.data) + 1)
+            out = (out << np.uint64(32)) + (sums[self.ends] - sums[self.starts]) % m * back[self.starts] % m
+        for k in np.flatnonzero(self.ends - self.starts > _LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[self.starts[k] : self.ends[k]], digest_size=8).digest(), "little")
+        return mixed(out)
+
+    def windows(self, n: int, rows: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+        """First word, and so many independent 64-bit hashes, of each window of n words."""
         first = np.arange(max(0, len(self.doc) - n + 1))
         first = first[self.doc[first] == self.doc[first + n - 1]]
-        own = self.hashes()
-        out = []
-        for base in _BASES:
-            sums = _sums(own, base)
-            back = powers(pow(base, -1, 1 << 64), len(own) + 1)
-            out.append(mixed((sums[first + n] - sums[first]) * back[first]))
-        return first, out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+        own, out = self.hashes(), []
+        for row in range(rows):
+            h = mixed(own + np.uint64((2 * row + 1) * 0xA0761D6478BD642F & (1 << 64) - 1))
+            whole, done, size = None, 0, 1  # h: of ``size`` words from each place on
+            while True:
+                if n & size:
+                    part = h[first + done]
+                    whole = part if whole is None else joined(whole, part)
+                    done += size
+                if done == n:
+                    break
+                h = joined(h[:-size], h[size:])
+                size *= 2
+            out.append(whole)
+        return first, out
+
+    def digests(self, first: np.ndarray, n: int) -> np.ndarray:
+        """Of the windows that start at the given words: 128 bits of BLAKE2b of their words,
+        as rows of two numbers."""
+        follows = np.zeros(len(self.doc), np.int64)
+        follows[:-1] = self.doc[1:] == self.doc[:-1]
+        sizes = self.ends - self.starts
+        at = np.cumsum(sizes + follows) - (sizes + follows)
+        view = memoryview(self.kept_texts(np.zeros(len(self.doc), bool))[0])
+        bounds = zip(at[first].tolist(), (at + sizes)[first + n - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in bounds]), np.uint64).reshape(-1, 2)
 
     def covered(self, first: np.ndarray, n: int) -> np.ndarray:
         """Which words lie in the windows that start at the given words."""
