@@ -18,8 +18,8 @@ from windrose.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
 from .conftest import SCHEMA
 from .test_decontamination import by_hand as contaminated_by_hand
-from .test_dedup import classes_by_hand
 from .test_models import held
+from .test_near_copies import kept_by_hand
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -65,7 +65,7 @@ def test_run_matches_brute_force(spark, corpus):
             gone |= {k, k + 1, k + 2} if w in seen else set()
             seen.add(w)
         shorter.append((i, t if t is None or not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    stays = {c for _, _, c in classes_by_hand(shorter)}
+    stays = kept_by_hand(shorter)
     apart = [(i, t) for i, t in shorter if i in stays]
     bad = {r[0] for r in contaminated_by_hand(apart, items) if r[5]}
     import sentencepiece

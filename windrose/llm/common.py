@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(docs: DataFrame) -> DataFrame:
     """A table that lies in fewer partitions than there are cores, dealt out to them;
-    larger ones stay as they are.  Not for callers that number rows by their place."""
+    larger ones stay as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def keep_tables(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the session names none (as in tests)."""
+    """Set a checkpoint folder where the context has none: the one that the session
+    names, else one in its warehouse, which the machines of a cluster share."""
     ship(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join("/tmp", "checkpoints", sc.applicationId))
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{sc.applicationId}")
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the column ``name`` that tells its rows apart and orders equal ones.
+
+    Rows that are read from files go by file and place in it, whatever order they come
+    in; any other table is written first, so that a number stays with its row even if
+    the table's own order changes when it is computed once more."""
+    try:
+        at = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+        at.schema  # noqa: B018 (resolves the columns)
+        return at
+    except AnalysisException:
+        return written(docs.select("*", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias(name)))
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, written
+from .common import numbered, spread, written
 
 #: Between words: any ASCII character that is neither a digit nor a small letter.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -167,22 +167,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw)
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
     name = "__contaminated_row"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    rows = numbered(docs, name)
     # written, so that its size is known: a small one is broadcast and texts stay where they are
-    bad = written(contamination(numbered, benchmark, id_col=id_col, row_col=name, **kw).filter("contaminated").select(F.col("row").alias(name)))
-    return numbered.join(bad, name, "left_anti").drop(name)
+    bad = written(contamination(rows, benchmark, id_col=id_col, row_col=name, **kw).filter("contaminated").select(F.col("row").alias(name)))
+    return rows.join(bad, name, "left_anti").select(*docs.columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """docs, all columns and rows, with the hit words and what lies between them cut
     from the texts; the rest of a text stays as it is, and a null text null."""
     name, spans = "__contaminated_row", "__contaminated_spans"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    found = find_contamination(numbered, benchmark, text_col=text_col, row_col=name, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
+    rows = numbered(docs, name)
+    found = find_contamination(rows, benchmark, text_col=text_col, row_col=name, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
     # words and what is between them in turn; A-Z are word characters here
     between = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{between}|{between.replace('[', '[^', 1)}"), F.lit(0))
     lead = F.col(text_col).rlike("^" + between).cast("int")
     kept = F.filter(parts, lambda p, i: ~F.exists(spans, lambda s: (i >= 2 * s.at + lead) & (i <= 2 * (s.at + s.len - 1) + lead)))
     text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return numbered.join(found, name, "left").withColumn(text_col, text).select(*docs.columns)
+    return rows.join(found, name, "left").withColumn(text_col, text).select(*docs.columns)

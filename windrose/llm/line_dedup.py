@@ -7,7 +7,8 @@ removed, whatever else covers it.  Windows are compared by 128 bits of hash;
 only hashes that occur more than once are kept, with their first place, and
 meet the windows in a join that can be split where a hash is hot.
 
-Texts of fewer than three lines have no window and stay as they are; a null text
+Equal ids are ordered by row: file and place in it, or place in the table.  Texts of
+fewer than three lines have no window and stay as they are; a null text
 stays null.  Repeated rows count as copies.  An empty table gives no rows.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import numbered, saved
 
 #: Columns that are added for a while; names that no table should have.
 _ROW, _LATER = "__line_dedup_row", "__line_dedup_later"
@@ -43,21 +44,19 @@ def later_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return later.groupBy(F.col("at.row").alias(_ROW)).agg(F.collect_list("at.i").alias(_LATER))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
-
-
 def _kept(text_col: str):
-    """The lines that stay; null where no window of the text goes."""
+    """The lines that stay; null where no window of the text goes.  Removed ranges of
+    lines, in order, leave slices between them, so that every line is handled once."""
     lines = _lines(F.col(text_col))
-    gone = F.array_distinct(F.flatten(F.transform(_LATER, lambda i: F.array(i, i + 1, i + 2))))
-    flags = F.aggregate(F.array_sort(gone), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")), lambda s, g: F.struct((g + 1).alias("at"), F.concat(s.kept, F.slice(lines, s.at + 1, g - s.at)).alias("kept")))
-    return F.concat(flags.kept, F.slice(lines, flags.at + 1, F.size(lines)))
+    starts = F.array_sort(F.array_distinct(_LATER))
+    after = lambda i: F.get(starts, i)
+    slices = F.transform(starts, lambda g, i: F.slice(lines, g + 4, F.greatest(F.coalesce(after(i + 1), F.size(lines)) - g - 3, F.lit(0))))
+    return F.concat(F.slice(lines, 1, F.get(starts, F.lit(0))), F.flatten(slices))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the texts that stay, all columns in place."""
-    rows = numbered(docs)
+    rows = numbered(docs, _ROW)
     met = rows.join(later_windows(rows, id_col, text_col), _ROW, "left")
     text = F.when(F.col(_LATER).isNull(), F.col(text_col)).otherwise(F.array_join(_kept(text_col), "\n"))
     return met.withColumn(text_col, text).select(*docs.columns)
@@ -66,8 +65,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def line_dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` for each row of docs."""
     size = lambda c: F.size(_lines(c))
-    two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), size(F.col(text_col)).alias("n_lines"))
-    rows = numbered(two)
+    rows = numbered(docs, _ROW).select(_ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), size(F.col(text_col)).alias("n_lines"))
     met = rows.join(later_windows(rows, "doc_id", "text"), _ROW, "left")
     kept = met.select("doc_id", "n_lines", F.when(F.col(_LATER).isNull(), _lines(F.col("text"))).otherwise(_kept("text")).alias("kept"))
     return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))

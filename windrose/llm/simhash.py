@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, saved, two_columns, written
+from .common import by_slice, numbered, saved, two_columns, written
 
 BITS = 64
 #: A block value with more fingerprints than this is divided before it is dealt to tasks.
@@ -193,8 +193,10 @@ def near_links(nodes: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataF
     return sorted_rows.mapInArrow(_links_in_runs(distance), "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, low`` of each node of the links a - b: the smallest node it reaches."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node, low`` of each node of the links a - b: the smallest node it reaches.
+    Rounds go on until a round changes nothing; their number grows with the logarithm
+    of the links."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -209,14 +211,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     downward = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now, before = saved(downward), None
-    for _ in range(rounds):
+    while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 31) - 1))).first()
         if sign == before or not sign[0]:
             break
         before = sign
         now = saved(star(star(now, True), False))
-    else:
-        raise RuntimeError("components did not settle")
     low = now.groupBy("a").agg(F.min("b").alias("low"))
     return low.select(F.col("a").alias("node"), "low")
 
@@ -243,9 +243,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, with their columns, that stay: of each group the one with
     the smallest id, then the earliest row; a null id comes last."""
     name = "__simhash_row"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    keyed = numbered.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(name).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = numbered(docs, name)
+    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(name).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
     found = simhash_components(keyed, "doc_id", "text", words, distance, seed)
     # written, so that its size is known: a small one is broadcast and texts stay where they are
     gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.row").alias(name)))
-    return numbered.join(gone, name, "left_anti").drop(name)
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
