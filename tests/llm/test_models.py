@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from windrose.llm import toxicity as tox
 from windrose.llm.hmm import Counts, Hmm, first_model
 from windrose.llm.language_id import fit, identify, language_id
-from windrose.llm.lm_scoring import lm_scores, shape
+from windrose.llm.lm_scoring import SHAPES, lm_scores, shape
 from windrose.llm.samples import class_sample
 
 from .conftest import ODD
@@ -178,24 +178,84 @@ def test_baum_welch_counts_and_gain():
     m, rng = tiny(), np.random.default_rng(2)
     data = [rng.integers(0, 4, n) for n in (5, 1, 40, 12)]
     one = Counts(3, 4)
-    one.add(m, data, piece=1000)
+    one.add(m, data)
     assert one.emit.sum() == pytest.approx(sum(map(len, data)), rel=1e-5) and one.start.sum() == pytest.approx(4, rel=1e-5)
     assert one.log == pytest.approx(m.log10(data).sum(), rel=1e-5)
     parts = [Counts(3, 4), Counts(3, 4)]
-    parts[0].add(m, data[:2], piece=1000)
-    parts[1].add(m, data[2:], piece=1000)
+    parts[0].add(m, data[:2])
+    parts[1].add(m, data[2:])
     assert parts[0].emit + parts[1].emit == pytest.approx(one.emit, rel=1e-4)
     prior = np.full(4, 0.25)
     before = first_model(data, 3, prior)
     now, seen = before, []
     for _ in range(5):
         c = Counts(3, 4)
-        c.add(now, data, piece=1000)
+        c.add(now, data)
         seen.append(c.log)
         now = c.model(prior, 1e-6)
     assert seen[-1] > seen[0]
 
 
+def counts_by_hand(m, data):
+    """Expected counts by plain forward and backward sums."""
+    out = Counts(*m.emit.shape[::-1])
+    for s in data:
+        f, b = [m.start * m.emit[s[0]]], [np.ones(len(m.start))]
+        for x in s[1:]:
+            f.append(f[-1] @ m.move * m.emit[x])
+        for x in s[:0:-1]:
+            b.insert(0, m.move @ (m.emit[x] * b[0]))
+        p = f[-1].sum()
+        out.start += f[0] * b[0] / p
+        for t, x in enumerate(s):
+            out.emit[x] += f[t] * b[t] / p
+            if t:
+                out.move += np.outer(f[t - 1], m.emit[x] * b[t]) * m.move / p
+        out.log += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize("room", [1, 20, 100, 1000])
+def test_counts_of_long_texts(room):
+    """Block by block or at once: the counts of plain forward and backward sums."""
+    m, rng = tiny(), np.random.default_rng(4)
+    data = [rng.integers(0, 4, n) for n in (100, 16, 17, 1, 33, 14)]
+    got, want = Counts(3, 4), counts_by_hand(m, data)
+    got.add(m, data, room=room)
+    for name in ("start", "move", "emit", "log"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), rel=1e-4), name
+    assert got.move.sum() == pytest.approx(sum(len(d) - 1 for d in data), rel=1e-5)
+
+
+def test_scores_by_hand(docs):
+    """score from end to end: the vocabulary, starting model, Baum-Welch and shapes are
+    worked out again over plain lists."""
+    random.seed(6)
+    rows = [(i, " ".join(random.choices(["a", "b", "C", "dd", "e,", "é", f"r{i % 9}", f"s{i}"], [6, 5, 4, 3, 2, 1, 1, 1], k=random.randint(0, 12)))) for i in range(70)] + [(900, None)]
+    got = {r.doc_id: r.score for r in lm_scores(docs(rows), states=2, symbols=3, known=5, rounds=2, least=-9, starters=100).collect()}
+    split = {i: (t or "").lower().encode().split() for i, t in rows}
+    train = [i for i in split if not held(i, 7)]
+    c = Counter(w for i in train for w in split[i])
+    total = sum(c.values()) + len(train) + len(c) + 2
+    words = sorted(c, key=lambda w: (-c[w], w))[:3]
+    mass = np.ones(SHAPES)
+    for w in c:
+        if w not in words:
+            mass[shape(w)] += c[w] + 1
+    prior = np.array([*(c[w] + 1 for w in words), *mass, len(train) + 1.0])
+    assert prior.sum() == pytest.approx(total - 1 + SHAPES)
+    prior /= prior.sum()
+    symbol = lambda w: words.index(w) if w in words else 3 + shape(w)
+    seqs = {i: np.array([*map(symbol, split[i]), 3 + SHAPES]) for i in split}
+    start = sorted((seqs[i].astype(np.uint16) for i in train), key=bytes)
+    best = first_model(start, 2, prior)
+    for _ in range(8):  # six for the start, two over all documents
+        best = counts_by_hand(best, start).model(prior)
+    for i, s in seqs.items():
+        share = sum(math.log10((c[w] + 1) / total) - math.log10(mass[shape(w)] / total) for w in split[i] if w not in words)
+        assert got[i] == pytest.approx(best.log10([s])[0] + share, abs=1e-3), i
+
+
 def test_base_scores_by_hand(docs):
     random.seed(5)
     rows = [(i, " ".join(random.choices(["A", "b", "c,", "é", "d" * 9, f"r{i}"], k=random.randint(0, 20)))) for i in range(80)] + ODD

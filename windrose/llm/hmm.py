@@ -1,4 +1,10 @@
-"""A hidden Markov model over symbols: scaled forward recursion, Baum-Welch counts."""
+"""A hidden Markov model over symbols: scaled forward recursion, Baum-Welch counts.
+
+Sequences are worked on side by side, step by step, each from its first to its last
+symbol.  Forward vectors are kept for a block of steps at a time; those of earlier
+blocks are worked out again from the vectors at the block's start, so memory doesn't
+grow with the vectors of all steps.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +17,6 @@ class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
-
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The exact log10 likelihood of each sequence of symbols."""
         out = np.zeros(len(sequences))
@@ -61,45 +61,57 @@ class Counts:
         self.emit = np.zeros((symbols, states))
         self.log = 0.0
 
-    def add(self, model: Hmm, documents: list[np.ndarray], piece: int = 128, width: int = 4096) -> None:
-        """Adds those of documents; long ones go in consecutive pieces, each but the
-        first from the stationary distribution."""
-        parts = [(d[k : k + piece], k == 0) for d in documents for k in range(0, len(d), piece)]
-        parts.sort(key=lambda p: -len(p[0]))
-        rest = model.stationary()
-        for k in range(0, len(parts), width):
-            own = parts[k : k + width]
-            self._add(model, [p for p, _ in own], np.array([f for _, f in own]), rest)
-
-    def _add(self, model: Hmm, parts: list[np.ndarray], first: np.ndarray, rest: np.ndarray) -> None:
-        flat, active, at = by_time(parts)
+    def add(self, model: Hmm, documents: list[np.ndarray], room: int = 2_000_000) -> None:
+        """Adds the exact expected counts of whole documents; room: symbols whose forward
+        vectors are kept at a time."""
+        own = sorted((d for d in documents if len(d)), key=len, reverse=True)
+        if not own:
+            return
+        flat, active, at = by_time(own)
         emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-        n_states = len(model.start)
-        alpha = np.empty((len(flat), n_states), np.float32)
-        scale = np.empty(len(flat), np.float32)
-        a = np.where(first[:, None], model.start, rest).astype(np.float32)
-        for t, n in enumerate(active.tolist()):
-            here = slice(at[t], at[t + 1])
-            a = (a[:n] @ move if t else a) * emit[flat[here]]
-            s = a.sum(1)
-            a /= s[:, None]
-            alpha[here], scale[here] = a, s
-        self.log += float(np.log10(scale, dtype=np.float64).sum())
-        gamma = np.empty_like(alpha)
-        beta = np.ones((len(parts), n_states), np.float32)
-        pairs = np.zeros((n_states, n_states))
-        for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            here = slice(at[t], at[t + 1])
-            gamma[here] = alpha[here] * beta[:n]
-            if t:
-                w = emit[flat[here]] * beta[:n] / scale[here][:, None]
-                pairs += alpha[at[t - 1] : at[t - 1] + n].T @ w
-                beta[:n] = w @ move.T
+        cuts = [0]
+        for t in range(1, len(active)):
+            if at[t + 1] - at[cuts[-1]] > room:
+                cuts.append(t)
+        cuts.append(len(active))
+
+        def forward(k: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Vectors and scales of a block after the vectors a, and its last ones."""
+            low, high = cuts[k], cuts[k + 1]
+            alpha = np.empty((at[high] - at[low], len(move)), np.float32)
+            scale = np.empty(len(alpha), np.float32)
+            for t in range(low, high):
+                n, here = active[t], slice(at[t] - at[low], at[t + 1] - at[low])
+                a = (model.start.astype(np.float32) if a is None else a[:n] @ move) * emit[flat[at[t] : at[t + 1]]]
+                total = a.sum(1)
+                a /= total[:, None]
+                alpha[here], scale[here] = a, total
+            return a, alpha, scale
+
+        entry, a = [], None  # of each block: the vectors before it
+        for k in range(len(cuts) - 1):
+            entry.append(a)
+            a, alpha, scale = forward(k, a)
+        beta = np.ones((len(own), len(move)), np.float32)
+        pairs = np.zeros(move.shape)
+        for k in range(len(cuts) - 2, -1, -1):
+            low, high = cuts[k], cuts[k + 1]
+            if high != len(active):
+                _, alpha, scale = forward(k, entry[k])
+            self.log += float(np.log10(scale, dtype=np.float64).sum())
+            for t in range(high - 1, low - 1, -1):
+                n, here = active[t], slice(at[t] - at[low], at[t + 1] - at[low])
+                w = emit[flat[at[t] : at[t + 1]]] * beta[:n] / scale[here][:, None]
+                alpha[here] *= beta[:n]  # now the chances of the states
+                before = alpha[at[t - 1] - at[low] :][:n] if t > low else entry[k]
+                if before is not None:
+                    pairs += before[:n].T @ w
+                    beta[:n] = w @ move.T
+            if not k:
+                self.start += alpha[: len(own)].sum(0)
+            for s in range(len(move)):
+                self.emit[:, s] += np.bincount(flat[at[low] : at[high]], weights=alpha[:, s], minlength=len(self.emit))
         self.move += pairs * move
-        self.start += gamma[: len(parts)][first].sum(0)
-        for s in range(n_states):
-            self.emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(self.emit))
 
     def model(self, prior: np.ndarray, weight: float = 50.0) -> Hmm:
         """The model of these counts, emissions smoothed with a symbol prior."""

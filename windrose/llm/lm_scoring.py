@@ -7,9 +7,11 @@ word shapes (length, final mark, first letter beyond ASCII), after which the
 word follows in proportion to its base probability within the shape, one unseen
 word of each shape included.  So both are distributions over the same texts.
 
-Baum-Welch runs over all training documents: partitions sum expected counts, the
-sums meet by block of symbols, and the driver reads one row of each block.  A
-few documents give only the starting point.  A text's score is the exact log10
+Baum-Welch runs over all training documents as whole texts: partitions sum expected
+counts, the sums meet by block of symbols in a tree of ``fan_in`` at a time, and the
+driver reads one row of each block.  Rounds go on until the likelihood of a token
+gains less than ``least``, or ``rounds`` are done.  A few documents give only the
+starting point.  A text's score is the exact log10
 likelihood by the scaled forward recursion over the whole text, plus its words'
 shares in their shapes.
 
@@ -29,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,11 +141,12 @@ def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b.as_buffer(), np.uint16) for b in batch.column("symbols")]
 
 
-def baum_welch(train: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
-    """One round over all training documents (column ``symbols``)."""
+def expected_counts(train: DataFrame, model: Hmm, fan_in: int = 64) -> Counts:
+    """The expected counts of all training documents (column ``symbols``) under the model."""
     n_symbols, n_states = model.emit.shape
     shared = train.sparkSession.sparkContext.broadcast(model)  # BLOCK-wise tables of a fixed size
-    fields = [("block", pa.int32()), ("counts", pa.binary())]
+    fields = [("part", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())]
+    schema = "part long, block int, counts binary"
 
     def row_batch(rows):
         return pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
@@ -151,47 +155,53 @@ def baum_welch(train: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
         counts = Counts(n_states, n_symbols)
         some = False
         for batch in batches:
-            for piece in slices(batch, "symbols", 1 << 20):
+            for piece in slices(batch, "symbols", 4 << 20):
                 counts.add(shared.value, _symbols(piece))
                 some = True
         if some:
-            head = np.concatenate([counts.start, counts.move.ravel()])
-            rows = [(-1, head.tobytes())] + [(k // BLOCK, counts.emit[k : k + BLOCK].astype(np.float32).tobytes()) for k in range(0, n_symbols, BLOCK)]
-            yield row_batch(rows)
+            part = TaskContext.get().partitionId()
+            head = np.concatenate([[counts.log], counts.start, counts.move.ravel()])
+            yield row_batch([(part, -1, head.tobytes())] + [(part, k // BLOCK, counts.emit[k : k + BLOCK].astype(np.float32).tobytes()) for k in range(0, n_symbols, BLOCK)])
 
     def add(batches):
         held, total = None, None
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 values = np.frombuffer(blob.as_buffer(), np.float64 if block < 0 else np.float32).astype(np.float64)
-                if block != held:
+                if (part, block) != held:
                     if held is not None:
-                        yield row_batch([(held, total.tobytes())])
-                    held, total = block, values
+                        yield row_batch([(*held, total.astype(np.float64 if held[1] < 0 else np.float32).tobytes())])
+                    held, total = (part, block), values
                 else:
                     total = total + values
         if held is not None:
-            yield row_batch([(held, total.tobytes())])
-
-    schema = "block int, counts binary"
-    found = train.select("symbols").mapInArrow(expect, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema).collect()
+            yield row_batch([(*held, total.astype(np.float64 if held[1] < 0 else np.float32).tobytes())])
+
+    sums = train.select("symbols").mapInArrow(expect, schema)
+    n_parts = train.rdd.getNumPartitions()
+    while True:  # of each block, at most fan_in parts meet in a task
+        n_parts = -(-n_parts // fan_in)
+        sums = sums.withColumn("part", F.floor(F.col("part") / fan_in)).repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(add, schema)
+        if n_parts <= 1:
+            break
     counts = Counts(n_states, n_symbols)
-    for r in found:
-        values = np.frombuffer(r.counts, np.float64)
+    for r in sums.collect():
+        values = np.frombuffer(r.counts, np.float64 if r.block < 0 else np.float32)
         if r.block < 0:
-            counts.start, counts.move = values[:n_states], values[n_states:].reshape(n_states, n_states)
+            counts.log, counts.start, counts.move = values[0], values[1 : n_states + 1], values[n_states + 1 :].reshape(n_states, n_states)
         else:
             counts.emit[r.block * BLOCK : (r.block + 1) * BLOCK] = values.reshape(-1, n_states)
     shared.unpersist()
-    return counts.model(prior)
+    return counts
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 131_072, rounds: int = 3, starters: int = 200) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 131_072, rounds: int = 6, least: float = 0.002, starters: int = 200) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
     each row of docs.
 
     symbols, known: frequent words that are emitted, and that are broadcast with
-    their counts; rounds: of Baum-Welch; starters: documents for its start."""
+    their counts; rounds: of Baum-Welch at most; least: gain in log10 of a token's
+    likelihood that is worth another round; starters: documents for its start."""
     spark = docs.sparkSession
     picked = two_columns(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", folds))
     train = picked.filter(~F.col("held_out"))
@@ -224,7 +234,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     seqs = written(encoded(numbered, shared, total, ends))
     learned = seqs.filter(~F.col("held_out"))
     share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)  # some more than are needed are sorted, not all
-    starter = [np.frombuffer(r.symbols, np.uint16) for r in learned.filter(share <= 3.0 * starters / max(1, ends)).select("row", "symbols").orderBy(share, "row").limit(starters).collect()]
+    starter = [np.frombuffer(x, np.uint16) for x in sorted(bytes(r.symbols) for r in learned.filter(share <= 3.0 * starters / max(1, ends)).select("row", "symbols").orderBy(share, "row").limit(starters).collect())]
     model = None
     if starter:
         model = first_model(starter, states, prior)
@@ -232,8 +242,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             begin = Counts(states, vocabulary.size)
             begin.add(model, starter)
             model = begin.model(prior)
+        before = -np.inf
         for _ in range(rounds):
-            model = baum_welch(learned, model, prior)
+            expected = expected_counts(learned, model)
+            model = expected.model(prior)
+            now = expected.log / n_all
+            if now - before < least:
+                break
+            before = now
     shares = np.zeros(vocabulary.size)  # log10 of a shape's mass, to be taken off
     shares[vocabulary.symbols : vocabulary.end] = np.log10(mass / total)
     fitted = spark.sparkContext.broadcast((model, shares))
@@ -242,7 +258,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def score(batches):
         m, share = fitted.value
         for batch in batches:
-            for piece in slices(batch, "symbols", 2 << 20):
+            for piece in slices(batch, "symbols", 4 << 20):
                 own = _symbols(piece)
                 log = m.log10(own) if m else np.zeros(len(own))
                 log = log - np.array([share[s].sum() for s in own])
