@@ -56,7 +56,7 @@ def cases(seed):
 COLUMNS = "doc_id n_words n_hit n_items items_sha256 contaminated".split()
 
 
-@pytest.mark.parametrize(("seed", "max_set"), [(1, 20_000), (2, 20_000), (1, 3)])
+@pytest.mark.parametrize(("seed", "max_set"), [(1, 20_000), (2, 20_000), (1, 25)])
 def test_contamination(spark, docs, seed, max_set):
     rows, items = cases(seed)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -64,6 +64,24 @@ def test_contamination(spark, docs, seed, max_set):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=repr) == by_hand(rows, items)
 
 
+def test_a_large_benchmark_goes_in_parts(spark, docs):
+    """200,000 entries in several scans: those of brute force, and no shuffle of positions."""
+    random.seed(12)
+    items = [(k, " ".join(f"v{random.randrange(60_000)}" for _ in range(200))) for k in range(10_500)]
+    by_id = dict(items)
+    rows = []
+    for i in range(40):
+        own, a = words(by_id[i * 250]), i * 3
+        rows.append((i, " ".join(["free"] * 30 + own[a : a + 10 + i] + ["free"] * 40)))
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    found = contamination(docs(rows), bench, max_windows=1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Union") >= 1
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in found.collect()}
+    want = {i: (80 + i, 10 + i if i >= 3 else 0, int(i >= 3)) for i in range(40)}
+    assert got == want
+
+
 def test_long_items_only(spark, docs):
     random.seed(4)
     items = [(k, " ".join(random.choices([f"w{j}" for j in range(50)], k=30))) for k in range(5)]

@@ -3,12 +3,15 @@
 Words are what ``WORD`` matches after lower-casing A-Z.  A window is ``n``
 consecutive words of an item, or a shorter item as a whole.  The hash set holds
 4-gram hashes taken from every item at a stride such that each window has one
-(shorter windows: the hash of all their words).  Documents are scanned with it
-once; where it hits, the windows around are compared with the benchmark's as
-strings, so a hash collision never counts.
+(shorter windows: the hash of all their words).  It goes to every task as a table of
+bits, ``SPARE`` to an entry, in the plan.  Documents are scanned with it; where it
+hits, the windows around are compared with the benchmark's as strings, so neither a
+hash collision nor a bit that two entries share ever counts.
 
-The set is put into the plan while it has at most ``max_set`` entries; beyond,
-the hashes of the documents' positions are joined with those of the benchmark.
+The set's size is counted.  Beyond ``max_set`` entries it goes in as many parts, each
+of them a scan of the documents, so that no table grows with the benchmark; nothing of
+the documents but their candidate windows is shuffled.  Windows are broadcast while
+there are at most ``max_windows`` of them, and otherwise join the candidates.
 
 Null and empty texts have no words, are never contaminated and are kept; items
 without words have no windows; repeated documents or items count as such.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from .common import numbered, spread, written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in a hashed gram.
 GRAM = 4
+#: Bits of the table to an entry of the set.
+SPARE = 32
 
 
 def words(text: Column) -> Column:
@@ -71,13 +77,25 @@ def _windows(items: DataFrame, n: int) -> DataFrame:
     return items.filter("n_words > 0").select("item", "words", size.alias("len"), F.explode(starts).alias("at")).select("item", "at", "len", F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " ").alias("window"))
 
 
-def _candidates(df: DataFrame, hashes: dict[int, list[int]], spans: dict[int, list[tuple[int, int]]]) -> Column:
+def _in_set(value: Column, entries: list[int]) -> Column:
+    """Whether the hash may be one of the entries, by a table of bits."""
+    size = 1 << max(6, (SPARE * len(entries) - 1).bit_length())
+    at = np.array(entries, np.int64).view(np.uint64) & np.uint64(size - 1)
+    flags = np.zeros(size, np.uint8)
+    flags[at.astype(np.int64)] = 1
+    longs = np.packbits(flags, bitorder="little").view(np.int64)
+    table = F.split(F.lit(",".join(map(str, longs.tolist()))), ",").cast("array<bigint>")  # folded to a literal
+    place = value.bitwiseAND(F.lit(size - 1))
+    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _candidates(hashes: dict[int, list[int]], spans: dict[int, list[tuple[int, int]]]) -> Column:
     """Starts and lengths of the windows to compare: an array of structs."""
     n_words = F.col("n_words")
 
-    def hits(array: Column, values: list[int]) -> Column:
+    def hits(array: Column, entries: list[int]) -> Column:
         last = F.greatest(F.size(array) - 1, F.lit(0))
-        return F.filter(F.sequence(F.lit(0), last), lambda i: F.get(array, i).isin(values))
+        return F.filter(F.sequence(F.lit(0), last), lambda i: _in_set(F.get(array, i), entries))
 
     def around(at: Column, size: int, back: int) -> Column:
         steps = F.array(*(F.lit(x) for x in range(back + 1)))
@@ -85,11 +103,11 @@ def _candidates(df: DataFrame, hashes: dict[int, list[int]], spans: dict[int, li
         fits = F.filter(F.array_distinct(near), lambda s: (s >= 0) & (s + size <= n_words))
         return F.transform(fits, lambda s: F.struct(s.alias("at"), F.lit(size).alias("len")))
 
-    found = [around(hits(F.col(f"h{k}"), values), *span) for k, values in hashes.items() for span in spans[k]]
+    found = [around(hits(F.col(f"h{k}"), entries), *span) for k, entries in hashes.items() for span in spans[k]]
     return F.concat(*found)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 20_000, row_col: str | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 100_000, max_windows: int = 200_000, row_col: str | None = None) -> DataFrame:
     """``doc_id, row, n_words, n_hit, items, spans`` for each row of docs; items:
     sorted ids, as strings, of the items with an occurring window; spans: structs
     of ``at`` and ``len``, in words; row: row_col, else a number."""
@@ -104,29 +122,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.least(F.col("n_words"), F.lit(n)).alias("len"),
         F.explode(F.when(F.col("n_words") >= n, F.transform(picks, lambda s: s.x)).when(long, F.slice("h4", 1, 1)).when(F.col("n_words") == 3, F.col("h3")).when(F.col("n_words") == 2, F.col("h2")).otherwise(F.col("h1"))).alias("x"),
     ).distinct()
-    set_rows = marks.limit(max_set + 1).collect()
-    whole = len(set_rows) <= max_set
-    source = spread(docs) if whole and row_col is None else docs  # read once then, so numbers hold
+    marks = written(marks)
+    n_parts = max(1, -(-marks.count() // max_set))
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    source = docs
+    if row_col is None:  # several scans need rows that they agree on
+        source, row = (spread(docs), row) if n_parts == 1 else (numbered(docs, "__contaminated_row"), F.col("__contaminated_row"))
     base = source.select(F.col(id_col).alias("doc_id"), row.alias("row"), words(F.col(text_col)).alias("parts")).select("doc_id", "row", _trimmed(F.col("parts")).alias("words"))
-    lengths = sorted({r.len for r in (set_rows if whole else marks.select("len").distinct().collect())})
-    empty = F.array().cast("array<struct<at:int,len:int>>")
+    lengths = sorted(r.len for r in marks.select("len").distinct().collect())  # n of them at most
     spans: dict[int, list[tuple[int, int]]] = {}
     for size in lengths:
         spans.setdefault(min(size, GRAM), []).append((size, stride - 1 if size == n else 0))
-    if not lengths:
-        scanned = base.select("doc_id", "row", F.size("words").alias("n_words"), "words", empty.alias("found"))
-    elif whole:
-        hashed = gram_hashes(base, sorted(spans))
-        values = {k: sorted({r.x for r in set_rows if min(r.len, GRAM) == k}) for k in spans}
-        scanned = hashed.select("doc_id", "row", "n_words", "words", _candidates(hashed, values, spans).alias("found"))
-    else:
-        scanned = _joined(base, marks, spans)
-    windows = _windows(items, n).select("item", F.col("len").alias("w_len"), "window").distinct()
-    if whole:  # at most 13 windows for each entry of the set and item
+    hashed = gram_hashes(base, sorted(spans)) if lengths else base.withColumn("n_words", F.size("words"))
+    window = lambda c: F.struct(c.at.alias("at"), c.len.alias("len"), F.array_join(F.slice("words", c.at + 1, c.len), " ").alias("window"))
+    tried = None
+    for part in range(n_parts):
+        own = marks.filter(F.pmod(F.xxhash64("x"), F.lit(n_parts)) == part).collect() if lengths else []  # some max_set rows
+        entries = {k: sorted({r.x for r in own if min(r.len, GRAM) == k}) for k in spans}
+        entries = {k: v for k, v in entries.items() if v}
+        found = _candidates(entries, spans) if entries else F.array().cast("array<struct<at:int,len:int>>")
+        scanned = hashed.select("doc_id", "row", "n_words", "words", found.alias("found"))
+        every = F.explode_outer if not part else F.explode  # the first scan keeps documents without a hit
+        here = scanned.select("doc_id", "row", "n_words", every(F.transform("found", window)).alias("c"))
+        tried = here if tried is None else tried.unionByName(here)
+    windows = written(_windows(items, n).select("item", F.col("len").alias("w_len"), F.col("window").alias("w")).distinct())
+    if windows.count() <= max_windows:
         windows = F.broadcast(windows)
-    tried = scanned.select("doc_id", "row", "n_words", F.explode_outer(F.transform("found", lambda c: F.struct(c.at.alias("at"), c.len.alias("len"), F.array_join(F.slice("words", c.at + 1, c.len), " ").alias("window")))).alias("c"))
-    hits = tried.select("doc_id", "row", "n_words", F.col("c.at").alias("at"), F.col("c.len").alias("len"), F.col("c.window").alias("window")).join(windows.withColumnRenamed("window", "w"), (F.col("window") == F.col("w")) & (F.col("len") == F.col("w_len")), "left")
+    hits = tried.select("doc_id", "row", "n_words", F.col("c.at").alias("at"), F.col("c.len").alias("len"), F.col("c.window").alias("window")).join(windows, (F.col("window") == F.col("w")) & (F.col("len") == F.col("w_len")), "left")
     hit = F.col("item").isNotNull() | F.col("w").isNotNull()
     found = hits.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.when(hit, F.struct("at", "len")))).alias("spans")
@@ -136,24 +158,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return found.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", "spans")
 
 
-def _joined(base: DataFrame, marks: DataFrame, spans: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """The scan for a benchmark of any size: positions meet the marks in a join."""
-    hashed = gram_hashes(base, sorted(spans))
-    tables = []
-    for k in spans:
-        own = marks.filter(F.least(F.col("len"), F.lit(GRAM)) == k)
-        at = hashed.select("row", "n_words", F.posexplode(f"h{k}").alias("i", "x")).join(own, "x")
-        back = F.create_map(*(F.lit(v) for pair in spans[k] for v in pair))
-        starts = at.select("row", "n_words", "len", F.explode(F.sequence(F.col("i") - F.element_at(back, F.col("len")), F.col("i"))).alias("at"))
-        tables.append(starts.filter("at >= 0 and at + len <= n_words").select("row", "at", "len").distinct())
-    found = tables[0]
-    for t in tables[1:]:
-        found = found.unionByName(t)
-    found = found.groupBy("row").agg(F.collect_list(F.struct("at", "len")).alias("found"))
-    whole = hashed.select("doc_id", "row", "n_words", "words").join(found, "row", "left")
-    return whole.withColumn("found", F.coalesce("found", F.array().cast("array<struct<at:int,len:int>>")))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row``;
     contaminated: at least one word in ``share`` is hit."""
