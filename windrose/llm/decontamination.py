@@ -3,13 +3,12 @@
 Words are what ``WORD`` matches after lower-casing A-Z.  A window is ``n``
 consecutive words of an item, or a shorter item as a whole.  The hash set holds
 4-gram hashes taken from every item at a stride such that each window has one
-(shorter windows: the hash of all their words).  It goes to every task as a table of
-bits, ``SPARE`` to an entry, in the plan.  Documents are scanned with it; where it
-hits, the windows around are compared with the benchmark's as strings, so neither a
-hash collision nor a bit that two entries share ever counts.
+(shorter windows: the hash of all their words).  It goes to every task as a hash set
+in the plan.  Documents are scanned with it; where it hits, the windows around are
+compared with the benchmark's as strings, so a hash collision never counts.
 
 The set's size is counted.  Beyond ``max_set`` entries it goes in as many parts, each
-of them a scan of the documents, so that no table grows with the benchmark; nothing of
+of them a scan of the documents, so that no set grows with the benchmark; nothing of
 the documents but their candidate windows is shuffled.  Windows are broadcast while
 there are at most ``max_windows`` of them, and otherwise join the candidates.
 
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 import string
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,6 @@ from .common import numbered, spread, written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in a hashed gram.
 GRAM = 4
-#: Bits of the table to an entry of the set.
-SPARE = 32
 
 
 def words(text: Column) -> Column:
@@ -77,25 +73,13 @@ def _windows(items: DataFrame, n: int) -> DataFrame:
     return items.filter("n_words > 0").select("item", "words", size.alias("len"), F.explode(starts).alias("at")).select("item", "at", "len", F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " ").alias("window"))
 
 
-def _in_set(value: Column, entries: list[int]) -> Column:
-    """Whether the hash may be one of the entries, by a table of bits."""
-    size = 1 << max(6, (SPARE * len(entries) - 1).bit_length())
-    at = np.array(entries, np.int64).view(np.uint64) & np.uint64(size - 1)
-    flags = np.zeros(size, np.uint8)
-    flags[at.astype(np.int64)] = 1
-    longs = np.packbits(flags, bitorder="little").view(np.int64)
-    table = F.split(F.lit(",".join(map(str, longs.tolist()))), ",").cast("array<bigint>")  # folded to a literal
-    place = value.bitwiseAND(F.lit(size - 1))
-    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def _candidates(hashes: dict[int, list[int]], spans: dict[int, list[tuple[int, int]]]) -> Column:
     """Starts and lengths of the windows to compare: an array of structs."""
     n_words = F.col("n_words")
 
-    def hits(array: Column, entries: list[int]) -> Column:
-        last = F.greatest(F.size(array) - 1, F.lit(0))
-        return F.filter(F.sequence(F.lit(0), last), lambda i: _in_set(F.get(array, i), entries))
+    def hits(array: str, entries: list[int]) -> Column:
+        listed = ", ".join(f"{x}L" for x in entries)  # as text, which takes large sets at once; a hash set in the plan
+        return F.expr(f"filter(sequence(0, greatest(size({array}) - 1, 0)), i -> get({array}, i) IN ({listed}))")
 
     def around(at: Column, size: int, back: int) -> Column:
         steps = F.array(*(F.lit(x) for x in range(back + 1)))
@@ -103,7 +87,7 @@ def _candidates(hashes: dict[int, list[int]], spans: dict[int, list[tuple[int, i
         fits = F.filter(F.array_distinct(near), lambda s: (s >= 0) & (s + size <= n_words))
         return F.transform(fits, lambda s: F.struct(s.alias("at"), F.lit(size).alias("len")))
 
-    found = [around(hits(F.col(f"h{k}"), entries), *span) for k, entries in hashes.items() for span in spans[k]]
+    found = [around(hits(f"h{k}", entries), *span) for k, entries in hashes.items() for span in spans[k]]
     return F.concat(*found)
 
 
