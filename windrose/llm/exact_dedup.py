@@ -1,11 +1,13 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations.
 
-Every partition of the input is a run of (digest, best row) pairs.  In each round
-the runs whose numbers agree but for the lowest digit (base ``fan_in``; 2 gives
-binomial rounds) are merged: their pairs meet by digest in sorted order, and of
-equal digests the best row and the summed count are retained.  Rounds go on
-until one run is left, spread over the cluster by digest, never in one task.
-Equality is that of SHA-256 and of the length of the normalised text.
+Every partition of the input is a run of (digest, best row) pairs, which is sorted by
+digest and counted together.  In each round the runs whose numbers agree but for the
+lowest digit (base ``fan_in``; 2, the default, gives binomial rounds) exchange their
+pairs and are merged in sorted order: of equal digests the best row and the summed
+count are retained.  Rounds go on until one run is left, spread over the cluster by
+digest, never in one task.  A larger ``fan_in`` merges more runs in fewer rounds, each
+of which moves the distinct texts' pairs once.  Equality is that of SHA-256 and of the
+length of the normalised text.
 
 Of equal texts the row with the most code points stays, then the smallest id (a
 null id comes last), then the earliest row, so that exactly one of repeated rows
@@ -30,7 +32,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bare.select("doc_id", "run", "row", "n_chars", F.unhex(F.sha2("bare", 256)).alias("digest"), F.octet_length("bare").alias("n_bytes"))
 
 
-def merged_runs(rows: DataFrame, n_runs: int, fan_in: int = 16) -> DataFrame:
+def merged_runs(rows: DataFrame, n_runs: int, fan_in: int = 2) -> DataFrame:
     """``digest, n_bytes, best, n``: one row for each distinct text."""
     best = F.struct((-F.col("n_chars")).alias("least"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     runs = rows.select("run", "digest", "n_bytes", best.alias("best"), F.lit(1).cast("long").alias("n"))
@@ -43,7 +45,7 @@ def merged_runs(rows: DataFrame, n_runs: int, fan_in: int = 16) -> DataFrame:
             return runs
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of docs."""
     rows = saved(digests(docs, id_col, text_col))
     # saved, so that both sides of the join are dealt anew and a hot digest can be split
