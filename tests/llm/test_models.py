@@ -140,12 +140,27 @@ def test_held_out_language(spark):
 
 
 def test_class_sample_is_bounded_and_leaves_the_fold_out(spark):
-    df = spark.createDataFrame([(i, "big" if i % 10 else f"l{i % 50}") for i in range(5000)] + [(None, "big"), (1, None)], "doc_id long, label string")
-    assert len(class_sample(df, 50, 200, 4).collect()) == 200
-    got = class_sample(df, 50, 1000, 4).collect()
-    by = Counter(r.label for r in got)
-    assert len(by) == 6 and by["big"] == 50 and max(by.values()) <= 50
-    assert not any(held(r.doc_id, 4) for r in got)
+    rows = [(i, f"text {i}", "big" if i % 10 else f"l{i % 50}") for i in range(5000)] + [(None, "x", "big"), (1, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = class_sample(df, df, 50, 240, 4)
+    by = Counter(label for _, label in got)
+    assert len(by) == 6 and max(by.values()) <= 40 and min(by.values()) >= 25
+    assert not any(held(int(t.split()[1]), 4) for t, _ in got)
+    assert len(class_sample(df, df, 5, 1000, 4)) <= 30
+    assert class_sample(df, df.filter("label is null"), 5, 10, 4) == []
+
+
+def test_class_sample_of_repeated_ids_and_long_texts(spark):
+    """A third of the rows repeat one row, another id has many texts, some are long."""
+    free = [i for i in range(2000) if not held(i, 4)][:300]
+    rows = [(free[0], "same", "a")] * 400 + [(free[1], f"other {k}", "a") for k in range(400)]
+    rows += [(i, f"t{i}" + " long" * (i % 7 == 0) * 400, "b" if i % 2 else "a") for i in free[2:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = class_sample(df, df, 100, 200, 4, max_bytes=6000, longest=1500)
+    by = Counter(label for _, label in got)
+    assert by["a"] <= 100 and by["b"] <= 100 and min(by.values()) > 20
+    assert Counter(t for t, _ in got).most_common(1)[0][1] == 1
+    assert all(sum(len(t) for t, x in got if x == y) <= 3000 for y in "ab") and not any("long" in t for t, _ in got)
 
 
 # ── language model ──

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_slice, held_out, two_columns
-from .samples import class_sample, texts_of
+from .samples import class_sample
 
 #: Places that n-grams are hashed into.
 WIDTH = 4096
@@ -152,5 +152,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs outside the held-out fold."""
     known = two_columns(docs, id_col, text_col)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("label"))
-    model = fit(texts_of(known, class_sample(labelled, per_class, total, folds)))
+    model = fit(class_sample(known, labelled, per_class, total, folds))
     return identify(known, model).withColumn("held_out", held_out("doc_id", folds)).select("doc_id", "held_out", "lang_pred", "score", "rejected")

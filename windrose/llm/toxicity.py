@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_slice, held_out, ship, two_columns
-from .samples import class_sample, texts_of
+from .samples import class_sample
 
 # Fixed word lists, by symbol.
 TARGETS = "you your yours yourself he she they them him her his their du dich dir dein deine ihr euch sie tu te toi ton ta vous votre vos ils elle tú ti tus usted ustedes vosotros ellos ella".split()
@@ -319,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
     able = labelled.filter(~held_out("doc_id", folds))
     n, ones = able.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    rows = texts_of(two_columns(docs, id_col, text_col), class_sample(labelled, per_class, 2 * per_class, folds))
+    rows = class_sample(two_columns(docs, id_col, text_col), labelled, per_class, 2 * per_class, folds)
     return fit(rows, ones / n if n else None)
 
 
