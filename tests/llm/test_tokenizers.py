@@ -11,13 +11,13 @@ from hypothesis import strategies as st
 
 from windrose.llm.queries import tokenizer
 from windrose.llm.sentencepiece_codec import Codec, encode_decode
-from windrose.llm.token_counts import PreTokenLengths, chunks, token_counts
+from windrose.llm.token_counts import PreTokenLengths, chunks, frequent_chunks, token_counts
 
 from .conftest import ODD
 
 MODEL, COUNTER = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
-CODEC = Codec(MODEL, room=2000)
-LENGTHS = PreTokenLengths(COUNTER, {}, 2000)
+CODEC = Codec(MODEL, room=20_000)
+LENGTHS = PreTokenLengths(COUNTER, {}, 20_000)
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def counter():
     return Tokenizer.from_file(COUNTER)
 
 
-PARTS = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "▁", "é", "漢", "　", " ", "\x85", "\x1c", "🙂", "'s", "1", "½", "<|endoftext|>", "<s>", ".", "\r\n", "aaaa", "=-"]
+PARTS = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "▁", "é", "漢", "　", " ", "\x85", "\x1c", "\u2003", "\ufeff", "д", "ด้", "क्", "—", "🙂", "'s", "1", "½", "<|endoftext|>", "<s>", ".", "\r\n", "aaaa", "=-"]
 texts = st.one_of(st.text(max_size=60).filter(lambda t: "\x00" not in t), st.lists(st.sampled_from(PARTS), max_size=40).map("".join))
 
 
@@ -64,6 +64,29 @@ def test_decoding_bytes_that_are_not_utf8(sp):
     assert CODEC.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids)
 
 
+SCRIPTS = {"ru": "Быстрая рыжая лиса прыгает, через ленивую собаку. ", "zh": "敏捷的棕色狐狸跳过了懒狗。今天天气很好，我们去公园吧！", "th": "สุนัขจิ้งจอกสีน้ำตาลกระโดดข้ามสุนัขขี้เกียจ ", "el": "Η γρήγορη αλεπού πηδά — και φεύγει ", "hi": "तेज़ भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है। ", "ar": "الثعلب البني السريع يقفز فوق الكلب الكسول، "}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_scripts_stay_exact_in_caches_bounded_by_bytes(lang, sp, counter):
+    """Documents that differ, far more of them than the caches have room for."""
+    codec, lengths, room = Codec(MODEL, room=30_000), PreTokenLengths(COUNTER, {}, 30_000), 0
+    for i in range(40):
+        own = [SCRIPTS[lang] * (1 + i % 5) + chr(0x4E00 + i) * (i % 3) + f"x{i} {SCRIPTS[lang][i % 9 :]}" + "\n" + SCRIPTS[lang] for _ in range(2)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(own)] == [sp.encode(t, add_bos=True, add_eos=True) for t in own]
+        assert lengths.count(own) == [len(counter.encode(t, add_special_tokens=False).ids) for t in own]
+        room = max(room, *(sum(len(w) for w in known) for known in (codec.known, lengths.known)))
+    assert room < 30_000 and codec.held < 60_000 and lengths.held < 60_000
+    assert lang in ("zh", "th") or max(map(len, chunks(SCRIPTS[lang] * 9))) < 20
+
+
+def test_frequent_chunks_are_found_in_a_tree(docs):
+    rows = [(i, "common " * 5 + f"often{i % 3} rare{i} " + "漢" * 100) for i in range(60)]
+    for parts in (1, 3, 20):
+        got = frequent_chunks(docs(rows).repartition(parts), frequent=4, capacity=50, fan_in=2)
+        assert len(got) <= 4 and {"common"} <= set(got) and not any("漢" in x for x in got)
+
+
 def test_chunks_join_to_the_text():
     for t in ["", "a b", " a", "a ", "a\n\nb", "a \n b", "x  y"]:
         parts = [c[1:] if c[0] == "\n" and i == 0 else c for i, c in enumerate(chunks(t))]

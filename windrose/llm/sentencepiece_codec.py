@@ -8,7 +8,8 @@ rank of each word by a segmented reduction, all leftmost occurrences of that
 rank merged at once, and compaction, until no pair is left.  Where a merge would
 make a pair of the same or a better rank, only the leftmost one is done in that
 round, so the result equals that of merging one pair at a time, best first,
-leftmost among equals.  Words keep their ids in a bounded worker cache.
+leftmost among equals.  Words of at most ``KEPT`` characters keep their ids in a worker
+cache that is bounded in bytes; longer ones, as in scripts without spaces, don't.
 
 Null texts encode as empty ones.  Every row is kept, repeated ones too; an empty
 table gives no rows; other columns aren't read.
@@ -27,6 +28,10 @@ from .common import by_slice, two_columns
 
 SPACE = "▁"
 _NONE = np.int32(1 << 30)
+#: Characters of the longest word that is cached.
+KEPT = 64
+#: Bytes that an entry takes beside its characters and ids.
+_ENTRY = 200
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _WORDS_JOINED = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -171,26 +176,31 @@ class PieceTable:
 
 
 class Codec:
-    """Encodes and decodes whole texts; ``room`` bounds the words that are kept."""
+    """Encodes and decodes whole texts; ``room`` bounds the bytes of the words kept."""
 
-    def __init__(self, model_path: str, room: int = 400_000):
+    def __init__(self, model_path: str, room: int = 96 << 20):
         self.table, self.room = PieceTable(model_path), room
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.begin, self.end = (np.array([x], "<u4").tobytes() for x in (self.table.bos, self.table.eos))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with begin and end, as little-endian 32-bit integers."""
         find = self.table.words.findall
         split = [find(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > self.room:
-            self.known = {}
-            missing = set().union(*split)
-        if missing:
-            words = list(missing)
-            self.known.update(zip(words, self.table.merge(words), strict=True))
+        if self.held > self.room:
+            self.known, self.held = {}, 0
+        words = list(set().union(*split).difference(self.known))
+        found = dict(zip(words, self.table.merge(words), strict=True))
+        self.known.update(found)
         look = self.known.__getitem__
-        return [b"".join([self.begin, *map(look, words), self.end]) for words in split]
+        out = [b"".join([self.begin, *map(look, words), self.end]) for words in split]
+        for w, ids in found.items():
+            if len(w) > KEPT:
+                del self.known[w]
+            else:
+                self.held += _ENTRY + 2 * len(w) + len(ids)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: controls are dropped, one leading space goes, and bytes
@@ -221,7 +231,7 @@ class Codec:
         return "".join(out)
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, room: int = 400_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, room: int = 96 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row of docs, and
     with keep_ids ``ids`` (an array) and ``decoded``, the text decoded from them."""
 

@@ -2,16 +2,18 @@
 
 Tier one is a table of the corpus's most frequent pre-tokens with their lengths
 in tokens.  It is found by one pass over all documents: each task keeps bounded
-lossy counts, tasks report their heaviest entries, and the sums of these reports
-decide.  The table has at most ``frequent`` entries, so its broadcast is bounded
-whatever the corpus.  Tier two is a bounded cache in each worker that holds what
-the first tier misses, encoded by the tokenizer library in batches.  Which
-entries a tier holds changes the speed and never a count, so nothing is lost by
-the bounds, and no pre-token is shuffled; only the tasks' reports are.
+lossy counts and reports its heaviest entries as one row; these summaries are merged
+in a tree, ``fan_in`` at a time, and cut to the same size after each merge.  The table
+has at most ``frequent`` entries of at most ``KEPT`` characters, so its broadcast is
+bounded whatever the corpus.  Tier two is a cache in each worker, bounded in bytes, that
+holds what the first tier misses, encoded by the tokenizer library in batches.  Longer
+chunks, as in scripts without spaces, are encoded and not kept.  Which entries a tier
+holds changes the speed and never a count, so nothing is lost by the bounds, and no
+pre-token is shuffled; only the summaries are.
 
 Texts are cut where the byte-level pattern must start a new pre-token: before a
-space or a line feed that a visible character follows.  Anywhere else, as in
-runs of white space, the text stays whole and the library cuts it.
+space or a line feed that a visible character of any script follows.  Anywhere else, as
+in runs of white space, the text stays whole and the library cuts it.
 
 Null and empty texts have no tokens; every row is kept, repeated rows too; an
 empty table gives no rows; other columns aren't read.
@@ -24,15 +26,20 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, two_columns, written
-from .common import frequent as most_of
+from .common import by_slice, two_columns
 
-#: A space or line feed before anything else than a character that is surely visible.
-_UNSURE = re.compile("[ \n](?![!-~¡-ɏ])")
-_SURE = re.compile(" (?=[!-~¡-ɏ])")
+#: What surely is a visible character, whatever a pattern takes for white space.
+_VISIBLE = "[^\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+_UNSURE = re.compile(f"[ \n](?!{_VISIBLE})")
+_SURE = re.compile(f" (?={_VISIBLE})")
+#: Characters of the longest chunk that is kept.
+KEPT = 64
+#: Bytes that a cache entry takes beside its characters.
+_ENTRY = 180
 
 
 def chunks(text: str) -> list[str]:
@@ -49,7 +56,7 @@ def _source(chunk: str) -> str:
 
 
 class PreTokenLengths:
-    """Lengths by chunk: the frequent ones for good, others until ``room`` is full."""
+    """Lengths by chunk: the frequent ones for good, others until they take ``room`` bytes."""
 
     def __init__(self, tokenizer_path: str, frequent: dict[str, int], room: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +65,7 @@ class PreTokenLengths:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.frequent, self.room, self.known = frequent, room, dict(frequent)
+        self.frequent, self.room, self.known, self.held = frequent, room, dict(frequent), 0
 
     def encoded(self, parts: list[str]) -> list[int]:
         """Each chunk's length; a chunk's own line feed counts as one token."""
@@ -67,15 +74,28 @@ class PreTokenLengths:
 
     def count(self, texts: list[str | None]) -> list[int]:
         split = [chunks(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > self.room:
-            self.known = dict(self.frequent)
-            missing = set().union(*split).difference(self.known)
-        if missing:
-            parts = list(missing)
-            self.known.update(zip(parts, self.encoded(parts), strict=True))
+        if self.held > self.room:
+            self.known, self.held = dict(self.frequent), 0
+        parts = list(set().union(*split).difference(self.known))
+        self.known.update(zip(parts, self.encoded(parts), strict=True))
         look = self.known.__getitem__
-        return [sum(map(look, x)) - 1 if x else 0 for x in split]
+        out = [sum(map(look, x)) - 1 if x else 0 for x in split]
+        for part in parts:
+            if len(part) > KEPT:
+                del self.known[part]
+            else:
+                self.held += _ENTRY + 2 * len(part)
+        return out
+
+
+_SUMMARY = "part long, chunks array<string>, counts array<long>"
+
+
+def _summary(part: int, counts: Counter, report: int) -> pa.RecordBatch:
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:report]
+    return pa.record_batch(
+        {"part": pa.array([part], pa.int64()), "chunks": pa.array([[k for k, _ in top]], pa.list_(pa.string())), "counts": pa.array([[v for _, v in top]], pa.list_(pa.int64()))}
+    )
 
 
 def _heavy(capacity: int, report: int):
@@ -86,30 +106,52 @@ def _heavy(capacity: int, report: int):
         for batch in batches:
             for t in batch.column(0):
                 if text := t.as_py():
-                    counts.update(chunks(text))
+                    own = chunks(text)
+                    counts.update(own if max(map(len, own)) <= KEPT else [x for x in own if len(x) <= KEPT])
                 if len(counts) > capacity:
                     least = 1
                     while len(counts) > capacity // 2:
                         counts = Counter({k: v for k, v in counts.items() if v > least})
                         least *= 2
-        top = counts.most_common(report)
-        yield pa.record_batch({"chunk": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
+        yield _summary(TaskContext.get().partitionId(), counts, report)
+
+    return run
+
+
+def _merged(report: int):
+    """One summary of those with the same part, which come one after another."""
+
+    def run(batches):
+        part, counts = None, Counter()
+        for batch in batches:
+            for p, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part is not None and p != part:
+                    yield _summary(part, counts, report)
+                    counts = Counter()
+                part = p
+                for k, v in zip(keys, values, strict=True):
+                    counts[k] += v
+        if part is not None:
+            yield _summary(part, counts, report)
 
     return run
 
 
-def frequent_chunks(docs: DataFrame, text_col: str = "text", frequent: int = 32_768, capacity: int = 200_000, report: int = 8_192) -> list[str]:
+def frequent_chunks(docs: DataFrame, text_col: str = "text", frequent: int = 32_768, capacity: int = 200_000, fan_in: int = 16) -> list[str]:
     """The chunks that tasks report most often over all documents, at most ``frequent``."""
-    heavy = docs.select(F.col(text_col).alias("text")).mapInArrow(_heavy(capacity, report), "chunk string, n long")
-    sums = written(heavy.groupBy("chunk").agg(F.sum("n").alias("n")))
-    return [r.chunk for r in sums.filter(most_of(sums, frequent)).select("chunk").collect()]
+    texts = docs.select(F.col(text_col).alias("text"))
+    found, parts = texts.mapInArrow(_heavy(capacity, frequent), _SUMMARY), texts.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        found = found.withColumn("part", F.floor(F.col("part") / fan_in)).repartition("part").sortWithinPartitions("part").mapInArrow(_merged(frequent), _SUMMARY)
+    return sorted({x for r in found.select("chunks").collect() for x in r.chunks})
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, frequent: int = 32_768, room: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, frequent: int = 32_768, room: int = 96 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of docs.
 
     limit: n_tokens above it are over; frequent: entries of the broadcast table;
-    room: entries of the table and a worker's cache together."""
+    room: bytes of a worker's cache."""
     spark = docs.sparkSession
     top = frequent_chunks(docs, text_col, frequent)
     lengths = dict(zip(top, PreTokenLengths(tokenizer_path, {}, 0).encoded(top), strict=True))
