@@ -276,3 +276,18 @@ def test_ranking(spark):
     wide = spark.createDataFrame([(1.0, NAN, 3.0)], "a double, b double, c double")
     assert wide.select(ranking.row_mean("a", "b", "c").alias("m")).first().m == 2
     assert [r.k for r in ranking.preferred(df, "k", ["d"]).collect()] == ["d", "a", "b"]
+
+
+@pytest.mark.parametrize("room", [1, 50, 100_000])
+def test_whole_quantiles_are_exact(spark, room):
+    """Narrowed down step by step: ties, a wide range, an even and an odd number."""
+    import random
+
+    import numpy as np
+
+    random.seed(2)
+    for values in ([random.gauss(0, 1) for _ in range(400)] + [1e9, -1e12], [1.0] * 90 + [2.0] * 11, [3.5], [random.choice([0.1, 0.2, 7.0]) for _ in range(200)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+        assert stats.whole_quantiles(df, "v", at, room=room, bins=16) == pytest.approx(np.quantile(values, at).tolist(), rel=1e-12)
+    assert stats.whole_quantiles(df.filter("v > 99"), "v", [0.5]) == [None]

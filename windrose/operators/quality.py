@@ -34,11 +34,10 @@ def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 def by_denominator(df: DataFrame, value: str, family: str, families: dict[str, Sequence[str]]) -> DataFrame:
     """Bad counts under several choices of the rows that count."""
-    rows = None
-    for name, members in families.items():
-        own = df.filter(F.col(family).isin(list(members))).agg(F.lit(name).alias("denominator"), F.count("*").alias("n"), F.count_if(zero_or_missing(F.col(value))).alias("n_bad"))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.withColumn("ratio", ratio_floor_one(F.col("n_bad"), F.col("n")))
+    bad = zero_or_missing(F.col(value))
+    one = lambda name, own: F.struct(F.lit(name).alias("denominator"), F.count_if(own).alias("n"), F.count_if(own & bad).alias("n_bad"))
+    counts = df.agg(F.array(*(one(name, F.col(family).isin(list(members))) for name, members in families.items())).alias("counts"))
+    return counts.select(F.inline("counts")).withColumn("ratio", ratio_floor_one(F.col("n_bad"), F.col("n")))
 
 
 def missing_by_surface(df: DataFrame, keys: Sequence[str], value: str, sea: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
+from .stats import whole_quantiles
 
 
 def pivoted(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, value: str, prefix: str) -> DataFrame:
@@ -73,9 +73,9 @@ def pair_difference(df: DataFrame, keys: Sequence[str], member: str, a: str, b:
 def quadrants(df: DataFrame, panel: Sequence[str], x: str, y: str, weight: str) -> DataFrame:
     """Rows by panel and quadrant about the pooled medians, with counts and
     shares of the panel's weight."""
-    cut = df.agg(F.median(x).alias("x_cut"), F.median(y).alias("y_cut"))  # one row
-    label = F.concat(F.when(F.col(x) >= F.col("x_cut"), "high_").otherwise("low_"), F.when(F.col(y) >= F.col("y_cut"), "high").otherwise("low"))
-    found = df.crossJoin(F.broadcast(cut)).withColumn("quadrant", label).groupBy(*panel, "quadrant").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+    x_cut, y_cut = (F.lit(whole_quantiles(df, c, [0.5])[0]).cast("double") for c in (x, y))
+    label = F.concat(F.when(F.col(x) >= x_cut, "high_").otherwise("low_"), F.when(F.col(y) >= y_cut, "high").otherwise("low"))
+    found = df.withColumn("quadrant", label).groupBy(*panel, "quadrant").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
     return found.withColumn("share_pct", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy(*panel))) * 100.0)
 
 
@@ -97,8 +97,3 @@ def decomposition(df: DataFrame, keys: Sequence[str], value: str, reference: str
     )
     out = wide.select(*keys, base.alias("baseline_risk"), F.explode(rows).alias("r")).select(*keys, F.lit(reference).alias("reference_ssp"), F.lit(value).alias("risk_metric"), "baseline_risk", "r.*")
     return out.withColumn("interaction_effect", F.col("total_change") - F.col("climate_effect") - F.col("deployment_effect"))
-
-
-def ssp_years(df: DataFrame) -> DataFrame:
-    """The scenarios and target years that are studied."""
-    return df.filter(F.col("climate_ssp").isin(K.SSPS) & F.col("target_year").isin(K.YEARS))

@@ -109,15 +109,25 @@ def nearest_cell(points: DataFrame, cells: DataFrame, id_col: str, reach: float,
     return met.groupBy(id_col).agg(F.min(F.struct("d2", cell_id)).alias("best")).select(id_col, F.col(f"best.{cell_id}").alias(cell_id), F.sqrt("best.d2").alias("distance"))
 
 
-def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", degrees: bool = True, most: float = 1 << 20) -> DataFrame:
-    """J9 without a bound: the reach doubles for the points that have found none."""
-    found, left, total = None, points, cells.limit(1).count()
-    while total and reach < most:
-        got = nearest_cell(left, cells, id_col, reach, cell_id, strict=False, degrees=degrees)
-        got = got.checkpoint() if points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else got.persist()
+def settled(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder: the one the session names, else one in its warehouse."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{spark.sparkContext.applicationId}")
+    return df.checkpoint()
+
+
+def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", degrees: bool = True) -> DataFrame:
+    """J9 without a bound: the reach doubles for the points that have found none, until
+    it spans all points and cells; points without a place fall out."""
+    places = points.select("lat", "lon").unionByName(cells.select("lat", "lon")).filter(~F.isnan(F.col("lat").cast("double")) & ~F.isnan(F.col("lon").cast("double")))
+    far = places.agg((F.max("lat") - F.min("lat") + (F.lit(360.0) if degrees else F.max("lon") - F.min("lon"))).alias("far")).first().far
+    found, left = None, points
+    while far is not None:
+        got = settled(nearest_cell(left, cells, id_col, reach, cell_id, strict=False, degrees=degrees))
         found = got if found is None else found.unionByName(got)
         left = left.join(got, id_col, "left_anti")
-        if not left.limit(1).count():
+        if reach > far or left.isEmpty():
             break
         reach *= 2
     return found if found is not None else nearest_cell(points, cells, id_col, reach, cell_id, degrees=degrees)

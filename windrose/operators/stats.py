@@ -15,6 +15,52 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float
     return found.select(*keys, *(F.get("__q", F.lit(i)).alias(f"{prefix}{round(100 * p)}") for i, p in enumerate(at)))
 
 
+def _ranked(counts: list[tuple[float, int]], rank: int) -> float:
+    """The value at a rank, from 0, of sorted (value, count) pairs."""
+    for value, n in counts:
+        if rank < n:
+            return value
+        rank -= n
+    return counts[-1][0]
+
+
+def whole_quantiles(df: DataFrame, value: str, at: Sequence[float], room: int = 100_000, bins: int = 4096) -> list[float | None]:
+    """A15 of a whole table: exact quantiles with linear interpolation, without a task
+    that holds the values.  Counts by equal steps of an interval narrow it down to the
+    step with the wanted ranks, again and again, until at most ``room`` values are
+    left or all in it are equal; only those are read.  Nulls and NaN don't count."""
+    x = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, least, most = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(at)
+    out, last = [], None
+    for p in at:
+        rank = p * (n - 1)
+        k = math.floor(rank)
+        low, high, below, inside = least, most, 0, n
+        while inside > room and low < high:
+            width = (high - low) / bins
+            step = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
+            counts = x.filter(F.col("x").between(low, high)).groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+            before, span = below, []
+            for r in sorted(counts, key=lambda r: r.s):
+                if before + r.n > k and before <= k + 1:
+                    span.append((before, r))
+                before += r.n
+            if sum(r.n for _, r in span) == inside:
+                break  # steps too fine for these numbers
+            below, low, high, inside = span[0][0], span[0][1].low, span[-1][1].high, sum(r.n for _, r in span)
+        if low == high:
+            a = b = low
+        else:
+            if last is None or last[:2] != (low, high):
+                own = x.filter(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).collect()
+                last = (low, high, sorted((r.x, r.n) for r in own))
+            a, b = (_ranked(last[2], min(i, n - 1) - below) for i in (k, k + 1))
+        out.append((k + 1 - rank) * a + (rank - k) * b if rank > k else a)
+    return out
+
+
 def variation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The coefficient of variation in per cent from the sample deviation;
     groups of one value have none and fall out."""
@@ -68,8 +114,7 @@ def fixed_bins(df: DataFrame, bins: DataFrame, value: str, low: float, width: fl
 def decile_bins(df: DataFrame, value: str, measure: str) -> DataFrame:
     """Bins by the value's deciles, the lowest edge widened by 1e-9; equal edges
     make one bin."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / 10) for i in range(11))))).alias("__e"))  # one row
-    own = df.crossJoin(F.broadcast(edges)).withColumn("__e", F.concat(F.array(F.get("__e", F.lit(0)) - 1e-9), F.slice("__e", 2, F.size("__e"))))
+    edges = sorted({e for e in whole_quantiles(df, value, [i / 10 for i in range(11)]) if e is not None})
     x = F.col(value)
-    at = F.size(F.filter("__e", lambda e: e < x))
-    return own.dropna(subset=[value]).withColumn("bin", F.greatest(at, F.lit(1))).groupBy("bin").agg(F.count("*").alias("n"), F.median(measure).alias("q50"))
+    at = sum(((F.lit(e) < x).cast("int") for e in edges[1:]), (F.lit(edges[0] - 1e-9) < x).cast("int")) if edges else F.lit(1)
+    return df.dropna(subset=[value]).withColumn("bin", F.greatest(at, F.lit(1))).groupBy("bin").agg(F.count("*").alias("n"), F.median(measure).alias("q50"))

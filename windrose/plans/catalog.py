@@ -146,9 +146,9 @@ def q11_nearest_axis(spark, sf_dir):
 
 
 def q11b_nearest_point(spark, sf_dir):
-    """Sites to stations' places within three degrees."""
-    c = table_places(spark, sf_dir)
-    return rounded(spatial.nearest_cell(views.sites(spark, sf_dir), c, "site_id", 3.0))
+    """Each site's nearest station, however far, and whether it is nearer than 0.3 degrees."""
+    found = spatial.nearest_any(views.sites(spark, sf_dir), table_places(spark, sf_dir), "site_id", 3.0)
+    return rounded(found.withColumn("near", F.col("distance") < 0.3))
 
 
 def table_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +324,7 @@ def _risk_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.col("capacity_factor").alias("annual_capacity_factor"), F.col("generation_mwh").alias("annual_generation_mwh"),
     )
     kind = F.element_at(F.array(*map(F.lit, [e for own in K.EVENTS.values() for e in own])), (F.col("event_id") % 5 + 1).cast("int"))
-    hours = views.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).cast("string").alias("station_id"), kind.alias("event_type")).agg(F.sum("value").alias("exposed_hours"), F.avg("value").alias("event_intensity_index"))
+    hours = views.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("station_id"), kind.alias("event_type")).agg(F.sum("value").alias("exposed_hours"), F.avg("value").alias("event_intensity_index"))
     met = annual.join(hours, "station_id")
     exposure = met.select(
         *risk.STATION_KEYS, "event_type", "capacity_mw", "exposed_hours", (F.col("capacity_mw") * F.col("exposed_hours")).alias("exposed_capacity_mw_hours"),

@@ -74,7 +74,7 @@ _EVENTS = [e for own in K.EVENTS.values() for e in own]
 _EVENT = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EVENTS)) + " END"
 _RISK = _annual(_BOTH) + f""", a AS (
     SELECT CAST(station_idx AS VARCHAR) AS station_id, country, technology, deploy_ssp, climate_ssp, year AS target_year, capacity_mw, capacity_factor, generation_mwh FROM v_annual
-), h AS (SELECT CAST(user_id % 100 AS VARCHAR) AS station_id, {_EVENT} AS event_type, sum(value) AS exposed_hours, avg(value) AS intensity FROM events GROUP BY ALL
+), h AS (SELECT CAST(user_id AS VARCHAR) AS station_id, {_EVENT} AS event_type, sum(value) AS exposed_hours, avg(value) AS intensity FROM events GROUP BY ALL
 ), x AS (SELECT a.*, event_type, exposed_hours, intensity, generation_mwh * exposed_hours / 8760 AS exposed FROM a JOIN h USING (station_id)
 ), k AS (SELECT station_id, deploy_ssp, climate_ssp, sum(generation_mwh) AS annual FROM a GROUP BY ALL
 ), l AS (
@@ -145,8 +145,8 @@ ORACLE_SQL = {
         SELECT site_id, a.region_id AS floor_region, b.region_id AS rint_region FROM p JOIN v_cell a ON p.row = a.row AND p.col = a.col JOIN v_cell b ON r2 = b.row AND c2 = b.col""",
     "q11_nearest_axis": f"WITH {_SITE} SELECT site_id, {_axis(views.LAT_AXIS, 'lat', False)} AS ilat, {_axis(views.LON_AXIS, 'lon360', True)} AS ilon, {_axis(views.LON_AXIS, 'lon360', False)} AS ilon_plain FROM v_at",
     "q11b_nearest_point": f"""WITH {_SITE}, c AS (SELECT s_suppkey AS cell_id, (s_suppkey * 911 % 3600) / 10.0::DOUBLE AS x, (s_suppkey * 577 % 1500) / 10.0::DOUBLE - 65.0::DOUBLE AS y FROM supplier),
-        n AS (SELECT site_id, cell_id, pow(y - lat, 2) + pow(x - lon360, 2) AS d2 FROM v_at, c WHERE pow(y - lat, 2) + pow(x - lon360, 2) < 9)
-        SELECT site_id, arg_min(cell_id, struct_pack(d := d2, c := cell_id)) AS cell_id, round(sqrt(min(d2)), 6) AS distance FROM n GROUP BY site_id""",
+        d AS (SELECT site_id, cell_id, pow(y - lat, 2) + pow(x - lon360, 2) AS d2 FROM v_at CROSS JOIN c)
+        SELECT site_id, arg_min(cell_id, struct_pack(d := d2, i := cell_id)) AS cell_id, round(sqrt(min(d2)), 6) AS distance, sqrt(min(d2)) < 0.3 AS near FROM d GROUP BY site_id""",
     "q11c_fill_background": f"""WITH {_SITE}, {_CELL}, w AS (SELECT DISTINCT p.row, p.col FROM (SELECT {_RC} FROM v_at) p JOIN v_cell c ON p.row = c.row AND p.col = c.col WHERE region_id = 0)
         SELECT w.row, w.col, arg_min(c.region_id, struct_pack(d := (c.row - w.row) * (c.row - w.row) + (c.col - w.col) * (c.col - w.col), r := c.row, c := c.col)) AS region_id
         FROM w, v_cell c WHERE c.region_id > 0 GROUP BY ALL""",
