@@ -26,12 +26,12 @@ _LONG = 1 << 24
 
 @lru_cache(8)
 def _powers(base: int, modulus: int, size: int) -> np.ndarray:
-    out = np.empty(size, np.uint64)
+    out = np.empty(size, np.uint32)  # half the room of the products
     out[:1] = 1
     done = 1
     while done < size:
         more = min(done, size - done)
-        out[done : done + more] = out[:more] * np.uint64(int(out[done - 1]) * base % modulus) % np.uint64(modulus)
+        out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(int(out[done - 1]) * base % modulus) % np.uint64(modulus)
         done += more
     return out
 
