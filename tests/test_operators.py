@@ -291,3 +291,25 @@ def test_whole_quantiles_are_exact(spark, room):
         at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
         assert stats.whole_quantiles(df, "v", at, room=room, bins=16) == pytest.approx(np.quantile(values, at).tolist(), rel=1e-12)
     assert stats.whole_quantiles(df.filter("v > 99"), "v", [0.5]) == [None]
+
+
+def test_wide_polygon_tables_are_joined_by_band(spark):
+    """Beyond the bound on edges nothing is broadcast, and the rows are the same; points
+    without coordinates and repeated ids keep theirs."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    edges = spark.createDataFrame([(k, f"p{k}", a[0] + k, a[1], b[0] + k, b[1]) for k in (0, 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)], "poly_ordinal int, name string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 0.5, 1.0), (2, 2.0, 2.0), (3, 4.5, 3.5), (3, 4.5, 3.5), (4, 9.0, 1.0), (5, None, None), (6, 0.0, 0.0)], "id int, lon double, lat double")
+    few, many = (spatial.in_polygons(points, edges, "id", most=n) for n in (1000, 3))
+    key = lambda r: (r.id, r.polygon or "")
+    got = [(r.id, r.polygon) for r in sorted(few.collect(), key=key)]
+    assert got == [(r.id, r.polygon) for r in sorted(many.collect(), key=key)] == [(1, "p0"), (2, "p0"), (3, "p1"), (3, "p1"), (4, None), (5, None), (6, "p0")]
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reports_end_with_their_totals(spark):
+    from windrose.sources import sinks
+
+    df = spark.createDataFrame([(2050, "wind", 1), (2030, "ALL", 3), (2030, "wind", 1), (2030, "solar", 2), (2050, "ALL", 1)], "year int, type string, n_total int").withColumns({"n_cover_ratio": F.lit(0.33333), "cap_cover_ratio": F.lit(0.5)})
+    assert [(r.year, r.type) for r in sinks.coverage_report(df, "type", ("year",)).collect()] == [(2030, "solar"), (2030, "wind"), (2030, "ALL"), (2050, "wind"), (2050, "ALL")]
+    rows = sinks.grid_report(spark.createDataFrame([(10, "b", 1), (2, "a", 4)], "region_id int, region_name string, n int"), "region_id", "region_name").collect()
+    assert [tuple(r) for r in rows] == [("2", "a", 4), ("10", "b", 1), ("ALL", "", 5)]

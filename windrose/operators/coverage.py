@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio_or_zero
+from ..functions.scalar import ratio_or_zero, sum_or_zero
 
 
 def coverage_measures(inside: Column, capacity: Column) -> list[Column]:
     """Counts and sums; ratios follow from the sums."""
     return [
-        F.count("*").alias("n_total"), F.count_if(inside).alias("n_inside"), F.coalesce(F.sum(capacity), F.lit(0.0)).alias("cap_total"), F.coalesce(F.sum(F.when(inside, capacity)), F.lit(0.0)).alias("cap_inside"),
+        F.count("*").alias("n_total"), F.count_if(inside).alias("n_inside"), sum_or_zero(capacity).alias("cap_total"), sum_or_zero(F.when(inside, capacity)).alias("cap_inside"),
     ]
 
 

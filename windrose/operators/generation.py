@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_even, known, sum_or_zero
+from ..functions.scalar import half_even, known
 from ..functions import constants as K
 
 #: Columns that tell the power files apart.
@@ -92,13 +92,8 @@ def positive(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def window_mean(df: DataFrame, keys: Sequence[str], value: str, first: int, last: int, name: str, scale: float = 1.0) -> DataFrame:
-    """The mean over the years first to last."""
-    return df.filter(F.col("year").between(first, last)).groupBy(*keys).agg((F.avg(value) * scale).alias(name))
-
-
 def window_change(df: DataFrame, keys: Sequence[str], value: str, base: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """The difference of two window means, for keys that have both; both come
+    """The difference of two window means, for keys that have both; both come
     from one aggregation."""
     mean = lambda w: F.avg(F.when(F.col("year").between(*w), F.col(value)))
     both = df.filter(F.col("year").between(*base) | F.col("year").between(*target)).groupBy(*keys).agg(mean(base).alias("base"), mean(target).alias("target"))
@@ -113,6 +108,12 @@ def padded_range(df: DataFrame, keys: Sequence[str], value: str, pad: float = 0.
     return found.withColumns({"low": F.col("low") - gap, "high": F.col("high") + gap})
 
 
+def shared_limits(df: DataFrame, factors: dict[str, tuple[float, float]]) -> DataFrame:
+    """A range for all panels, the whole table's minimum and maximum of each
+    column times their factors."""
+    return df.agg(*(x for c, (low, high) in factors.items() for x in ((F.min(c) * low).alias(f"{c}_low"), (F.max(c) * high).alias(f"{c}_high"))))
+
+
 def rms_wind(df: DataFrame, keys: Sequence[str], u: str = "u", v: str = "v") -> DataFrame:
     """Root of the sum of the mean squares of two components."""
     square = lambda c: F.avg(known(F.col(c)) * known(F.col(c)))
@@ -124,9 +125,4 @@ def time_mean(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
     return df.groupBy(*keys).agg(F.avg(known(F.col(value))).alias(value))
 
 
-def event_totals(df: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
-    """Named sums by group, 0 where there is nothing to add."""
-    return df.groupBy(*keys).agg(*(sum_or_zero(F.col(c)).alias(name) for name, c in sums.items()))
-
-
 HOURS = K.HOURS

@@ -46,27 +46,35 @@ def first_area_join(points: DataFrame, areas: DataFrame, id_col: str, default: s
     return points.crossJoin(F.broadcast(rows)).select(id_col, F.coalesce(F.get(hit, F.lit(0))["name"], F.lit(default)).alias("area"))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None, band: float = 1.0) -> DataFrame:
+def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None, band: float = 1.0, most: int = 200_000) -> DataFrame:
     """The first polygon (lowest ordinal) that contains the point; with
     boundary, points on an outline fall to the first polygon that covers them.
     J5b without.
 
     edges: poly_ordinal, name, x1, y1, x2, y2.  Edges are dealt to the latitude bands
-    that they reach into, and a point meets the edges of its band that a ray to the
-    east from it can cross, whichever polygon they belong to; an odd number of
-    crossings of a polygon, holes included, means inside."""
+    that they reach into and gather there by polygon, so that a point meets one row,
+    that of its band, and is decided in it: an odd number of the edges of a polygon,
+    holes included, that a ray to the east crosses means inside.  Up to ``most`` dealt
+    edges are broadcast; more meet the points by band, and no point is dealt again.
+    Points without coordinates, and those of repeated ids, each give a row."""
     lon, lat = F.col("lon"), F.col("lat")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     number = lambda y: F.floor(y / band)
-    dealt = edges.select("poly_ordinal", "name", "x1", "y1", "x2", "y2", F.explode(F.sequence(number(low), number(high))).alias("__band"))
-    asked = points.select(F.col(id_col).alias("__id"), "lon", "lat", number(lat).alias("__band"))
-    met = asked.join(dealt, "__band").filter((lat >= low) & (lat <= high) & (lon <= F.greatest("x1", "x2")))
-    ends = (lon, lat, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    by = met.groupBy("__id", "poly_ordinal", "name").agg((F.count_if(crosses(*ends)) % 2 == 1).alias("odd"), F.bool_or(on_edge(*ends)).alias("edge"))
-    rank = F.when(F.col("odd") & ~F.col("edge"), 0).when(F.col("edge") & F.lit(boundary), 1)
-    best = by.select("__id", rank.alias("pass"), "poly_ordinal", "name").filter("pass is not null").groupBy("__id").agg(F.min(F.struct("pass", "poly_ordinal", "name")).alias("hit"))
-    found = points.join(best, F.col(id_col) == F.col("__id"), "left")
-    return found.select(*points.columns, F.coalesce("hit.name", F.lit(default)).alias("polygon"))
+    reached = F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))
+    dealt = edges.select("poly_ordinal", "name", F.struct("x1", "y1", "x2", "y2").alias("edge"), F.explode(reached).alias("__band"))
+    outlines = dealt.groupBy("__band", "poly_ordinal", "name").agg(F.collect_list("edge").alias("edges"))
+    bands = outlines.groupBy("__band").agg(F.collect_list(F.struct("poly_ordinal", "name", "edges")).alias("__polygons"))
+    if dealt.limit(most + 1).count() <= most:
+        bands = F.broadcast(bands)
+
+    def place(p: Column) -> Column:
+        ends = lambda e: (lon, lat, e.x1, e.y1, e.x2, e.y2)
+        odd = F.size(F.filter(p.edges, lambda e: crosses(*ends(e)))) % 2 == 1
+        edge = F.exists(p.edges, lambda e: on_edge(*ends(e)))
+        return F.struct(F.when(odd & ~edge, 0).when(edge & F.lit(boundary), 1).alias("pass"), p.poly_ordinal.alias("ordinal"), p["name"].alias("name"))
+
+    best = F.array_min(F.filter(F.transform("__polygons", place), lambda hit: hit["pass"].isNotNull()))
+    met = points.withColumn("__band", number(lat)).join(bands, "__band", "left")
+    return met.select(*points.columns, F.coalesce(best["name"], F.lit(default)).alias("polygon"))
 
 
 def raster_index(value: Column, origin: float, step: float, size: int, how: str = "floor", drop: bool = False) -> Column:
@@ -176,7 +184,7 @@ def grid_by_region(cells: DataFrame, occupied: DataFrame) -> DataFrame:
 
 def edge_bands(grid: DataFrame, keys, value: str = "value") -> DataFrame:
     """How many whole rows and columns at each side have no value; the full
-    size where nothing has one.  F25: the widths in degrees need the axis step."""
+    size where nothing has one."""
     has = F.col(value).isNotNull()
     size = lambda c: F.max(c) + 1
     low = lambda c: F.coalesce(F.min(F.when(has, F.col(c))), size(c))
@@ -190,6 +198,14 @@ def axis_step(axis: DataFrame, keys) -> DataFrame:
     return axis.groupBy(*keys).agg(F.abs(at(1) - at(0)).alias("step"))
 
 
+def bands_in_degrees(bands: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame, keys) -> DataFrame:
+    """the widths of edge_bands in degrees, by the steps of the grids' axes (keys,
+    index, value)."""
+    steps = axis_step(lat_axis, keys).withColumnRenamed("step", "__lat").join(axis_step(lon_axis, keys).withColumnRenamed("step", "__lon"), list(keys))
+    width = {f"{side}_deg": F.col(side) * F.col(step) for step, sides in (("__lat", ("top", "bottom")), ("__lon", ("left", "right"))) for side in sides}
+    return bands.join(steps, list(keys), "left").withColumns(width).drop("__lat", "__lon")
+
+
 def mesh(rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Every pair of two axes; a cell grid, so its size is that of the result."""
     return rows.crossJoin(cols)

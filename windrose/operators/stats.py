@@ -78,7 +78,7 @@ def pair_correlation(df: DataFrame, keys: Sequence[str], at: Sequence[str], memb
 
 
 def density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, points: int = 30, log: bool = False, least: int = 3) -> DataFrame:
-    """A21, A21b, A21c, A21d: Gaussian kernel density on a fixed grid, with Scott's
+    """A21, A21b, A21d: Gaussian kernel density on a fixed grid, with Scott's
     bandwidth; groups of fewer than ``least`` values or without spread fall out.
 
     Equal values are counted first, so the grid multiplies distinct values, and
@@ -97,8 +97,22 @@ def density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: fl
     return out.select(*keys, "point", "x", "n", "bandwidth", (F.col("__s") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def to_own_peak(densities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Densities as shares of their group's highest, 1 at the peak."""
+    top = densities.groupBy(*keys).agg(F.max("density").alias("__top"))  # a row for each group
+    return densities.join(top, list(keys)).withColumn("share", F.try_divide("density", "__top")).drop("__top")
+
+
+def median_trend(df: DataFrame, keys: Sequence[str], member: str, members: Sequence[str], within: Sequence[str], value: str, log: bool = False) -> DataFrame:
+    """The line through the medians of the members, and of what is told apart
+    ``within`` them, against the members' positions.  A22c: of a filtered table."""
+    medians = quantiles(df, [*keys, member, *within], value, (0.5,))
+    at = F.array_position(F.array(*map(F.lit, members)), F.col(member)) - 1
+    return trend(medians.filter(F.col(member).isin(list(members))).withColumn("__at", at.cast("double")), keys, "__at", "q50", log)
+
+
 def trend(df: DataFrame, keys: Sequence[str], x: str, y: str, log: bool = False) -> DataFrame:
-    """Least-squares line, of log10 y where asked."""
+    """Least-squares line, of log10 y where asked."""
     v = F.log10(y) if log else F.col(y)
     return df.groupBy(*keys).agg(F.regr_slope(v, F.col(x)).alias("slope"), F.regr_intercept(v, F.col(x)).alias("intercept"), F.count(y).alias("n"))
 

@@ -7,13 +7,15 @@ doesn't show.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo, scalar
 from ..operators import coverage, generation, quality, ranking, risk, scenario, spatial, stats
-from ..sources import synth
+from ..sources import readers, sinks, synth
 from . import views
 from .oracle import ORACLE_SQL
 
@@ -125,6 +127,12 @@ def q09_point_in_polygon(spark, sf_dir):
     return covers.join(contains, "site_id").select("site_id", "covers", "contains")
 
 
+def q09b_named_polygons(spark, sf_dir):
+    """J20 SRC5b: some polygons under other names and in another order."""
+    edges = readers.named_polygons(views.polygons(spark), {"kite": "dragon"}, ["inner", "dragon"])
+    return spatial.in_polygons(views.sites(spark, sf_dir).select("site_id", "lon", "lat"), edges, "site_id").select("site_id", "polygon")
+
+
 def _located(s: DataFrame, how: str = "floor", drop: bool = False) -> DataFrame:
     return s.withColumns({"row": spatial.raster_index(90.0 - F.col("lat"), 0.0, 10.0, views.N_ROWS, how, drop), "col": spatial.raster_index(geo.to_360(F.col("lon")), 0.0, 10.0, views.N_COLS, how, drop)})
 
@@ -205,11 +213,13 @@ def q14d_missing_by_surface(spark, sf_dir):
 
 
 def q15_edge_bands(spark, sf_dir):
-    """A grid with empty sides, and an empty one."""
-    c = views.cells(spark)
-    some = c.withColumns({"grid": F.lit("some"), "value": F.when(F.col("row").between(2, 14) & F.col("col").between(3, 30), F.col("region_id").cast("double"))})
-    none = c.withColumns({"grid": F.lit("none"), "value": F.lit(None).cast("double")})
-    return spatial.edge_bands(some.unionByName(none), ["grid"])
+    """Grids of the sites' capacity by nation, empty where it has none but
+    within 30 degrees of the equator, and the widths in degrees."""
+    s = _located(views.sites(spark, sf_dir).filter(F.abs("lat") < 30), drop=True).groupBy(F.col("nation_key").alias("grid"), "row", "col").agg(F.sum("capacity_gw").alias("value"))
+    grids = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("grid"))
+    whole = spatial.mesh(grids, views.cells(spark).select("row", "col")).join(s, ["grid", "row", "col"], "left")
+    axis = lambda n, step: spatial.mesh(grids, spark.range(n).select(F.col("id").cast("int").alias("index"))).select("grid", "index", (85.0 - step * F.col("index") / (1 + F.col("grid") % 2)).alias("value"))
+    return rounded(spatial.bands_in_degrees(spatial.edge_bands(whole, ["grid"]), axis(views.N_ROWS, 10.0), axis(views.N_COLS, -5.0), ["grid"]))
 
 
 def q16_rms_combine(spark, sf_dir):
@@ -236,10 +246,16 @@ def q18b_correlation(spark, sf_dir):
 
 
 def q19_kde(spark, sf_dir):
-    """A21 A21c."""
+    """A21."""
     return rounded(stats.density(_annual(spark, sf_dir), ["technology", "climate_ssp"], "capacity_factor", 0.0, 0.02))
 
 
+def q19c_kde_own_peak(spark, sf_dir):
+    """From two values on, as shares of the own peak."""
+    keys = ["country", "technology"]
+    return rounded(stats.to_own_peak(rounded(stats.density(_country(spark, sf_dir), keys, "mean_cf", 0.0, 0.02, least=2)), keys))
+
+
 def q19b_kde_log(spark, sf_dir):
     """A21b F22."""
     df = generation.positive(_annual(spark, sf_dir), "generation_mwh")
@@ -247,13 +263,20 @@ def q19b_kde_log(spark, sf_dir):
 
 
 def q20_linear_trend(spark, sf_dir):
-    """A22 A22b A22c."""
+    """A22."""
     yearly = generation.totals(_annual(spark, sf_dir), ["technology", "climate_ssp", "year"], "generation_mwh", 1e6)
     line = stats.trend(yearly, ["technology", "climate_ssp"], "year", "generation_mwh")
     log = stats.trend(yearly, ["technology", "climate_ssp"], "year", "generation_mwh", log=True).select("technology", "climate_ssp", F.col("slope").alias("log_slope"))
     return rounded(line.join(log, ["technology", "climate_ssp"]), 5)
 
 
+def q20b_median_trend(spark, sf_dir):
+    """Lines through the medians of scenarios and years, and of one year."""
+    df = generation.positive(_annual(spark, sf_dir), "capacity_factor").filter(F.col("year").isin(YEARS))
+    fit = lambda rows, name, log=False: stats.median_trend(rows, ["technology"], "climate_ssp", K.SSPS, ["year"], "capacity_factor", log).select("technology", F.col("slope").alias(f"{name}slope"), F.col("intercept").alias(f"{name}intercept"), F.col("n").alias(f"{name}n"))
+    return rounded(fit(df, "").join(fit(df, "log_", True), "technology").join(fit(df.filter(F.col("year") == YEARS[-1]), "last_"), "technology"))
+
+
 def q21_pivot_change_vs_base(spark, sf_dir):
     """A23 W3 W3b W3c T6."""
     wide = scenario.pivoted(_country(spark, sf_dir), ["country", "technology", "climate_ssp"], "year", YEARS, "mean_cf", "y")
@@ -469,11 +492,16 @@ def q37_value_counts(spark, sf_dir):
 
 
 def q38_padded_range(spark, sf_dir):
-    """A18 A18b."""
+    """A18."""
     df = generation.positive(_annual(spark, sf_dir), "generation_mwh")
     return rounded(generation.padded_range(df, ["technology"], "generation_mwh", log=True))
 
 
+def q38b_shared_limits(spark, sf_dir):
+    """A18b."""
+    return rounded(generation.shared_limits(_annual(spark, sf_dir), {"capacity_factor": (0.92, 1.05), "capacity_mw": (0.8, 1.25)}))
+
+
 def q39_boundary_points(spark, sf_dir):
     """a hundred points round each rectangle."""
     pts = views.boxes(spark).select("name", F.explode(geo.boundary(geo.to_180(F.col("west")), geo.to_180(F.col("east")), F.col("south"), F.col("north"), 25)).alias("p"))
@@ -481,7 +509,7 @@ def q39_boundary_points(spark, sf_dir):
 
 
 def q40_cell_centres(spark, sf_dir):
-    """F7 J22 SNK2: cells in column-major order."""
+    """Cells in column-major order."""
     rows, cols = spark.range(12).select(F.col("id").alias("row")), spark.range(20).select(F.col("id").alias("col"))
     lon, lat = geo.cell_centre(F.col("row"), F.col("col"))
     return spatial.mesh(rows, cols).select("row", "col", lon.alias("lon"), lat.alias("lat"), (F.col("col") * 12 + F.col("row")).alias("rank"))
@@ -505,5 +533,71 @@ def q42_study_losses(spark, sf_dir):
     return rounded(t["country_technology_vulnerability"], 4)
 
 
+def _dated_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.element_at(F.array(*map(F.lit, K.YEARS)), (F.col("site_id") % 3 + 1).cast("int"))
+    return views.sites(spark, sf_dir).withColumns({"year": year, "inside": spatial.in_any_area(F.col("lon"), F.col("lat"))})
+
+
+def q44_coverage_report(spark, sf_dir):
+    """SNK5 SNK5b SNK5c: technologies by year, each year's total last."""
+    return rounded(sinks.coverage_report(coverage.coverage_with_total(_dated_sites(spark, sf_dir), "technology", ["year"]), "technology", ("year",)))
+
+
+def q44b_grid_report(spark, sf_dir):
+    """SNK5d: occupied cells by region with names, the sums last and without a name."""
+    s = _located(views.sites(spark, sf_dir), drop=True).withColumn("inside", F.col("capacity_gw") > 5)
+    found = spatial.grid_by_region(views.cells(spark), spatial.occupancy(s)).join(readers.region_names(spark), "region_id")
+    return rounded(sinks.grid_report(found, "region_id", "region_name"), 5)
+
+
+def q44c_ratio_report(spark, sf_dir):
+    """SNK5e SNK5f SNK5g: bad values by technology, country and family of grids."""
+    p = views.power(spark, sf_dir)
+    status = quality.status_counts(p, ["technology"], "power_gw", F.lit(True)).select(F.lit("status").alias("kind"), F.col("technology").alias("name"), "n", "n_bad", F.col("bad_ratio").alias("ratio"))
+    country = quality.zero_by_country(p.join(views.stations(spark, sf_dir).select("station_idx", "country"), "station_idx"), "power_gw").select(F.lit("country").alias("kind"), F.col("country").alias("name"), "n", "n_bad", "ratio")
+    family = quality.by_denominator(p, "power_gw", "climate_ssp", {"national": ["ssp126"], "all": K.SSPS}).select(F.lit("family").alias("kind"), F.col("denominator").alias("name"), "n", "n_bad", "ratio")
+    return sinks.ratio_report(status.unionByName(country).unionByName(family), "ratio")
+
+
+def q44d_station_selection(spark, sf_dir):
+    """SNK2 F18b: sites as text with fixed decimals; capacities in steps of 1/64, whose
+    decimals are no ties."""
+    return sinks.station_selection(_dated_sites(spark, sf_dir).withColumns({"type": F.col("technology"), "capacity_gw": F.floor(F.col("capacity_gw") * 64.0) / 64.0 + 0.00001}))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all machines share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/windrose-{uuid.uuid4().hex}"
+
+
+def _as_padded_csv(df: DataFrame, path: str) -> None:
+    blank = df.select(*(F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("  ")).alias(c) for c in df.columns))
+    blank.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def q45_model_files(spark, sf_dir):
+    """SRC9 SRC9b SRC9c SRC9d SRC11 T-8 U1b: countries' factors of three models, each in
+    a folder's CSV files, beside the first one's own and a model without files."""
+    root = _scratch(spark)
+    _country(spark, sf_dir).select(F.col("technology").alias("energy"), F.lit("?").alias("model"), F.col("climate_ssp").alias("scenario"), F.col("country").alias("region"), "year", "mean_cf").write.parquet(f"{root}/all")
+    for ssp in K.SSPS:
+        _as_padded_csv(spark.read.parquet(f"{root}/all").filter(F.col("scenario") == ssp), f"{root}/models/{ssp}/cf_annual.csv")
+    found = readers.discover_models(spark, f"{root}/models", "cf_*.csv", K.SSPS[1:])
+    every = readers.models(spark, found).unionByName(readers.optional(spark, f"{root}/models/none/cf_annual.csv", "per_country_annual_cf"))
+    base = readers.required(spark, f"{root}/models/{K.SSPS[0]}/cf_annual.csv", "per_country_annual_cf").groupBy("energy", "year").agg(F.avg("mean_cf").alias("base_cf"))
+    return rounded(every.groupBy("model", "energy", "year").agg(F.count("*").alias("n"), F.avg("mean_cf").alias("mean_cf")).join(base, ["energy", "year"], "left"))
+
+
+def q45b_region_files(spark, sf_dir):
+    """SRC9e SRC9f SRC10b: regional coverage written with its totals and read without
+    them, beside an optional file that isn't there."""
+    path = f"{_scratch(spark)}/coverage.csv"
+    table = coverage.coverage_with_total(_dated_sites(spark, sf_dir), "nation_key", ["year"])
+    _as_padded_csv(table.withColumnsRenamed({"nation_key": "region_id", "cap_total": "cap_total_gw", "cap_inside": "cap_inside_gw"}), path)
+    rows = readers.region_rows(spark, path)
+    more = readers.optional(spark, f"{path}.none", "region_coverage", trimmed=False)
+    return rounded(rows.unionByName(more.withColumn("region_id", F.col("region_id").cast("int"))).drop("region_name"))
+
+
 QUERIES = {k: v for k, v in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit() and callable(v)}
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

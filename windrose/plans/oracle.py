@@ -96,7 +96,7 @@ def _segments(keys: str, value: str, table: str) -> str:
 
 
 _POLY = f"e AS (SELECT * FROM {_values(views.POLYGONS, 'poly, name, x1, y1, x2, y2')})"
-_KDE = lambda keys, x, low, high, n, source: f"""b AS (SELECT {keys}, {x} AS x FROM {source}), st AS (SELECT {keys}, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM b GROUP BY ALL HAVING count(*) >= 3 AND stddev_samp(x) > 0),
+_KDE = lambda keys, x, low, high, n, source, least=3: f"""b AS (SELECT {keys}, {x} AS x FROM {source}), st AS (SELECT {keys}, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM b GROUP BY ALL HAVING count(*) >= {least} AND stddev_samp(x) > 0),
     g AS (SELECT CAST(i AS INT) AS point, {low} + ({high} - {low}) * i / {n - 1}.0::DOUBLE AS x FROM range({n}) AS r(i))
     SELECT {", ".join("st." + k for k in keys.split(", "))}, point, round(g.x, 6) AS x, n, round(h, 6) AS bandwidth,
            round(sum(exp(-0.5 * pow((g.x - b.x) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
@@ -171,8 +171,9 @@ ORACLE_SQL = {
     "q14d_missing_by_surface": f"""WITH {_POWER}, t AS (SELECT technology, power IS NULL AS gone, (station_idx % 7) / 6.0::DOUBLE < 0.5 AS sea FROM v_power)
         SELECT technology, count(*) AS n, count(*) FILTER (gone) AS n_missing, count(*) FILTER (gone AND sea) AS n_sea, count(*) FILTER (gone AND NOT sea) AS n_land, count(*) FILTER (sea) AS sea_cells,
                round(count(*) FILTER (gone AND NOT sea) / CAST(greatest(count(*) FILTER (gone), 1) AS DOUBLE), 6) AS land_share, round(count(*) FILTER (sea) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS sea_share FROM t GROUP BY ALL""",
-    "q15_edge_bands": f"""WITH {_CELL}, g AS (SELECT 'some' AS grid, row, col, row BETWEEN 2 AND 14 AND col BETWEEN 3 AND 30 AS has FROM v_cell UNION ALL SELECT 'none', row, col, false FROM v_cell)
-        SELECT grid, coalesce(min(row) FILTER (has), 18) AS top, coalesce(17 - max(row) FILTER (has), 18) AS bottom, coalesce(min(col) FILTER (has), 36) AS left, coalesce(35 - max(col) FILTER (has), 36) AS right FROM g GROUP BY grid""",
+    "q15_edge_bands": f"""WITH {_SITE}, o AS (SELECT nation_key AS grid, CAST(floor((90.0::DOUBLE - lat) / 10.0::DOUBLE) AS INT) AS row, CAST(floor(lon360 / 10.0::DOUBLE) AS INT) AS col FROM v_at WHERE abs(lat) < 30 AND cap IS NOT NULL),
+        b AS (SELECT n_nationkey AS grid, CAST(coalesce(min(row), 18) AS INT) AS top, CAST(coalesce(17 - max(row), 18) AS INT) AS bottom, CAST(coalesce(min(col), 36) AS INT) AS left, CAST(coalesce(35 - max(col), 36) AS INT) AS right FROM nation LEFT JOIN o ON grid = n_nationkey GROUP BY n_nationkey)
+        SELECT *, top * 10.0::DOUBLE / (1 + grid % 2) AS top_deg, bottom * 10.0::DOUBLE / (1 + grid % 2) AS bottom_deg, "left" * 5.0::DOUBLE / (1 + grid % 2) AS left_deg, "right" * 5.0::DOUBLE / (1 + grid % 2) AS right_deg FROM b""",
     "q16_rms_combine": """SELECT user_id, round(sqrt(avg(value * value) FILTER (event_id % 2 = 0) + avg(value * value) FILTER (event_id % 2 = 1)), 6) AS speed,
         round(avg(value) FILTER (event_id % 2 = 0), 6) AS mean_u FROM events GROUP BY user_id""",
     "q17_percentiles": f"WITH {_annual()} SELECT technology, climate_ssp, " + ", ".join(f"round(quantile_cont(capacity_factor, {p}), 6) AS q{round(100 * p)}" for p in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)) + " FROM v_annual GROUP BY ALL",
@@ -272,6 +273,33 @@ ORACLE_SQL = {
         SELECT technology, climate_ssp, station_idx, CASE WHEN active <= 2030 THEN 2030 WHEN active <= 2040 THEN 2040 ELSE 2050 END AS bucket FROM t JOIN v_station USING (station_idx) WHERE cap > 0 AND active <= 1999""",
     "q36c_missing_mask": f"""WITH {_POWER}, m AS (SELECT station_idx, technology, year, avg(power) FILTER (month > 6) IS NULL AS gone FROM v_power GROUP BY ALL)
         SELECT technology, year, count(*) FILTER (gone) AS n_missing, count(*) AS n FROM m GROUP BY ALL""",
+    "q09b_named_polygons": f"""WITH {_SITE}, {_POLY}, w AS (SELECT CASE name WHEN 'inner' THEN 0 ELSE 1 END AS place, CASE name WHEN 'kite' THEN 'dragon' ELSE name END AS called, x1, y1, x2, y2 FROM e WHERE name IN ('inner', 'kite')), t AS (
+        SELECT site_id, place, called, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS odd,
+               bool_or((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS edge
+        FROM v_site CROSS JOIN w GROUP BY ALL)
+        SELECT site_id, coalesce(arg_min(called, place) FILTER (odd AND NOT edge), arg_min(called, place) FILTER (edge)) AS polygon FROM t GROUP BY site_id""",
+    "q19c_kde_own_peak": f"WITH {_COUNTRY}, d AS (WITH " + _KDE("country, technology", "mean_cf", "0.0::DOUBLE", "0.02::DOUBLE", 30, "v_country", 2) + ") SELECT *, round(density / nullif(max(density) OVER (PARTITION BY country, technology), 0), 6) AS share FROM d",
+    "q20b_median_trend": f"""WITH {_annual()}, m AS (SELECT technology, climate_ssp, year, quantile_cont(capacity_factor, 0.5) AS q FROM v_annual WHERE capacity_factor > 0 AND year IN (1996, 1998, 2000) GROUP BY ALL),
+        p AS (SELECT *, CASE climate_ssp WHEN 'ssp126' THEN 0 WHEN 'ssp245' THEN 1 ELSE 2 END AS x FROM m)
+        SELECT technology, round(regr_slope(q, x), 6) AS slope, round(regr_intercept(q, x), 6) AS intercept, count(*) AS n, round(regr_slope(log10(q), x), 6) AS log_slope, round(regr_intercept(log10(q), x), 6) AS log_intercept, count(*) AS log_n,
+               round(regr_slope(q, x) FILTER (year = 2000), 6) AS last_slope, round(regr_intercept(q, x) FILTER (year = 2000), 6) AS last_intercept, count(*) FILTER (year = 2000) AS last_n FROM p GROUP BY technology""",
+    "q38b_shared_limits": f"WITH {_annual()} SELECT round(min(capacity_factor) * 0.92::DOUBLE, 6) AS capacity_factor_low, round(max(capacity_factor) * 1.05::DOUBLE, 6) AS capacity_factor_high, round(min(capacity_mw) * 0.8::DOUBLE, 6) AS capacity_mw_low, round(max(capacity_mw) * 1.25::DOUBLE, 6) AS capacity_mw_high FROM v_annual",
+    "q44_coverage_report": f"""WITH {_SITE}, {_AREAS}, {_inside('v_area')}, d AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year FROM v_in), c AS (SELECT year, coalesce(technology, 'ALL') AS technology, {_COVER} FROM d GROUP BY GROUPING SETS ((year, technology), (year)))
+        SELECT * REPLACE (round(n_cover_ratio, 4) AS n_cover_ratio, round(cap_cover_ratio, 4) AS cap_cover_ratio) FROM c""",
+    "q44b_grid_report": f"""WITH {_SITE}, {_CELL}, p AS (SELECT *, CAST(floor((90.0::DOUBLE - lat) / 10.0::DOUBLE) AS INT) AS row, CAST(floor(lon360 / 10.0::DOUBLE) AS INT) AS col FROM v_at),
+        o AS (SELECT row, col, sum(cap) AS cap, bool_or(technology = 'solar') AS s, bool_or(technology = 'wind') AS w, bool_or(cap > 5) AS k FROM p GROUP BY ALL), r AS (SELECT * FROM {_values(list(enumerate(K.MACRO_REGIONS, 1)), 'region_id, region_name')}),
+        g AS (SELECT region_id, count(*) AS n_cells, count(*) FILTER (s) AS n_solar, count(*) FILTER (w) AS n_wind, count(*) FILTER (s OR w) AS n_any, count(*) FILTER (k) AS n_covered, coalesce(sum(cap), 0) AS capacity_gw FROM v_cell LEFT JOIN o USING (row, col) WHERE region_id > 0 GROUP BY region_id)
+        SELECT CAST(region_id AS VARCHAR) AS region_id, region_name, n_cells, n_solar, n_wind, n_any, n_covered, round(capacity_gw, 5) AS capacity_gw FROM g JOIN r USING (region_id)
+        UNION ALL SELECT 'ALL', '', sum(n_cells)::BIGINT, sum(n_solar)::BIGINT, sum(n_wind)::BIGINT, sum(n_any)::BIGINT, sum(n_covered)::BIGINT, round(sum(capacity_gw), 5) FROM g""",
+    "q44c_ratio_report": f"""WITH {_POWER}, {_STATION}, p AS (SELECT *, power IS NULL OR power = 0 AS bad FROM v_power), f AS (SELECT * FROM (VALUES ('national', 'ssp126'), ('all', 'ssp126'), ('all', 'ssp245'), ('all', 'ssp585')) t(name, climate_ssp))
+        SELECT 'status' AS kind, technology AS name, count(*) AS n, count(*) FILTER (bad) AS n_bad, round(count(*) FILTER (bad) / CAST(count(*) AS DOUBLE), 4) AS ratio FROM p GROUP BY ALL
+        UNION ALL SELECT 'country', country, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(count(*) AS DOUBLE), 4) FROM p JOIN v_station USING (station_idx) GROUP BY ALL
+        UNION ALL SELECT 'family', name, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(greatest(count(*), 1) AS DOUBLE), 4) FROM p JOIN f USING (climate_ssp) GROUP BY ALL""",
+    "q44d_station_selection": f"WITH {_SITE} SELECT CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year, technology AS type, printf('%.1f', lon) AS lon, printf('%.1f', lat) AS lat, printf('%.4f', floor(cap * 64.0::DOUBLE) / 64.0::DOUBLE + 0.00001::DOUBLE) AS capacity_gw FROM v_site",
+    "q45_model_files": f"""WITH {_COUNTRY}, b AS (SELECT technology, year, avg(mean_cf) AS base FROM v_country WHERE climate_ssp = 'ssp126' GROUP BY ALL), m AS (SELECT climate_ssp, technology, year, count(*) AS n, avg(mean_cf) AS cf FROM v_country GROUP BY ALL)
+        SELECT climate_ssp AS model, technology AS energy, year, n, round(cf, 6) AS mean_cf, round(base, 6) AS base_cf FROM m LEFT JOIN b USING (technology, year)""",
+    "q45b_region_files": f"""WITH {_SITE}, {_AREAS}, {_inside('v_area')}, d AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year FROM v_in), c AS (SELECT year, nation_key AS region_id, {_COVER} FROM d GROUP BY ALL)
+        SELECT * RENAME (cap_total AS cap_total_gw, cap_inside AS cap_inside_gw) FROM c""",
     "q43_value_by_family": f"""WITH {_SITE}, {_CELL}, g AS (
             SELECT 'even' AS grid_id, row // 2 AS ilat, col AS ilon, 85.0::DOUBLE - 10 * row AS y, 5.0::DOUBLE + 10 * col AS x, region_id FROM v_cell WHERE row % 2 = 0
             UNION ALL SELECT 'third', row, col // 3, 85.0::DOUBLE - 10 * row, 10.0::DOUBLE * col, region_id FROM v_cell WHERE col % 3 = 0

@@ -124,11 +124,6 @@ def latest_results(spark: SparkSession, root: str) -> str | None:
     return max((p for p, folder, _ in _glob(spark, f"{root}/results_*") if folder), default=None)
 
 
-def power_path(root: str, tech: str, region: str, ssp: str) -> str:
-    """SRC12b: the partition of the canonical power table."""
-    return f"{root}/technology={tech}/region={region}/climate_ssp={ssp}"
-
-
 def grids(spark: SparkSession, root: str, grid_ids: Sequence[str] | None = None, year: int | None = None) -> DataFrame:
     """SRC2, SRC2b, SRC2c, SRC3, SRC3b: the canonical grid table (grid_id, ilat, ilon,
     lat, lon, value, and time columns), read once for all grids; a grid without files
@@ -150,6 +145,6 @@ def named_polygons(edges: DataFrame, names: dict[str, str], wanted: Sequence[str
 
 
 def power(spark: SparkSession, root: str) -> DataFrame:
-    """SRC1, U1: the canonical power table, partitioned by technology, region and
-    scenario; NaN becomes NULL."""
+    """SRC1, SRC12b, U1: the canonical power table, partitioned by technology, region
+    and scenario in place of path builders; NaN becomes NULL."""
     return spark.read.parquet(root).withColumn("power_gw", known(F.col("power_gw")))

@@ -29,9 +29,19 @@ def station_selection(df: DataFrame) -> DataFrame:
     return text.select("year", "type", F.format_string("%.1f", "lon").alias("lon"), F.format_string("%.1f", "lat").alias("lat"), F.format_string("%.4f", "capacity_gw").alias("capacity_gw"))
 
 
-def coverage_report(df: DataFrame, key: str) -> DataFrame:
-    """SNK5, SNK5b, SNK5c, SNK5d: the total row last, ratios with four decimals."""
-    return df.withColumns({c: F.round(c, 4) for c in ("n_cover_ratio", "cap_cover_ratio")}).orderBy(F.col(key) == "ALL", key)
+def coverage_report(df: DataFrame, key: str, within: tuple[str, ...] = (), total: str = "ALL") -> DataFrame:
+    """SNK5, SNK5b, SNK5c: the total row last, of all or in each group of the columns
+    ``within``; ratios with four decimals."""
+    return df.withColumns({c: F.round(c, 4) for c in ("n_cover_ratio", "cap_cover_ratio")}).orderBy(*within, F.col(key) == total, key)
+
+
+def grid_report(df: DataFrame, key: str, name: str) -> DataFrame:
+    """SNK5d: rows by key and name with the sums of all measures in a last row, where
+    the key is ALL and the name is blank."""
+    measures = [c for c in df.columns if c not in (key, name)]
+    sums = df.agg(*(F.sum(c).alias(c) for c in measures)).select(F.lit("ALL").alias(key), F.lit("").alias(name), *measures)
+    rows = df.withColumns({key: F.col(key).cast("string"), "__at": F.col(key).cast("long")})
+    return rows.unionByName(sums.withColumn("__at", F.lit(None).cast("long"))).orderBy(F.asc_nulls_last("__at")).drop("__at")
 
 
 def ratio_report(df: DataFrame, *ratios: str) -> DataFrame:
