@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,27 +28,36 @@ def located(stations: DataFrame, edges: DataFrame | None) -> DataFrame:
     return stations.drop("country").join(named, ["station_lon", "station_lat"], "left")
 
 
-def station_tables(power: DataFrame, stations: DataFrame, years: Sequence[int] = K.YEARS, ssps: Sequence[str] = K.SSPS, dt_hours: float = 3.0) -> dict[str, DataFrame]:
+def station_tables(power: DataFrame, stations: DataFrame, years: Sequence[int] = K.YEARS, ssps: Sequence[str] = K.SSPS, dt_hours: float = 3.0, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
     """``station_annual, station_monthly, country_annual``: deployment and climate
-    agree in these tables, by the way they are made (T19)."""
+    agree in these tables, by the way they are made (T19).  keep: writes a table and
+    reads it again, so that the time steps and the annual table are made once."""
     chosen = power.filter(F.col("year").isin(list(years)) & F.col("climate_ssp").isin(list(ssps)))
+    time = keep("time_steps", chosen.select(*FILE_KEYS, "year", "month", "step_idx").distinct())
     out = {}
     for name, by, word in (("station_annual", ("year",), "annual"), ("station_monthly", ("year", "month"), "monthly")):
-        df = generation.with_output_rounding(generation.station_period(chosen, stations, by, FILE_KEYS, dt_hours))
-        out[name] = df.select(
+        df = generation.with_output_rounding(generation.station_period(chosen, stations, by, FILE_KEYS, dt_hours, time))
+        out[name] = keep(name, df.select(
             station_key(F.col("technology"), F.col("climate_ssp"), F.col("region"), F.col("station_idx")).alias("station_id"), "country", "technology", F.col("climate_ssp").alias("deploy_ssp"), "climate_ssp",
             F.col("year").alias("target_year"), *(["month"] if "month" in by else []), "capacity_mw", F.col("capacity_factor").alias(f"{word}_capacity_factor"), F.col("generation_mwh").alias(f"{word}_generation_mwh"),
-        )
+        ))
     plain = out["station_annual"].withColumnsRenamed({"annual_capacity_factor": "capacity_factor", "annual_generation_mwh": "generation_mwh"})
-    out["country_annual"] = generation.country_annual(plain, COUNTRY_KEYS).withColumnRenamed("generation_mwh", "annual_generation_mwh")
+    out["country_annual"] = keep("country_annual", generation.country_annual(plain, COUNTRY_KEYS).withColumnRenamed("generation_mwh", "annual_generation_mwh"))
     return out
 
 
 def prepare(spark: SparkSession, power: str, stations: str, out: str, polygons: str | None = None, years: Sequence[int] = K.YEARS, ssps: Sequence[str] = K.SSPS, dt_hours: float = 3.0) -> dict[str, int]:
-    """From power and station tables to the three result tables; their row counts."""
+    """From power and station tables to the three result tables (and that of the time
+    steps), each written as it is made; their row counts."""
     edges = spark.read.parquet(polygons) if polygons else None
-    tables = station_tables(readers.power(spark, power), located(spark.read.parquet(stations), edges), years, ssps, dt_hours)
-    rows = {name: sinks.write_table(df, f"{out}/{name}") for name, df in tables.items()}
+    counts: dict[str, int] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        counts[name] = sinks.write_table(df, f"{out}/{name}")
+        return spark.read.parquet(f"{out}/{name}")
+
+    tables = station_tables(readers.power(spark, power), located(spark.read.parquet(stations), edges), years, ssps, dt_hours, keep)
+    rows = {name: counts[name] for name in tables}
     written = spark.read.parquet(f"{out}/country_annual").withColumnRenamed("annual_generation_mwh", "generation_mwh")
     for r in generation.check_table(written, ["technology", "climate_ssp", "target_year"]).orderBy("technology", "climate_ssp", "target_year").collect():  # a row for each scenario and year
         log.info("%s %s %s: %s countries, %.3f GW, %.3f TWh, mean factor %.4f", *r)
