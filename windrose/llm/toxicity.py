@@ -105,24 +105,46 @@ def clause_machine() -> tuple[list[dict[str, tuple[str, int]]], list[str]]:
 
 
 class Lexicon:
-    """Symbols of words; learned insults as whole words and as stems (prefixes)."""
+    """Symbols of words: the fixed lists first, then learned insults, as a weighted
+    automaton over letters.  A state stands for a prefix; it has the weight of the stem
+    that it completes, for words that go on from there, and that of the word that ends
+    in it."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.top = max([1e-9, *words.values(), *stems.values()])
+        self.arcs: list[dict[str, int]] = [{}]
+        self.going = self._accept(stems)
+        self.ending = self._accept(words)
         self.fixed = {w: s for s, group in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in group}
         self.fixed |= dict.fromkeys(_ENDS, END)
         self.fixed[":"] = OTHER
 
+    def _accept(self, marks: dict[str, float]) -> dict[int, float]:
+        """The states that the marks end in, with their weights; arcs are added."""
+        out = {}
+        for mark, weight in marks.items():
+            state = 0
+            for letter in mark:
+                if letter not in self.arcs[state]:
+                    self.arcs.append({})
+                    self.arcs[state][letter] = len(self.arcs) - 1
+                state = self.arcs[state][letter]
+            out[state] = weight
+        return out
+
     def symbol(self, word: str) -> int:
-        weight = self.words.get(word, 0.0)
-        for n in self.lengths:
-            if n < len(word):
-                weight = max(weight, self.stems.get(word[:n], 0.0))
-        if weight > 0:
-            return INSULT + min(LEVELS - 1, int(LEVELS * weight / self.top))
-        return self.fixed.get(word, OTHER)
+        if word in self.fixed:
+            return self.fixed[word]
+        state, weight = 0, 0.0
+        for letter in word:
+            weight = max(weight, self.going.get(state, 0.0))
+            state = self.arcs[state].get(letter)
+            if state is None:
+                break
+        else:
+            weight = max(weight, self.ending.get(state, 0.0))
+        return INSULT + min(LEVELS - 1, int(LEVELS * weight / self.top)) if weight > 0 else OTHER
 
     def weight(self, symbol: int) -> float:
         return 1.0 if symbol == THREAT else self.top * (symbol - INSULT + 1) / LEVELS
@@ -132,7 +154,7 @@ class Symbols(dict):
     """A bounded cache of words' symbols."""
 
     def __init__(self, lexicon: Lexicon, room: int = 500_000):
-        super().__init__(lexicon.fixed)
+        super().__init__()
         self.lexicon, self.room = lexicon, room
 
     def __missing__(self, word: str) -> int:
