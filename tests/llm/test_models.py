@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from windrose.llm import toxicity as tox
 from windrose.llm.hmm import Counts, Hmm, first_model
-from windrose.llm.language_id import fit, identify, language_id
+from windrose.llm.language_id import WIDTH, fit, identify, language_id
 from windrose.llm.lm_scoring import SHAPES, lm_scores, shape
 from windrose.llm.samples import class_sample
 
@@ -107,9 +108,100 @@ def test_held_out_toxicity(spark):
     assert hit / sum(r.toxic for r in rows) > 0.88 and hit / max(1, sum(r.predicted for r in rows)) > 0.88
 
 
+def score_by_hand(model, text):
+    """Clauses, marks and weights over plain words."""
+    lex, kinds = model.lexicon, sorted(k + m for k in ("insult", "threat") for m in ("", "R", "N", "RN", "T", "RT", "NT", "RNT"))
+    sums, best, hits = dict.fromkeys(kinds, 0.0), 0.0, 0
+    fixed = {*tox.TARGETS, *tox.NEGATIONS, *tox.REPORTS, *tox.THREATS}
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        reported = aimed = False
+        since = 99
+        for w in re.findall(r"[^\W\d_]+|:", clause):
+            own = 0.0 if w in fixed else max([lex.words.get(w, 0.0), *(v for s, v in lex.stems.items() if w.startswith(s) and w != s)])
+            since += 1
+            if own > 0 or w in tox.THREATS:
+                kind = "insult" if own > 0 else "threat"
+                weight = lex.top * (min(63, int(64 * own / lex.top)) + 1) / 64 if own > 0 else 1.0
+                mark = "R" * reported + "N" * (since <= tox.REACH) + "T" * aimed
+                weight *= 0.8**reported * 0.7 ** (since <= tox.REACH) * 1.1**aimed
+                sums[kind + mark] += weight
+                hits += 1
+                best = max(best, weight if own > 0 else 0.0)
+            elif w in tox.REPORTS:
+                reported = True
+            elif w in tox.NEGATIONS:
+                since = 0
+            elif w in tox.TARGETS:
+                aimed = True
+    x = [math.log1p(sums[k]) for k in kinds] + [math.log1p(text.count(" ") if hits else 0), math.log1p(sum(v for k, v in sums.items() if k[0] == "i")), best]
+    return 1 / (1 + math.exp(-model.weights[0] - np.dot(x, model.weights[1:])))
+
+
+def test_symbols_do_not_depend_on_the_cache():
+    lex = tox.Lexicon({"dolt": 2.0, "hurt": 1.5}, {"dol": 1.0})
+    words = ["dolt", "dolts", "hurt", "you", "dol", "do", "", "plain", "!"] * 2
+    wide, narrow = tox.Symbols(lex), tox.Symbols(lex, room=2)
+    assert [wide[w] for w in words] == [narrow[w] for w in words] == [lex.symbol(w) for w in words]
+    assert [lex.symbol(w) >= tox.INSULT for w in words[:5]] == [True, True, False, False, False] and lex.symbol("hurt") == tox.THREAT
+
+
+def test_toxicity_scores_by_hand(docs):
+    """Every text's score from end to end, over random clauses in all marks."""
+    random.seed(8)
+    model = tox.Model(tox.Lexicon({"dolt": 2.0, "hurt": 1.5}, {"grum": 3.0, "grumpf": 3.5, "ot": 0.4}), np.random.default_rng(3).normal(size=20))
+    words = ["dolt", "hurt", "grum", "grumps", "grumpfen", "other", "ot", "You", "nie", "not", "said", "ÉCRIT", "kill", "tuer", "plain", "word", "x9", ".", "!", ";", "\n", ":", "'"]
+    rows = [(i, " ".join(random.choices(words, k=random.randint(0, 25)))) for i in range(400)] + [(400, None), (401, ""), (402, "dolt " * 30000)]
+    got = {r.doc_id: r.score for r in tox.score_toxicity(docs(rows), model).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(score_by_hand(model, t or ""), rel=1e-9), (i, t)
+
+
 # ── language ──
 
 
+def nearest_by_hand(model, text):
+    """Language and cosine from the text's own n-grams, one at a time."""
+    runs = [0]
+    for c in text.lower() + " ":
+        if c.isalpha():
+            runs.append(ord(c))
+        elif runs[-1]:
+            runs.append(0)
+    counts = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(runs) - n + 1):
+            if n == 1 and not runs[k]:
+                continue
+            h = 0
+            for c in runs[k : k + n]:
+                h = (h + c) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            counts[(h ^ 0x85EBCA6B * n & 0xFFFFFFFF) % WIDTH] += 1
+    size = math.sqrt(sum((math.log1p(c) * model.idf[at]) ** 2 for at, c in counts.items())) or 1.0
+    near = [sum(math.log1p(c) * model.idf[at] * v[at] for at, c in counts.items()) / size for v in model.vectors]
+    best = max(range(len(near)), key=near.__getitem__)
+    return model.langs[model.of[best]], near[best]
+
+
+def test_nearest_centroid_by_hand(docs):
+    """Every text against every centroid, wherever in a batch it stands; copies get one score."""
+    random.seed(9)
+    word = lambda a: "".join(random.choices(a, k=random.randint(1, 7)))
+    alphabets = {"x": "abcdeé", "y": "mnopß", "z": "абвгд"}
+    model = fit([(" ".join(word(a) for _ in range(20)), lang) for lang, a in alphabets.items() for _ in range(30)], clusters=3)
+    texts = [" ".join(random.choice([word(random.choice(list(alphabets.values()))), "12,", "--", ""]) for _ in range(random.randint(1, 12))) for _ in range(150)] + ["ab", "12 ab", "ab 12", "日本"]
+    rows = list(enumerate(texts * 2))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs(rows), model).collect()}
+    for i, t in rows:
+        lang, score = nearest_by_hand(model, t)
+        if not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+        else:
+            assert got[i][1] == pytest.approx(score, abs=1e-5), (i, t)
+            assert got[i][0] == lang or score == pytest.approx(0, abs=1e-6)
+    assert all(got[i][0] == got[i + len(texts)][0] and got[i][1] == pytest.approx(got[i + len(texts)][1], abs=1e-6) for i in range(len(texts)))
+
+
 def test_language_on_odd_rows(odd, empty, docs, clashing):
     got = language_id(odd).collect()
     assert len(got) == len(ODD)

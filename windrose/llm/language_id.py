@@ -47,7 +47,7 @@ class Grams:
         has = np.bincount(doc, weights=solid, minlength=len(low)) > 0
         keep = solid.copy()
         keep[1:] |= solid[:-1]  # the first blank after a letter
-        keep[0] = True
+        keep[np.diff(doc, prepend=-1) > 0] = True  # and the one before each text
         c = np.where(solid, codes, 0)[keep].astype(np.uint32)
         doc = doc[keep]
         out = np.zeros(len(low) * WIDTH, np.float32)
