@@ -47,7 +47,10 @@ def test_the_machine_marks_what_it_should():
     assert run("negation", "other", "other", "other", "insult")[-1] == "insult"
     assert run("report", "other", "insult")[-1] == "insultR"
     assert run("report", "target", "negation", "threat")[-1] == "threatRNT"
-    assert set(kinds) == {k + m for k in ("insult", "threat") for m in ("", "R", "N", "RN", "T", "RT", "NT", "RNT")}
+    assert run("intent", "other", "threat")[-1] == "threatI" and run("threat", "intent")[0] == "threat"
+    assert run("report", "intent", "target", "negation", "threat")[-1] == "threatIRNT"
+    assert run("intent", "insult")[-1] == "insult"
+    assert set(kinds) == {k + m for k in ("insult", "threat", "threatI") for m in ("", "R", "N", "RN", "T", "RT", "NT", "RNT")}
 
 
 def toxic_rows(n, seed):
@@ -75,6 +78,17 @@ def test_learning_words_and_stems():
     assert aimed > plain > reported > negated
 
 
+def test_marks_are_learned():
+    """Where reported insults don't make a text toxic, they come to weigh less; marks
+    without evidence keep their values."""
+    random.seed(4)
+    rows = [(f"w{i} " + random.choice(["", "well "]) + (f"he said a dolt x{i}" if i % 2 else f"a dolt y{i}"), (i + 1) % 2) for i in range(300)]
+    lexicon = tox.Lexicon({"dolt": 2.0}, {})
+    marks = tox.learn_marks(tox.Grammar(lexicon), [t for t, _ in rows], np.array([y for _, y in rows]))
+    assert marks["R"] < tox.MARKS["R"] and {m: marks[m] for m in "IN"} == {m: tox.MARKS[m] for m in "IN"}
+    assert tox.learn_marks(tox.Grammar(lexicon), ["", "none here"], np.array([0, 1])) == tox.MARKS
+
+
 def test_toxicity_on_odd_rows(spark, odd, empty, clashing):
     labels = spark.createDataFrame([(2, 1), (5, 0), (None, 1), (99, 1), (6, None)], "doc_id long, toxic int")
     got = tox.toxicity(odd, labels).collect()
@@ -110,23 +124,26 @@ def test_held_out_toxicity(spark):
 
 def score_by_hand(model, text):
     """Clauses, marks and weights over plain words."""
-    lex, kinds = model.lexicon, sorted(k + m for k in ("insult", "threat") for m in ("", "R", "N", "RN", "T", "RT", "NT", "RNT"))
+    lex, kinds = model.lexicon, sorted(k + m for k in ("insult", "threat", "threatI") for m in ("", "R", "N", "RN", "T", "RT", "NT", "RNT"))
     sums, best, hits = dict.fromkeys(kinds, 0.0), 0.0, 0
-    fixed = {*tox.TARGETS, *tox.NEGATIONS, *tox.REPORTS, *tox.THREATS}
+    fixed = {*tox.TARGETS, *tox.NEGATIONS, *tox.REPORTS, *tox.THREATS, *tox.INTENTS}
     for clause in re.split(r"[.!?;\n]", text.lower()):
-        reported = aimed = False
+        reported = aimed = intended = False
         since = 99
         for w in re.findall(r"[^\W\d_]+|:", clause):
             own = 0.0 if w in fixed else max([lex.words.get(w, 0.0), *(v for s, v in lex.stems.items() if w.startswith(s) and w != s)])
             since += 1
             if own > 0 or w in tox.THREATS:
-                kind = "insult" if own > 0 else "threat"
+                kind = "insult" if own > 0 else "threatI" if intended else "threat"
                 weight = lex.top * (min(63, int(64 * own / lex.top)) + 1) / 64 if own > 0 else 1.0
                 mark = "R" * reported + "N" * (since <= tox.REACH) + "T" * aimed
-                weight *= 0.8**reported * 0.7 ** (since <= tox.REACH) * 1.1**aimed
+                r, n, t, i = (model.marks[m] for m in "RNTI")
+                weight *= r**reported * n ** (since <= tox.REACH) * t**aimed * i ** (kind == "threatI")
                 sums[kind + mark] += weight
                 hits += 1
                 best = max(best, weight if own > 0 else 0.0)
+            elif w in tox.INTENTS:
+                intended = True
             elif w in tox.REPORTS:
                 reported = True
             elif w in tox.NEGATIONS:
@@ -148,8 +165,8 @@ def test_symbols_do_not_depend_on_the_cache():
 def test_toxicity_scores_by_hand(docs):
     """Every text's score from end to end, over random clauses in all marks."""
     random.seed(8)
-    model = tox.Model(tox.Lexicon({"dolt": 2.0, "hurt": 1.5}, {"grum": 3.0, "grumpf": 3.5, "ot": 0.4}), np.random.default_rng(3).normal(size=20))
-    words = ["dolt", "hurt", "grum", "grumps", "grumpfen", "other", "ot", "You", "nie", "not", "said", "ÉCRIT", "kill", "tuer", "plain", "word", "x9", ".", "!", ";", "\n", ":", "'"]
+    model = tox.Model(tox.Lexicon({"dolt": 2.0, "hurt": 1.5}, {"grum": 3.0, "grumpf": 3.5, "ot": 0.4}), np.random.default_rng(3).normal(size=28), {"I": 1.4, "R": 0.6, "N": 0.5, "T": 1.2})
+    words = ["dolt", "hurt", "will", "werde", "grum", "grumps", "grumpfen", "other", "ot", "You", "nie", "not", "said", "ÉCRIT", "kill", "tuer", "plain", "word", "x9", ".", "!", ";", "\n", ":", "'"]
     rows = [(i, " ".join(random.choices(words, k=random.randint(0, 25)))) for i in range(400)] + [(400, None), (401, ""), (402, "dolt " * 30000)]
     got = {r.doc_id: r.score for r in tox.score_toxicity(docs(rows), model).collect()}
     for i, t in rows:

@@ -2,14 +2,16 @@
 
 Words become symbols through lexicon transducers: insults (learned from labelled
 texts as words and stems with weights, the accepting states of a prefix
-automaton), threats, targets, negations and reporting verbs (small fixed lists
-in the four languages of the corpus).  Over the symbols of a clause runs the
-composition of three transducers: reported speech, which marks what follows a
-reporting word; negation, which marks what follows within a few words; and
-target, which marks what is aimed at someone.  The composed machine is built
-once as a table of states and symbols.  Each insult or threat comes out as a
-kind (aimed or not, negated or not, reported or not) with its weight; a logistic
-model over the sums by kind turns a text's matched clauses into a probability.
+automaton), words of harm and of intent, targets, negations and reporting verbs
+(small fixed lists in the four languages of the corpus).  Over the symbols of a
+clause runs the composition of four transducers: threat, which marks harm that
+follows a word of intent; reported speech, which marks what follows a reporting
+word; negation, which marks what follows within a few words; and target, which
+marks what is aimed at someone.  The composed machine is built once as a table
+of states and symbols.  Each insult or threat comes out as a kind (intended,
+reported, negated, aimed or not) with its weight times its marks' factors, which
+are learned around the values of MARKS; a logistic model over the sums by kind
+turns a text's matched clauses into a probability.
 
 Fitting uses a bounded sample of labelled rows (``per_class`` of each label);
 the score is that of the text alone.  Null and empty texts match nothing and get
@@ -39,16 +41,18 @@ NEGATIONS = "not no never none neither nor nobody without nicht kein keine keine
 REPORTS = "said says say told tells wrote writes called calls claimed claims reported reports quoted allegedly sagte sagt schrieb nannte behauptete dit disait écrit appelé affirme dijo dice escribió llamó afirmó".split()
 THREATS = "kill killed hurt destroy attack beat shoot stab burn hang murder töten umbringen sterben schlagen vernichten tuer mourir frapper détruire brûler matar morir golpear destruir quemar".split()
 
-#: Symbols: other words, the end of a clause, function classes, then threats and
+INTENTS = "will shall gonna going should werde wirst wird soll sollst vais vas va allons voy vamos".split()
+
+#: Symbols: other words, the end of a clause, function classes, harm, intent, then
 #: insults in LEVELS steps of weight.
-OTHER, END, TARGET, NEGATION, REPORT, THREAT = range(6)
+OTHER, END, TARGET, NEGATION, REPORT, THREAT, INTENT = range(7)
 INSULT = 16
 LEVELS = 64
 #: Words that a negation reaches.
 REACH = 3
-#: What a mark makes of a hit's weight: reported or negated hits count for less,
-#: those aimed at someone for more.
-MARKS = {"R": 0.8, "N": 0.7, "T": 1.1}
+#: What a mark makes of a hit's weight, before learning: reported or negated hits count
+#: for less, those intended or aimed at someone for more.
+MARKS = {"I": 1.1, "R": 0.8, "N": 0.7, "T": 1.1}
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 _ENDS = frozenset(".!?;\n")
@@ -80,27 +84,29 @@ def compose(first: Transducer, second: Transducer, symbols: list[str]) -> dict[t
     return table
 
 
-def _marks(kind: str, mark: str) -> dict[str, str]:
-    """The marked forms of a kind's symbols, whatever other marks they have."""
-    return {kind + m: kind + m + mark for m in ("", "R", "N", "RN")}
+def _chain(machines: list[Transducer], symbols: list[str]) -> list[dict[str, tuple[str, int]]]:
+    """The machines one after another, as a table with numbered states; 0 is the start."""
+    table: list[dict[str, tuple[str, int]]] = [{x: (x, 0) for x in symbols}]
+    for machine in machines:
+        product = compose(Transducer(len(table), dict(enumerate(table))), machine, symbols)
+        number = {state: i for i, state in enumerate(sorted(product))}
+        table = [{x: (out, number[to]) for x, (out, to) in product[state].items()} for state in sorted(product)]
+    return table
 
 
 def clause_machine() -> tuple[list[dict[str, tuple[str, int]]], list[str]]:
     """The composition as a table, and the kinds that it puts out."""
-    plain = ["other", "target", "negation", "report", "insult", "threat"]
-    hits = [k + m for k in ("insult", "threat") for m in ("", "R", "N", "RN")]
-    reported = Transducer(2, {0: {"report": ("report", 1)}, 1: {"insult": ("insultR", 1), "threat": ("threatR", 1)}})
-    reach = {k: {s: (s + "N", k - 1) for s in hits} for k in range(1, REACH + 1)}
-    for k in range(REACH + 1):
-        reach.setdefault(k, {})["negation"] = ("negation", REACH)
+    plain = ["other", "target", "negation", "report", "intent", "insult", "threat"]
+    after = lambda mark: [k + "".join(m) for k in ("insult", "threat", "threatI") for n in range(3) for m in itertools.combinations("RN", n) if mark not in m]
+    marked = lambda mark, state: {s: (s + mark, state) for s in after(mark)}
+    intended = Transducer(2, {0: {"intent": ("intent", 1)}, 1: {"threat": ("threatI", 1)}})
+    reported = Transducer(2, {0: {"report": ("report", 1)}, 1: marked("R", 1)})
+    reach = {k: marked("N", k - 1) if k else {} for k in range(REACH + 1)}
+    for arcs in reach.values():
+        arcs["negation"] = ("negation", REACH)
     negated = Transducer(REACH + 1, reach, {k: k - 1 for k in range(1, REACH + 1)})
-    aimed = Transducer(2, {0: {"target": ("target", 1)}, 1: {a: (b, 1) for kind in ("insult", "threat") for a, b in _marks(kind, "T").items()}})
-    inner = compose(reported, negated, plain)
-    names = {s: i for i, s in enumerate(inner)}
-    joined = Transducer(len(inner), {names[s]: {x: (o, names[n]) for x, (o, n) in arcs.items()} for s, arcs in inner.items()})
-    whole = compose(joined, aimed, plain)
-    number = {s: i for i, s in enumerate(sorted(whole))}
-    table = [{x: (o, number[n]) for x, (o, n) in whole[s].items()} for s in sorted(whole)]
+    aimed = Transducer(2, {0: {"target": ("target", 1)}, 1: marked("T", 1)})
+    table = _chain([intended, reported, negated, aimed], plain)
     return table, sorted({o for arcs in table for o, _ in arcs.values() if o.startswith(("insult", "threat"))})
 
 
@@ -116,7 +122,7 @@ class Lexicon:
         self.arcs: list[dict[str, int]] = [{}]
         self.going = self._accept(stems)
         self.ending = self._accept(words)
-        self.fixed = {w: s for s, group in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in group}
+        self.fixed = {w: s for s, group in ((INTENT, INTENTS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in group}
         self.fixed |= dict.fromkeys(_ENDS, END)
         self.fixed[":"] = OTHER
 
@@ -168,12 +174,17 @@ class Grammar:
     """Sums of weights by kind for a text with hits, its length, the insults' total and
     the strongest hit's weight."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, marks: dict[str, float] | None = None):
         self.lexicon, self.symbols = lexicon, Symbols(lexicon)
         self.table, self.kinds = clause_machine()
         self.place = {k: i for i, k in enumerate(self.kinds)}
-        self.factor = {k: math.prod(MARKS.get(m, 1.0) for m in k) for k in self.kinds}
-        self.names = {OTHER: "other", TARGET: "target", NEGATION: "negation", REPORT: "report", THREAT: "threat"}
+        self.insult = np.array([k.startswith("insult") for k in self.kinds])
+        self.factor = self.factors(marks or MARKS)
+        self.names = {OTHER: "other", TARGET: "target", NEGATION: "negation", REPORT: "report", THREAT: "threat", INTENT: "intent"}
+
+    def factors(self, marks: dict[str, float]) -> np.ndarray:
+        """Each kind's factor: the product of its marks'."""
+        return np.array([math.prod(marks.get(m, 1.0) for m in k) for k in self.kinds])
 
     def clauses(self, text: str) -> list[bytes]:
         """The symbols of each clause with an insult or a threat."""
@@ -182,37 +193,44 @@ class Grammar:
             return []
         return [c for c in _CLAUSE.findall(codes) if _MATCH.search(c)]
 
-    def features(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.kinds) + 3)
-        found = self.clauses(text)
-        best = 0.0
-        for clause in found:
+    def hits(self, clauses: list[bytes]) -> list[tuple[int, float]]:
+        """Kind and weight of each insult and threat, before its marks count."""
+        out = []
+        for clause in clauses:
             state = 0
             for code in clause:
                 kind, state = self.table[state][self.names.get(code, "insult")]
                 at = self.place.get(kind)
                 if at is not None:
-                    weight = self.lexicon.weight(code) * self.factor[kind]
-                    out[at] += weight
-                    if code != THREAT:
-                        best = max(best, weight)
-        out[-3], out[-2] = text.count(" ") if found else 0, sum(out[i] for k, i in self.place.items() if k.startswith("insult"))
+                    out.append((at, self.lexicon.weight(code)))
+        return out
+
+    def features(self, text: str, clauses: list[bytes] | None = None) -> np.ndarray:
+        out = np.zeros(len(self.kinds) + 3)
+        found = self.clauses(text) if clauses is None else clauses
+        best = 0.0
+        for at, weight in self.hits(found):
+            weight *= self.factor[at]
+            out[at] += weight
+            if self.insult[at]:
+                best = max(best, weight)
+        out[-3], out[-2] = text.count(" ") if found else 0, out[:-3][self.insult].sum()
         out = np.log1p(out)
         out[-1] = best
         return out
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, marks: dict[str, float] | None = None):
+        self.lexicon, self.weights, self.marks = lexicon, weights, marks or MARKS
 
     def scorer(self):
-        grammar = Grammar(self.lexicon)
+        grammar = Grammar(self.lexicon, self.marks)
         none = self._score(np.zeros(len(grammar.kinds) + 3))
 
         def score(text: str) -> tuple[float, int]:
-            n = len(grammar.clauses(text)) if text else 0
-            return (self._score(grammar.features(text)), n) if n else (none, 0)
+            found = grammar.clauses(text) if text else []
+            return (self._score(grammar.features(text, found)), len(found)) if found else (none, 0)
 
         return score
 
@@ -278,6 +296,46 @@ def unlike(rows: list[tuple[str, int]], hashes: int = 4, same: int = 2) -> list[
     return out
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, keep: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of a ridge logistic model by Newton's steps, and its penalised likelihood."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+    z = np.clip(x @ w, -30, 30)
+    return w, float((y * z - np.logaddexp(0, z)).sum() - 0.5 * (keep * w * w).sum())
+
+
+def learn_marks(grammar: Grammar, texts: list[str], toxic: np.ndarray, steps: tuple[float, ...] = (0.0, 0.15, 0.3, 0.45, 0.6, 0.8), spread: float = 0.3) -> dict[str, float]:
+    """The marks' factors, those that make the labels likeliest from the sum of hits,
+    the strongest one and the length.
+
+    One mark at a time, over ``steps`` of the factor's logarithm, down for reported and
+    negated hits and up for others; spread: how far from MARKS is one standard deviation
+    beforehand, so that marks without evidence keep those values."""
+    hits = [grammar.hits(grammar.clauses(t)) for t in texts]
+    who = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    kind = np.array([k for h in hits for k, _ in h], int)
+    weight = np.array([w for h in hits for _, w in h], float)
+    size = np.log1p([t.count(" ") if h else 0 for t, h in zip(texts, hits, strict=True)])
+
+    def likelihood(marks: dict[str, float]) -> float:
+        own = weight * grammar.factors(marks)[kind]
+        best = np.zeros(len(hits))
+        np.maximum.at(best, who, own)
+        x = np.column_stack([np.ones(len(hits)), size, np.log1p(np.bincount(who, own, len(hits))), best])
+        far = sum((math.log(marks[m] / MARKS[m]) / spread) ** 2 for m in marks)
+        return _logistic(x, toxic, np.array([1e-3, 1.0, 1.0, 1.0]), 12)[1] - 0.5 * far
+
+    marks = dict(MARKS)
+    if len(weight):
+        for mark in marks:
+            sign = 1 if MARKS[mark] > 1 else -1
+            tried = [marks | {mark: f} for f in dict.fromkeys([MARKS[mark], *(math.exp(sign * s) for s in steps)])]
+            marks = max(tried, key=likelihood)
+    return marks
+
+
 def fit(rows: list[tuple[str, int]], share: float | None = None, ridge: float = 1.0, rounds: int = 25) -> Model | None:
     """The model of (text, label) rows; share: that of label 1 among all labelled
     rows, where the sample isn't drawn in proportion."""
@@ -285,21 +343,20 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, ridge: float =
     if not rows:
         return None
     texts, toxic = [t for t, _ in rows], np.array([int(y) for _, y in rows])
-    # the lexicon comes from one half, the weights from the other, then both from all
+    # the lexicon comes from one half, marks and weights from the other, then the lexicon from all
     half = np.arange(len(rows)) % 2 == 0
     lexicon = learn_lexicon([t for t, h in zip(texts, half, strict=True) if h], toxic[half])
-    grammar = Grammar(lexicon)
-    x = np.stack([grammar.features(t) for t, h in zip(texts, half, strict=True) if not h] or [np.zeros(len(grammar.kinds) + 3)])
-    y = toxic[~half] if (~half).any() else toxic[:1]
+    others, y = [t for t, h in zip(texts, half, strict=True) if not h] or [""], toxic[~half] if (~half).any() else toxic[:1]
+    marks = learn_marks(Grammar(lexicon), others, y)
+    grammar = Grammar(lexicon, marks)
+    x = np.stack([grammar.features(t) for t in others])
     x = np.hstack([np.ones((len(x), 1)), x])
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    keep = np.full(x.shape[1], ridge)
     keep[0], keep[1:-3] = 1e-3, 10 * ridge  # the marks' factors rule; kinds only adjust
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+    w, _ = _logistic(x, y, keep, rounds)
     if share is not None and 0 < share < 1 and 0 < y.mean() < 1:
         w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(learn_lexicon(texts, toxic), w)
+    return Model(learn_lexicon(texts, toxic), w, marks)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
