@@ -10,8 +10,8 @@ word of each shape included.  So both are distributions over the same texts.
 Baum-Welch runs over all training documents as whole texts: partitions sum expected
 counts, the sums meet by block of symbols in a tree of ``fan_in`` at a time, and the
 driver reads one row of each block.  Rounds go on until the likelihood of a token
-gains less than ``least``, or ``rounds`` are done.  A few documents give only the
-starting point.  A text's score is the exact log10
+gains less than ``least``, which it must, since it has an upper bound.  A few documents
+give only the starting point.  A text's score is the exact log10
 likelihood by the scaled forward recursion over the whole text, plus its words'
 shares in their shapes.
 
@@ -27,7 +27,7 @@ aren't read.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -195,12 +195,12 @@ def expected_counts(train: DataFrame, model: Hmm, fan_in: int = 64) -> Counts:
     return counts
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 131_072, rounds: int = 6, least: float = 0.002, starters: int = 200) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, states: int = 8, symbols: int = 16_384, known: int = 131_072, rounds: int | None = None, least: float = 0.002, starters: int = 200) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
     each row of docs.
 
     symbols, known: frequent words that are emitted, and that are broadcast with
-    their counts; rounds: of Baum-Welch at most; least: gain in log10 of a token's
+    their counts; rounds: of Baum-Welch at most, where that is wanted; least: gain in log10 of a token's
     likelihood that is worth another round; starters: documents for its start."""
     spark = docs.sparkSession
     picked = two_columns(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", folds))
@@ -243,7 +243,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             begin.add(model, starter)
             model = begin.model(prior)
         before = -np.inf
-        for _ in range(rounds):
+        for _ in count() if rounds is None else range(rounds):
             expected = expected_counts(learned, model)
             model = expected.model(prior)
             now = expected.log / n_all
