@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import spread, table
 from .decontamination import contamination
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .language_id import language_id
 from .line_dedup import line_dedup_digests
 from .lm_scoring import lm_scores
+from .ranked_search import ranked_search
 from .sentencepiece_codec import encode_decode
 from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
@@ -63,7 +66,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.98 within a label, and their components, of all vectors."""
+    return embedding_dedup(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item, of all documents."""
+    return ranked_search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language, over all documents."""
+    return filter_audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_exact_dedup, op6_line_dedup, op7_lm_scoring, op8_token_counts, op9_language_id, op10_simhash_near_dedup, op11_embedding_near_dedup, op12_ranked_search, op13_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -119,4 +137,44 @@ ORACLE_SQL = {
             FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), s AS (SELECT count(*) AS n_docs, sum(len(w)) AS l FROM d WHERE len(w) > 0
+        ), q AS (
+            SELECT item_id, t, count(*) AS mult
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+            GROUP BY ALL
+        ), tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+        ), weight AS (
+            SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY t
+        ), score AS (
+            SELECT item_id, doc_id, CAST(sum(mult * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * n * n_docs) // l AS BIGINT))))) AS BIGINT) AS score
+            FROM tf JOIN q USING (t) JOIN weight USING (t), s GROUP BY item_id, doc_id
+        ), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), m AS (
+            SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+                   CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS mask
+            FROM d
+        ), c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+        ), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+        ), o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), k AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+        SELECT part, filter_order, step,
+               CAST(sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+               CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+               CAST(sum(CASE WHEN mask & own > 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+        FROM c, k GROUP BY part, filter_order, step""",
 }
