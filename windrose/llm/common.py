@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +56,27 @@ def keep_tables(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{sc.applicationId}")
 
 
+def _bare_scan(docs: DataFrame) -> bool:
+    """Whether docs are rows of the files of one folder, each once at most: a file
+    relation under nothing but projections and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().location().rootPaths().size() == 1  # a file that is named twice is read twice
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with the column ``name`` that tells its rows apart and orders equal ones.
 
-    Rows that are read from files go by file and place in it, whatever order they come
-    in; any other table is written first, so that a number stays with its row even if
-    the table's own order changes when it is computed once more."""
-    try:
-        at = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
-        at.schema  # noqa: B018 (resolves the columns)
-        return at
-    except AnalysisException:
-        return written(docs.select("*", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias(name)))
+    Rows of a bare scan go by file and place in it, whatever order they come in.  After
+    anything that may repeat a file's row, as explode and joins do, and without files, the
+    table is written first, so that each row has a number of its own, which stays with it
+    even if the table's own order changes when it is computed once more."""
+    if _bare_scan(docs) and "_metadata" not in docs.columns:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+    return written(docs.select("*", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias(name)))
 
 
 def saved(df: DataFrame) -> DataFrame:
