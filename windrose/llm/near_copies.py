@@ -6,13 +6,17 @@ So a text has a wide fingerprint, the SimHash of its distinct five-word shingles
 ``BITS`` bits, and beside it ``BLOCKS`` blocks, each the SimHash of a small sample: the
 ``SAMPLE`` shingles with the least hashes by the block's key.  Two texts share a block
 where the samples agree, at a similarity of 0.8 with a chance of 0.33, so one of the
-blocks with a chance of 0.9999.  Texts join on blocks, and a meeting is verified by the
-Hamming distance of the wide fingerprints; the distance that stands for a similarity s
-is that of the angle with the cosine 2s / (1 + s), ``sigmas`` deviations added.
+blocks with a chance of 0.9999.  Texts join on blocks, and a meeting counts where the
+Hamming distance of the wide fingerprints is that of the angle with the cosine
+2s / (1 + s), s the similarity, or up to ``LOOSE`` deviations more.
 
-Texts with the same set of shingles are one node.  In each block value a forest of the
-verified links is kept.  A value with more than ``crowd`` nodes is never one task: its
-nodes are held against its smallest one first; those that this leaves apart (none, in
+That distance is an estimate, so it only gathers candidates: texts that such meetings
+connect are a class, and within a class texts are linked where their sets of shingles
+are as similar as asked, exactly.  A class's texts meet once more for that, each once.
+
+Texts with the same set of shingles are one node.  A block value, or a class, with more
+than ``crowd`` nodes is never one task: its nodes are held against its smallest one first
+(in a class by a distance that leaves no doubt); those that this leaves apart (none, in
 a group of copies) meet all others in tiles of ``crowd`` by ``crowd``, which loses no
 link.  Components come from the links.
 
@@ -34,6 +38,10 @@ from .common import by_slice, numbered, ship, written
 from .simhash import components
 
 BITS, BLOCKS, SAMPLE = 1024, 24, 5
+#: Deviations by which candidates may exceed the distance, and by which no doubt is left.
+LOOSE, SURE = 4.0, 5.0
+#: Rows up to which the nodes of classes are broadcast to their texts.
+_FEW = 200_000
 #: Shingles expanded at a time; at most 255, so that bits are counted in bytes.
 _PART = 255
 _RNG = np.random.default_rng(42)
@@ -90,12 +98,22 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes()
 
 
-def distance_at(similarity: float, sigmas: float = 1.0) -> int:
-    """Differing bits up to which texts count as that similar."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+def _distance(cosine: float, sigmas: float) -> int:
+    p = math.acos(cosine) / math.pi
     return int(BITS * p + sigmas * math.sqrt(BITS * p * (1 - p)))
 
 
+def distance_at(similarity: float, sigmas: float = LOOSE) -> int:
+    """Differing bits up to which texts may be that similar."""
+    return _distance(2 * similarity / (1 + similarity), sigmas)
+
+
+def sure_distance(similarity: float) -> int:
+    """Differing bits up to which texts are that similar, whatever their sizes: a set
+    and a part of it have the smallest angle."""
+    return max(0, _distance(math.sqrt(similarity), -SURE))
+
+
 def _sketches(keyed: DataFrame, words: int) -> DataFrame:
     """``key, node, blocks, fp`` for each row of ``key, text``; node: a digest of the set."""
 
@@ -204,6 +222,23 @@ def _linked(distance: int):
     return run
 
 
+def _tiled(many: DataFrame, crowd: int, *carried: str) -> DataFrame:
+    """The nodes of crowded values (``value, node, settled`` and the carried columns) in
+    tiles ``i, j``: those that aren't settled meet each other and the settled ones, which
+    don't meet each other."""
+    size = many.groupBy("value").agg(F.count_if("settled").alias("c"), F.count_if(~F.col("settled")).alias("r")).filter("r > 0")
+    parts = lambda n: F.ceil(F.col(n) / crowd).cast("int")
+    open_ = many.join(size.select("value", parts("c").alias("c"), parts("r").alias("r")), "value")
+    own = F.pmod(F.xxhash64("node", "value"), F.when(F.col("settled"), F.col("c")).otherwise(F.col("r"))).cast("int")
+    open_ = open_.withColumn("own", own)
+    up_to = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    inner = open_.filter("NOT settled").select("value", "node", *carried, F.lit(False).alias("settled"), "own", F.explode(up_to(F.col("r"))).alias("k"))
+    inner = inner.select("value", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "settled", "node", *carried)
+    others = open_.select("value", "node", *carried, "settled", "own", "r", F.explode(up_to(F.when(F.col("settled"), F.col("r")).otherwise(F.col("c")))).alias("k"))
+    others = others.select("value", F.when(F.col("settled"), F.col("k")).otherwise(F.col("own")).alias("i"), (F.col("r") + F.when(F.col("settled"), F.col("own")).otherwise(F.col("k"))).alias("j"), "settled", "node", *carried)
+    return inner.unionByName(others)
+
+
 def similar_links(nodes: DataFrame, distance: int, crowd: int = 4096) -> DataFrame:
     """``a, b``: links between nodes (``node, blocks, fp``) that share a block value and
     are within the distance, enough to connect all such."""
@@ -219,22 +254,122 @@ def similar_links(nodes: DataFrame, distance: int, crowd: int = 4096) -> DataFra
         pivots = hot.select("value", "pivot").join(fps.select(F.col("node").alias("pivot"), F.col("fp").alias("pivot_fp")), "pivot")
         many = written(dealt.join(pivots, "value").join(fps, "node").mapInArrow(_to_pivots(distance), "value long, node binary, fp binary, settled boolean, pivot binary"))
         links = many.filter("settled AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        size = many.groupBy("value").agg(F.count_if("settled").alias("c"), F.count_if(~F.col("settled")).alias("r")).filter("r > 0")
-        parts = lambda n: F.ceil(F.col(n) / crowd).cast("int")
-        open_ = many.join(size.select("value", parts("c").alias("c"), parts("r").alias("r")), "value")
-        own = F.pmod(F.xxhash64("node", "value"), F.when(F.col("settled"), F.col("c")).otherwise(F.col("r"))).cast("int")
-        open_ = open_.withColumn("own", own)
-        up_to = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda x: x)
-        inner = open_.filter("NOT settled").select("value", "node", "fp", F.lit(False).alias("settled"), "own", F.explode(up_to(F.col("r"))).alias("k"))
-        inner = inner.select("value", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "settled", "node", "fp")
-        others = open_.select("value", "node", "fp", "settled", "own", "r", F.explode(up_to(F.when(F.col("settled"), F.col("r")).otherwise(F.col("c")))).alias("k"))
-        others = others.select("value", F.when(F.col("settled"), F.col("k")).otherwise(F.col("own")).alias("i"), (F.col("r") + F.when(F.col("settled"), F.col("own")).otherwise(F.col("k"))).alias("j"), "settled", "node", "fp")
-        tiles = few.unionByName(inner).unionByName(others)
+        tiles = few.unionByName(_tiled(many, crowd, "fp"))
     sorted_rows = tiles.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").select("value", "i", "j", "settled", "node", "fp")
     found = sorted_rows.mapInArrow(_linked(distance), "a binary, b binary")
     return (found if links is None else found.unionByName(links)).distinct()
 
 
+class _Sets:
+    """Sets of shingles, and which of them are as similar as asked to one of them."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sizes, self.similarity = np.array([len(s) for s in sets]), similarity
+        kinds, self.kind = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(self.kind, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]  # by kind
+        self.by_kind = np.concatenate([[0], np.cumsum(np.bincount(self.kind, minlength=len(kinds)))])
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def near(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are."""
+        own = self.kind[self.at[k] : self.at[k + 1]]
+        starts, lengths = self.by_kind[own], self.by_kind[own + 1] - self.by_kind[own]
+        steps = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owner[steps], minlength=len(self.sizes))[others]
+        return common * (1 + self.similarity) >= self.similarity * (self.sizes[k] + self.sizes[others]) - 1e-9
+
+    def links(self, settled: np.ndarray) -> tuple[list[int], list[int]]:
+        """Links that connect all that are similar; settled ones are one group."""
+        a, b, group = [], [], np.flatnonzero(settled)
+        if len(group):
+            for k in np.flatnonzero(~settled).tolist():
+                near = self.near(k, group)
+                if near.any():
+                    a.append(k)
+                    b.append(int(group[near.argmax()]))
+            return a, b
+        left = np.arange(len(self.sizes))
+        while len(left) > 1:
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                q = queue.pop()
+                near = self.near(q, left)
+                found = left[near].tolist()
+                a += [q] * len(found)
+                b += found
+                queue += found
+                left = left[~near]
+        return a, b
+
+
+def _with_sets(words: int):
+    """For rows ``value, i, j, settled, node, text``: the set for the text; texts of other
+    nodes, where keys repeat, fall out."""
+
+    def make():
+        from xxhash import xxh128_digest
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            own = [xxh128_digest(s) == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
+            names = ["value", "i", "j", "settled", "node"]
+            return pa.record_batch([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "set"]).filter(pa.array(own))
+
+        return run
+
+    return by_slice(make)
+
+
+def _verified(similarity: float):
+    """For rows sorted by value and tile: links by the sets themselves."""
+
+    def run(batches):
+        held, key = [], None
+
+        def out():
+            if len(held) < 2:
+                return pa.record_batch([pa.array([], pa.binary())] * 2, names=["a", "b"])
+            own = _Sets([np.frombuffer(s, np.uint64) for _, _, s in held], similarity)
+            a, b = own.links(np.array([x for x, _, _ in held]))
+            return pa.record_batch([pa.array([held[k][1] for k in a], pa.binary()), pa.array([held[k][1] for k in b], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for value, i, j, settled, node, own in zip(*(batch.column(c).to_pylist() for c in ("value", "i", "j", "settled", "node", "set")), strict=True):
+                if (value, i, j) != key:
+                    yield out()
+                    held, key = [], (value, i, j)
+                held.append((settled, node, own))
+        yield out()
+
+    return run
+
+
+def exact_links(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, similarity: float, crowd: int = 4096) -> DataFrame:
+    """``a, b``: links that connect the nodes (``node, first, fp``; first: a key of it)
+    whose sets are as similar as asked, of those that the candidate links connect."""
+    low = written(components(candidates).select("node", "low"))
+    size = low.groupBy("low").agg((F.count("*") + 1).alias("n"))
+    placed = low.unionByName(low.select(F.col("low").alias("node"), "low").distinct()).join(size, "low").join(nodes.select("node", "first", "fp"), "node")
+    members = written(placed.select(F.xxhash64("low").alias("value"), F.col("low").alias("pivot"), "node", "first", "fp", "n"))
+    zero = F.lit(0)
+    tiles = members.filter(F.col("n") <= crowd).select("value", zero.alias("i"), zero.alias("j"), F.lit(False).alias("settled"), "node", "first")
+    links = None
+    hot = members.filter(F.col("n") > crowd)
+    if hot.limit(1).count():
+        pivots = hot.filter("node = pivot").select("value", F.col("fp").alias("pivot_fp"))
+        many = written(hot.join(pivots, "value").mapInArrow(_to_pivots(sure_distance(similarity)), "value long, node binary, fp binary, settled boolean, pivot binary"))
+        links = many.filter("settled AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        tiles = tiles.unionByName(_tiled(many, crowd).join(members.select("node", "first"), "node").select(*tiles.columns))
+    tiles = written(tiles)
+    if tiles.count() <= _FEW:
+        tiles = F.broadcast(tiles)
+    met = keyed.join(tiles, F.col("key") == F.col("first")).select("value", "i", "j", "settled", "node", "text")
+    sets = met.mapInArrow(_with_sets(words), "value long, i int, j int, settled boolean, node binary, set binary")
+    found = sets.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(_verified(similarity), "a binary, b binary")
+    return found if links is None else found.unionByName(links)
+
+
 def _to_pivots(distance: int):
     """For rows ``node, value, pivot, pivot_fp, fp``: whether each is within the distance
     of its pivot."""
@@ -249,12 +384,13 @@ def _to_pivots(distance: int):
     return run
 
 
-def near_copies(keyed: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 4096, sigmas: float = 1.0) -> DataFrame:
+def near_copies(keyed: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 4096) -> DataFrame:
     """``key, kept`` for each row of ``key, text``; kept: the smallest key that links reach."""
     ship(keyed.sparkSession)
     rows = written(_sketches(keyed, words))
     nodes = written(rows.groupBy("node").agg(F.min("key").alias("first"), F.first("blocks").alias("blocks"), F.first("fp").alias("fp")))
-    low = components(similar_links(nodes, distance_at(similarity, sigmas), crowd))
+    candidates = similar_links(nodes, distance_at(similarity), crowd)
+    low = components(exact_links(keyed, nodes, candidates, words, similarity, crowd))
     placed = nodes.select("node", "first").join(low, "node", "left").withColumn("low", F.coalesce("low", "node"))
     kept = placed.groupBy("low").agg(F.min("first").alias("kept"))
     classes = placed.join(kept, "low").select("node", "kept")
