@@ -94,7 +94,7 @@ def test_the_distance_stands_for_the_similarity():
             a, b = " ".join(base), " ".join(edited(base, n))
             assert least <= similarity(a, b) <= most
             assert within(nc.distance_at(0.8, 1))(a, b) == (n < 5)
-            assert n < 2 or not within(nc.sure_distance(0.8))(a, b)
+            assert n < 12 or not within(nc.sure_distance(0.8))(a, b)
             assert n > 3 or set(nc.blocks(nc.shingles(a)).tolist()) & set(nc.blocks(nc.shingles(b)).tolist())
 
 
