@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from windrose.functions import geo, scalar
-from windrose.operators import coverage, generation, quality, ranking, risk, scenario, spatial, stats
+from windrose.operators import coverage, generation, order_stats, quality, ranking, risk, scenario, spatial, stats
 
 NAN = float("nan")
 
@@ -278,19 +280,74 @@ def test_ranking(spark):
     assert [r.k for r in ranking.preferred(df, "k", ["d"]).collect()] == ["d", "a", "b"]
 
 
-@pytest.mark.parametrize("room", [1, 50, 100_000])
-def test_whole_quantiles_are_exact(spark, room):
-    """Narrowed down step by step: ties, a wide range, an even and an odd number."""
-    import random
+def quantile_cases():
+    """Ties, wide ranges, gaps, infinities, the smallest doubles, signs, one value."""
+    random.seed(2)
+    inf = float("inf")
+    return [
+        [random.gauss(0, 1) for _ in range(400)] + [1e9, -1e12], [1.0] * 90 + [2.0] * 11, [3.5], [random.choice([0.1, 0.2, 7.0]) for _ in range(200)],
+        [1.0 + k * 2.0**-52 for k in range(150)] + [1e300 + k * 1e284 for k in range(150)], [float(k) for k in range(100)] + [inf, inf, -inf],
+        [k * 5e-324 for k in range(-60, 60)], [-0.0, 0.0, -1e-300, 1e-300] * 30, [1.7e308, -1.7e308] * 20, [2.0**k for k in range(-300, 300)],
+    ]
 
-    import numpy as np
 
-    random.seed(2)
-    for values in ([random.gauss(0, 1) for _ in range(400)] + [1e9, -1e12], [1.0] * 90 + [2.0] * 11, [3.5], [random.choice([0.1, 0.2, 7.0]) for _ in range(200)]):
-        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
-        at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-        assert stats.whole_quantiles(df, "v", at, room=room, bins=16) == pytest.approx(np.quantile(values, at).tolist(), rel=1e-12)
-    assert stats.whole_quantiles(df.filter("v > 99"), "v", [0.5]) == [None]
+@pytest.mark.parametrize("room", [1, 50, 100_000])
+def test_quantiles_of_groups_are_exact(spark, room):
+    at = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+    cases = quantile_cases()
+    rows = [(k, v, -v) for k, values in enumerate(cases) for v in values] + [(k, None, float("nan")) for k in range(len(cases))] + [(None, 1.0, 2.0), (99, None, None)]
+    random.shuffle(rows)
+    found = order_stats.quantile_table(spark.createDataFrame(rows, "k int, v double, w double"), ["k"], {"v": at, "w": [0.5]}, room)
+    got = {r.k: (r.v, r.w) for r in found.collect()}
+    assert set(got) == {*range(len(cases)), None, 99} and got[None] == ([1.0] * len(at), [2.0]) and not any(got[99][0] or [])
+    for k, values in enumerate(cases):
+        ranked = sorted(values)
+        for p, x in zip([*at, 0.5], [*got[k][0], -got[k][1][0]], strict=True):
+            rank = p * (len(ranked) - 1)
+            low = int(rank)
+            want = ranked[low] if rank == low else (low + 1 - rank) * ranked[low] + (rank - low) * ranked[low + 1]
+            assert x == pytest.approx(want, rel=1e-12, abs=0), (k, p)
+
+
+@pytest.mark.parametrize("shape", ["gap", "infinite", "uniform"])
+def test_little_is_collected_for_quantiles(spark, monkeypatch, shape):
+    """Two clusters with a gap, an infinite value, and eleven deciles of uniform values: a
+    few passes, and no row of the table on the driver or in a buffer beyond the room."""
+    n = 200_000
+    v = {"gap": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10**12), "infinite": F.when(F.col("id") == 7, float("inf")).otherwise(F.col("id")), "uniform": F.xxhash64("id") / 2.0**63}[shape]
+    df = spark.range(n).select(v.cast("double").alias("v"))
+    tables = []
+    monkeypatch.setattr(order_stats, "written", lambda t, f=order_stats.written: tables.append(f(t)) or tables[-1])
+    found = stats.whole_quantiles(df, {"v": [i / 10 for i in range(11)]}, room=1000)["v"]
+    ranked = np.sort(np.array([r.v for r in df.collect()]))
+    want = [float(x) for x in np.quantile(ranked[np.isfinite(ranked)] if shape == "infinite" else ranked, [i / 10 for i in range(11)])]
+    if shape == "infinite":
+        assert found[-1] == float("inf") and found[5] == (ranked[n // 2 - 1] + ranked[n // 2]) / 2
+    else:
+        assert found == pytest.approx(want, rel=1e-12)
+    assert len(tables) <= 3 + 5  # the input, the ranks, and one of a few rows for each pass
+    assert all(t.count() <= 22 for t in tables[1:])
+
+
+def test_a_group_of_many_values_is_never_gathered(spark):
+    """No plan of a large group has an aggregate that holds its values, but those of the room."""
+    df = spark.range(300_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 300_007).cast("double").alias("v")).unionByName(spark.range(300_000).select(F.lit(0).cast("long").alias("k"), F.lit(5.5).alias("v")))
+    got = {r.k: (r.q50, r.q90) for r in stats.quantiles(df, ["k"], "v", (0.5, 0.9), room=500).collect()}
+    for k in (0, 1):
+        own = np.array([i * 7919 % 300_007 for i in range(k, 300_000, 2)] + [5.5] * (300_000 * (k == 0)))
+        assert got[k] == pytest.approx(tuple(np.quantile(own, [0.5, 0.9])), rel=1e-12)
+
+
+def test_nested_violins_leave_out_whole_scenarios(spark):
+    rows = [("a", y, float(x)) for y in (1, 2) for x in range(5 * y)] + [("b", 1, 1.0), ("b", 1, 2.0)] + [("b", 2, float(x)) for x in range(9)] + [("c", 1, float(x)) for x in range(9)]
+    got = stats.nested_violins(spark.createDataFrame(rows, "s string, y int, v double"), ["s"], "y", [1, 2], "v", 0.0, 10.0, 21, 0.42).collect()
+    assert {r.s for r in got} == {"a"} and len(got) == 42
+    assert max(r.width for r in got) == pytest.approx(0.42)
+    own = np.arange(10.0)
+    h = own.std(ddof=1) * 10**-0.2
+    want = [np.exp(-0.5 * ((g - own) / h) ** 2).sum() / h / math.sqrt(2 * math.pi) for g in np.linspace(0, 10, 21)]
+    scaled = [r.width for r in sorted(got, key=lambda r: r.point) if r.y == 2]
+    assert scaled == pytest.approx([0.42 * w / max(want) for w in want], rel=1e-9)
 
 
 def test_wide_polygon_tables_are_joined_by_band(spark):

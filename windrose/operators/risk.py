@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import clip, lookup, ratio_or_null
+from ..sources.scratch import written
+from .order_stats import quantile_table
 
 STATION_KEYS = ["station_id", "country", "technology", "deploy_ssp", "climate_ssp", "target_year"]
 COUNTRY_KEYS = ["country", "technology", "deploy_ssp", "climate_ssp", "target_year", "event_type"]
@@ -85,10 +88,13 @@ def risk_matrix(by_event: DataFrame) -> DataFrame:
 
 def risk_classes(df: DataFrame, groups: Sequence[str], generation: str, risk: str) -> DataFrame:
     """Each row against its group's medians; an equal value counts as high."""
-    w = Window.partitionBy(*groups)
-    high = lambda c: F.coalesce(F.col(c) >= F.median(c).over(w), F.lit(False))
-    label = F.concat(F.when(high(generation), "high").otherwise("low"), F.lit("_generation_"), F.when(high(risk), "high").otherwise("low"), F.lit("_risk"))
-    return df.withColumn("risk_class", label)
+    df = written(df)  # the medians are of the same rows
+    medians = quantile_table(df, groups, {generation: [0.5], risk: [0.5]})
+    own = medians.select(*(F.col(k).alias(f"__{k}") for k in groups), F.get(generation, F.lit(0)).alias("__generation"), F.get(risk, F.lit(0)).alias("__risk"))
+    met = df.join(own, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in groups)), "left")
+    high = lambda c, cut: F.coalesce(F.col(c) >= F.col(cut), F.lit(False))
+    label = F.concat(F.when(high(generation, "__generation"), "high").otherwise("low"), F.lit("_generation_"), F.when(high(risk, "__risk"), "high").otherwise("low"), F.lit("_risk"))
+    return met.select(*df.columns, label.alias("risk_class"))
 
 
 def country_profile(matrix: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .stats import whole_quantiles
 
 
@@ -73,7 +74,9 @@ def pair_difference(df: DataFrame, keys: Sequence[str], member: str, a: str, b:
 def quadrants(df: DataFrame, panel: Sequence[str], x: str, y: str, weight: str) -> DataFrame:
     """Rows by panel and quadrant about the pooled medians, with counts and
     shares of the panel's weight."""
-    x_cut, y_cut = (F.lit(whole_quantiles(df, c, [0.5])[0]).cast("double") for c in (x, y))
+    df = written(df.select(*dict.fromkeys([*panel, x, y, weight])))  # counted here, and again below
+    medians = whole_quantiles(df, {c: [0.5] for c in (x, y)})
+    x_cut, y_cut = (F.lit(medians[c][0]).cast("double") for c in (x, y))
     label = F.concat(F.when(F.col(x) >= x_cut, "high_").otherwise("low_"), F.when(F.col(y) >= y_cut, "high").otherwise("low"))
     found = df.withColumn("quadrant", label).groupBy(*panel, "quadrant").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
     return found.withColumn("share_pct", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy(*panel))) * 100.0)

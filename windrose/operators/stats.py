@@ -3,62 +3,30 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .order_stats import quantile_table
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float] = (0.25, 0.5, 0.75), prefix: str = "q") -> DataFrame:
+#: Values of a group that are sorted at once.
+ROOM = 100_000
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float] = (0.25, 0.5, 0.75), prefix: str = "q", room: int = ROOM) -> DataFrame:
     """Exact quantiles with linear interpolation, a column for each."""
-    found = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("__q"))
+    found = quantile_table(df, keys, {value: at}, room).withColumnRenamed(value, "__q")
     return found.select(*keys, *(F.get("__q", F.lit(i)).alias(f"{prefix}{round(100 * p)}") for i, p in enumerate(at)))
 
 
-def _ranked(counts: list[tuple[float, int]], rank: int) -> float:
-    """The value at a rank, from 0, of sorted (value, count) pairs."""
-    for value, n in counts:
-        if rank < n:
-            return value
-        rank -= n
-    return counts[-1][0]
-
-
-def whole_quantiles(df: DataFrame, value: str, at: Sequence[float], room: int = 100_000, bins: int = 4096) -> list[float | None]:
-    """A15 of a whole table: exact quantiles with linear interpolation, without a task
-    that holds the values.  Counts by equal steps of an interval narrow it down to the
-    step with the wanted ranks, again and again, until at most ``room`` values are
-    left or all in it are equal; only those are read.  Nulls and NaN don't count."""
-    x = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    n, least, most = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(at)
-    out, last = [], None
-    for p in at:
-        rank = p * (n - 1)
-        k = math.floor(rank)
-        low, high, below, inside = least, most, 0, n
-        while inside > room and low < high:
-            width = (high - low) / bins
-            step = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
-            counts = x.filter(F.col("x").between(low, high)).groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
-            before, span = below, []
-            for r in sorted(counts, key=lambda r: r.s):
-                if before + r.n > k and before <= k + 1:
-                    span.append((before, r))
-                before += r.n
-            if sum(r.n for _, r in span) == inside:
-                break  # steps too fine for these numbers
-            below, low, high, inside = span[0][0], span[0][1].low, span[-1][1].high, sum(r.n for _, r in span)
-        if low == high:
-            a = b = low
-        else:
-            if last is None or last[:2] != (low, high):
-                own = x.filter(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).collect()
-                last = (low, high, sorted((r.x, r.n) for r in own))
-            a, b = (_ranked(last[2], min(i, n - 1) - below) for i in (k, k + 1))
-        out.append((k + 1 - rank) * a + (rank - k) * b if rank > k else a)
-    return out
+def whole_quantiles(df: DataFrame, columns: Mapping[str, Sequence[float]], room: int = ROOM) -> dict[str, list[float | None]]:
+    """A15 of a whole table: exact quantiles of several columns in the same passes; the
+    quantiles are all that is collected."""
+    found = quantile_table(df, [], columns, room).first()
+    return {c: list(found[c]) if found and found[c] else [None] * len(at) for c, at in columns.items()}
 
 
 def variation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -81,20 +49,31 @@ def density(df: DataFrame, keys: Sequence[str], value: str, low: float, high: fl
     """A21, A21b, A21d: Gaussian kernel density on a fixed grid, with Scott's
     bandwidth; groups of fewer than ``least`` values or without spread fall out.
 
-    Equal values are counted first, so the grid multiplies distinct values, and
-    its partial sums are combined before they are dealt."""
+    A group's sums at all points of the grid are one row of aggregates, so a value is
+    never dealt to the points; the sums are exact.  The values are written once while the
+    result is being built."""
     x = F.log10(value) if log else F.col(value)
-    counts = df.select(*keys, x.alias("__x")).dropna(subset=["__x"]).groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
-    n = F.sum("__n")
-    mean = F.sum(F.col("__x") * F.col("__n")) / n
-    shape = counts.groupBy(*keys).agg(n.alias("n"), mean.alias("__mean")).filter(F.col("n") >= least)
-    spread = counts.join(shape, list(keys)).groupBy(*keys, "n").agg(F.sqrt(F.sum((F.col("__x") - F.col("__mean")) ** 2 * F.col("__n")) / (F.col("n") - 1)).alias("__sd")).filter("__sd > 0")
-    h = spread.select(*keys, "n", (F.col("__sd") * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("i"), (low + (high - low) * i / float(points - 1)).alias("x"))))
-    each = counts.join(h, list(keys)).withColumn("__g", grid)
-    term = F.exp(-0.5 * ((F.col("__g.x") - F.col("__x")) / F.col("bandwidth")) ** 2) * F.col("__n")
-    out = each.groupBy(*keys, F.col("__g.i").alias("point"), F.col("__g.x").alias("x")).agg(F.sum(term).alias("__s"), F.first("n").alias("n"), F.first("bandwidth").alias("bandwidth"))
-    return out.select(*keys, "point", "x", "n", "bandwidth", (F.col("__s") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"))
+    rows = written(df.select(*keys, x.alias("__x")).dropna(subset=["__x"]))  # read for the bandwidth, and again
+    shape = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp("__x").alias("__sd")).filter((F.col("n") >= least) & (F.col("__sd") > 0))
+    h = shape.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", (F.col("__sd") * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = rows.join(h, reduce(lambda a, b: a & b, same))
+    at = [low + (high - low) * i / float(points - 1) for i in range(points)]
+    terms = (F.exp(-0.5 * ((F.lit(g) - F.col("__x")) / F.col("bandwidth")) ** 2) for g in at)
+    sums = met.groupBy(*keys, "n", "bandwidth").agg(*(F.sum(t).alias(f"__{i}") for i, t in enumerate(terms)))
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("point"), F.lit(g).alias("x"), F.col(f"__{i}").alias("s")) for i, g in enumerate(at))))
+    out = sums.select(*keys, "n", "bandwidth", grid.alias("g"))
+    return out.select(*keys, "g.point", "g.x", "n", "bandwidth", (F.col("g.s") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def nested_violins(df: DataFrame, keys: Sequence[str], member: str, members: Sequence, value: str, low: float, high: float, points: int = 30, width: float = 0.42, log: bool = False, least: int = 3) -> DataFrame:
+    """Densities of the members of each group (years of a scenario) times the number
+    of their values, at one scale for the group: the widest reaches ``width``.  A group in
+    which any of the members has fewer than ``least`` values, or no spread, is left out."""
+    rows = df.filter(F.col(member).isin(list(members)))
+    found = density(rows, [*keys, member], value, low, high, points, log, least).withColumn("__d", F.col("density") * F.col("n"))
+    scale = found.groupBy(*keys).agg(F.count_distinct(member).alias("__members"), F.max("__d").alias("__top")).filter(F.col("__members") == len(members))
+    return found.join(scale, list(keys)).withColumn("width", F.try_divide(F.col("__d"), F.col("__top")) * width).drop("__d", "__top", "__members")
 
 
 def to_own_peak(densities: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,18 +96,21 @@ def trend(df: DataFrame, keys: Sequence[str], x: str, y: str, log: bool = False)
     return df.groupBy(*keys).agg(F.regr_slope(v, F.col(x)).alias("slope"), F.regr_intercept(v, F.col(x)).alias("intercept"), F.count(y).alias("n"))
 
 
-def fixed_bins(df: DataFrame, bins: DataFrame, value: str, low: float, width: float, measure: str) -> DataFrame:
+def fixed_bins(df: DataFrame, bins: DataFrame, value: str, low: float, width: float, measure: str, room: int = ROOM) -> DataFrame:
     """Bins open at the left and closed at the right; bins (column bin, from 1)
     without rows are kept, the lowest edge itself falls out."""
     at = F.ceil((F.col(value) - low) / width).cast("int")
-    found = df.withColumn("bin", F.when(F.col(value) > low, at)).dropna(subset=["bin"]).groupBy("bin").agg(F.count("*").alias("n"), F.percentile(measure, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    return bins.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), *(F.get("__q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))))
+    binned = df.select(F.when(F.col(value) > low, at).alias("bin"), F.col(measure).alias("m")).dropna(subset=["bin"])
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    found = counts.join(quantiles(binned, ["bin"], "m", room=room), "bin", "left")
+    return bins.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "q25", "q50", "q75")
 
 
-def decile_bins(df: DataFrame, value: str, measure: str) -> DataFrame:
+def decile_bins(df: DataFrame, value: str, measure: str, room: int = ROOM) -> DataFrame:
     """Bins by the value's deciles, the lowest edge widened by 1e-9; equal edges
     make one bin."""
-    edges = sorted({e for e in whole_quantiles(df, value, [i / 10 for i in range(11)]) if e is not None})
+    edges = sorted({e for e in whole_quantiles(df, {value: [i / 10 for i in range(11)]}, room)[value] if e is not None})
     x = F.col(value)
     at = sum(((F.lit(e) < x).cast("int") for e in edges[1:]), (F.lit(edges[0] - 1e-9) < x).cast("int")) if edges else F.lit(1)
-    return df.dropna(subset=[value]).withColumn("bin", F.greatest(at, F.lit(1))).groupBy("bin").agg(F.count("*").alias("n"), F.median(measure).alias("q50"))
+    binned = df.dropna(subset=[value]).select(F.greatest(at, F.lit(1)).alias("bin"), F.col(measure).alias("m"))
+    return binned.groupBy("bin").agg(F.count("*").alias("n")).join(quantiles(binned, ["bin"], "m", (0.5,), room=room), "bin")

@@ -250,6 +250,12 @@ def q19_kde(spark, sf_dir):
     return rounded(stats.density(_annual(spark, sf_dir), ["technology", "climate_ssp"], "capacity_factor", 0.0, 0.02))
 
 
+def q19d_nested_violins(spark, sf_dir):
+    """Years within a scenario at one scale, scenarios with a sparse year left out."""
+    rows = _annual(spark, sf_dir).filter("technology = 'solar' OR climate_ssp <> 'ssp245' OR station_idx < 3")
+    return rounded(stats.nested_violins(rows, ["technology", "climate_ssp"], "year", YEARS, "capacity_factor", 0.0, 0.02))
+
+
 def q19c_kde_own_peak(spark, sf_dir):
     """From two values on, as shares of the own peak."""
     keys = ["country", "technology"]

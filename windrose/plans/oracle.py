@@ -182,6 +182,13 @@ ORACLE_SQL = {
         SELECT country, count(*) AS n, round(corr(a, b), 5) AS correlation FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY country HAVING count(*) >= 6 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0""",
     "q19_kde": f"WITH {_annual()}, " + _KDE("technology, climate_ssp", "capacity_factor", "0.0::DOUBLE", "0.02::DOUBLE", 30, "v_annual"),
     "q19b_kde_log": f"WITH {_annual()}, " + _KDE("technology", "log10(generation_mwh)", "3.0::DOUBLE", "7.0::DOUBLE", 20, "(SELECT * FROM v_annual WHERE generation_mwh > 0)"),
+    "q19d_nested_violins": f"""WITH {_annual()}, b AS (SELECT technology, climate_ssp, year, capacity_factor AS x FROM v_annual WHERE year IN (1996, 1998, 2000) AND (technology = 'solar' OR climate_ssp <> 'ssp245' OR station_idx < 3)),
+        st AS (SELECT technology, climate_ssp, year, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h FROM b GROUP BY ALL HAVING count(*) >= 3 AND stddev_samp(x) > 0),
+        able AS (SELECT technology, climate_ssp FROM st GROUP BY ALL HAVING count(*) = 3), g AS (SELECT CAST(i AS INT) AS point, 0.0::DOUBLE + 0.02::DOUBLE * i / 29.0::DOUBLE AS x FROM range(30) AS r(i)),
+        d AS (SELECT technology, climate_ssp, year, point, g.x AS x, n, h, sum(exp(-0.5 * pow((g.x - b.x) / h, 2))) / (n * h * sqrt(2 * pi())) AS density
+            FROM st JOIN able USING (technology, climate_ssp) JOIN b USING (technology, climate_ssp, year) CROSS JOIN g GROUP BY technology, climate_ssp, year, point, g.x, n, h)
+        SELECT technology, climate_ssp, year, point, round(x, 6) AS x, n, round(h, 6) AS bandwidth, round(density, 6) AS density,
+               round(density * n / nullif(max(density * n) OVER (PARTITION BY technology, climate_ssp), 0) * 0.42::DOUBLE, 6) AS width FROM d""",
     "q20_linear_trend": f"""WITH {_annual()}, y AS (SELECT technology, climate_ssp, year, sum(generation_mwh) / 1e6 AS g FROM v_annual GROUP BY ALL)
         SELECT technology, climate_ssp, round(regr_slope(g, year), 5) AS slope, round(regr_intercept(g, year), 5) AS intercept, count(*) AS n, round(regr_slope(log10(g), year), 5) AS log_slope FROM y GROUP BY ALL""",
     "q21_pivot_change_vs_base": f"""WITH {_COUNTRY}, w AS (SELECT country, technology, climate_ssp, avg(mean_cf) FILTER (year = 1996) AS a, avg(mean_cf) FILTER (year = 1998) AS b, avg(mean_cf) FILTER (year = 2000) AS c FROM v_country GROUP BY ALL)
