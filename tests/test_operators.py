@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrose.functions import geo, scalar
-from windrose.operators import coverage, generation, order_stats, quality, ranking, risk, scenario, spatial, stats
+from windrose.operators import cover, coverage, generation, nearest, order_stats, quality, ranking, risk, scenario, spatial, stats
 
 NAN = float("nan")
 
@@ -167,7 +167,7 @@ def test_nearest_cell(spark):
     cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0)], "cell_id int, lat double, lon double")
     points = spark.createDataFrame([(1, 0.0, 0.4), (2, 0.0, 0.5), (3, 50.0, 0.0)], "id int, lat double, lon double")
     assert {r.id: r.cell_id for r in spatial.nearest_cell(points, cells, "id", 0.6).collect()} == {1: 1, 2: 1}
-    assert {r.id: r.cell_id for r in spatial.nearest_any(points, cells, "id", 0.6).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.id: r.cell_id for r in spatial.nearest_any(points, cells, "id").collect()} == {1: 1, 2: 1, 3: 1}
     strict = spatial.nearest_cell(points.filter("id = 2"), cells, "id", 0.5)
     assert strict.count() == 0  # exactly at the reach
 
@@ -350,17 +350,141 @@ def test_nested_violins_leave_out_whole_scenarios(spark):
     assert scaled == pytest.approx([0.42 * w / max(want) for w in want], rel=1e-9)
 
 
-def test_wide_polygon_tables_are_joined_by_band(spark):
+def test_wide_polygon_tables_are_joined_by_square(spark):
     """Beyond the bound on edges nothing is broadcast, and the rows are the same; points
     without coordinates and repeated ids keep theirs."""
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
-    edges = spark.createDataFrame([(k, f"p{k}", a[0] + k, a[1], b[0] + k, b[1]) for k in (0, 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)], "poly_ordinal int, name string, x1 double, y1 double, x2 double, y2 double")
-    points = spark.createDataFrame([(1, 0.5, 1.0), (2, 2.0, 2.0), (3, 4.5, 3.5), (3, 4.5, 3.5), (4, 9.0, 1.0), (5, None, None), (6, 0.0, 0.0)], "id int, lon double, lat double")
+    edges = spark.createDataFrame([(k, f"p{k}", a[0] + k, a[1], b[0] + k, b[1]) for k in (0, 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)], EDGES)
+    points = spark.createDataFrame([(1, 0.5, 1.0), (2, 2.0, 2.0), (3, 4.5, 3.5), (3, 4.5, 3.5), (4, 9.0, 1.0), (5, None, None), (6, 0.0, 0.0), (7, NAN, 1.0)], "id int, lon double, lat double")
     few, many = (spatial.in_polygons(points, edges, "id", most=n) for n in (1000, 3))
     key = lambda r: (r.id, r.polygon or "")
     got = [(r.id, r.polygon) for r in sorted(few.collect(), key=key)]
-    assert got == [(r.id, r.polygon) for r in sorted(many.collect(), key=key)] == [(1, "p0"), (2, "p0"), (3, "p1"), (3, "p1"), (4, None), (5, None), (6, "p0")]
+    assert got == [(r.id, r.polygon) for r in sorted(many.collect(), key=key)] == [(1, "p0"), (2, "p0"), (3, "p1"), (3, "p1"), (4, None), (5, None), (6, "p0"), (7, None)]
     assert "BroadcastHashJoin" in few._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert spatial.in_polygons(points, edges.limit(0), "id", default="x").filter("polygon = 'x'").count() == 8
+
+
+EDGES = "poly_ordinal int, name string, x1 double, y1 double, x2 double, y2 double"
+
+
+def star(rng, x, y, n, r):
+    """An outline of n corners about a place, on a lattice of halves if it is large."""
+    at = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    return [(round(2 * (x + r * rng.uniform(0.3, 1) * math.cos(t))) / 2, round(2 * (y + r * rng.uniform(0.3, 1) * math.sin(t))) / 2) for t in at]
+
+
+@pytest.mark.parametrize("size", [None, 0.7, 3.0, 50.0])
+def test_polygons_at_any_size_of_squares(spark, size):
+    """Overlapping outlines with holes, level and upright edges, points on corners and
+    edges: as a ray over all edges decides."""
+    rng = random.Random(4)
+    rings = [star(rng, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.randint(3, 30), rng.choice([3, 9, 15])) for _ in range(12)]
+    rings.append([(-30.0, -30.0), (30.0, -30.0), (30.0, 30.0), (-30.0, 30.0)])
+    holes = {12: [(-25.0, -25.0), (25.0, -25.0), (25.0, 25.0), (-25.0, 25.0)]}
+    pairs = [(k, a, b) for k, r in enumerate(rings) for own in (r, holes.get(k, [])) for a, b in zip(own, own[1:] + own[:1], strict=True) if a != b]
+    edges = spark.createDataFrame([(k, f"p{k}", *a, *b) for k, a, b in pairs], EDGES)
+    points = [(rng.randrange(-64, 64) / 2, rng.randrange(-64, 64) / 2) for _ in range(600)] + [(rng.uniform(-32, 32), rng.uniform(-32, 32)) for _ in range(300)]
+
+    def by_hand(x, y):
+        contains, covers = [], []
+        for k in range(len(rings)):
+            own = [(*a, *b) for j, a, b in pairs if j == k]
+            on = any((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2) for x1, y1, x2, y2 in own)
+            odd = sum((y1 > y) != (y2 > y) and x < (x2 - x1) * ((y - y1) / (y2 - y1)) + x1 for x1, y1, x2, y2 in own) % 2
+            (covers if on else contains if odd else []).append(k)
+        first = contains[0] if contains else None
+        return first, first if first is not None else covers[0] if covers else None
+
+    got = cover.polygons_at(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, lon double, lat double"), edges, size)
+    name = lambda k: None if k is None else f"p{k}"
+    assert {r.id: (r.contains, r.covers) for r in got.collect()} == {i: tuple(map(name, by_hand(*p))) for i, p in enumerate(points)}
+
+
+def test_a_polygon_of_a_million_edges(spark):
+    """A wave around a circle: squares hold few edges, and the points are told apart as by
+    their radius."""
+    n = 1_000_000
+    turn = lambda i: 2 * math.pi * i / n
+    radius = lambda t: 40.0 + F.sin(t * 60)
+    at = lambda i, k: (radius(turn(i)) * (F.cos if k == "x" else F.sin)(turn(i)))
+    i, j = F.col("id"), (F.col("id") + 1) % n
+    edges = spark.range(n).select(F.lit(0).alias("poly_ordinal"), F.lit("wave").alias("name"), at(i, "x").alias("x1"), at(i, "y").alias("y1"), at(j, "x").alias("x2"), at(j, "y").alias("y2"))
+    squares = cover.Squares(edges)
+    sizes = cover.polygon_cover(edges, squares).agg(F.max(F.size("edges")).alias("most"), F.count("*").alias("n")).first()
+    assert sizes.most < 2000 and sizes.n < 2_500_000
+    points = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(90_000)) / 1000 - 45).alias("lon"), (F.pmod(F.xxhash64("id", "id"), F.lit(90_000)) / 1000 - 45).alias("lat"))
+    r, t = F.sqrt(F.col("lon") ** 2 + F.col("lat") ** 2), F.atan2("lat", "lon")
+    sure = cover.polygons_at(points, edges).withColumn("gap", radius(t) - r).filter(F.abs("gap") > 0.001)
+    assert sure.filter(F.col("contains").isNotNull() != (F.col("gap") > 0)).count() == 0 and sure.count() > 2900
+
+
+@pytest.mark.parametrize("leaf", [1, 8, 64])
+def test_nearest_places_at_any_distance(spark, leaf):
+    """A dense cluster, ties, repeated places, two families, and points far away."""
+    rng = random.Random(6)
+    cells = [(k, g, rng.choice([rng.uniform(-60, 60), 20 + rng.uniform(0, 1e-3)]), rng.choice([rng.uniform(-200, 400), 100 + rng.uniform(0, 1e-3)])) for k in range(400) for g in (0,)]
+    cells += [(1000 + k, 1, float(k % 5), float(k // 5)) for k in range(50)] + [(2000, 1, 0.0, 0.0), (2001, 0, None, 1.0), (2002, 1, NAN, 1.0)]
+    points = [(k, k % 2, rng.uniform(-90, 90), rng.uniform(-360, 720)) for k in range(200)] + [(900 + k, 1, k / 4, 2.5) for k in range(20)] + [(950, 2, 0.0, 0.0), (951, 0, None, 0.0), (952, 1, 1e6, -1e6)]
+    c, p = spark.createDataFrame(cells, "cell_id int, g int, lat double, lon double"), spark.createDataFrame(points, "id int, g int, lat double, lon double")
+
+    def by_hand(own, across):
+        out = {}
+        for i, g, y, x in points:
+            far = [((v - y) ** 2 + (across(u) - across(x)) ** 2, k) for k, h, v, u in cells if y is not None and v is not None and v == v and (h == g or not own)]
+            if far:
+                out[i] = min(far)[1]
+        return out
+
+    got = nearest.nearest_places(p, c, "id", by=["g"], leaf=leaf)
+    assert {r.id: r.cell_id for r in got.collect()} == by_hand(True, lambda v: v % 360.0)
+    got = nearest.nearest_places(p, c, "id", degrees=False, leaf=leaf)
+    assert {r.id: r.cell_id for r in got.collect()} == by_hand(False, lambda v: v)
+    assert nearest.nearest_places(p, c.limit(0), "id").count() == 0
+
+
+def test_a_far_point_meets_little_of_a_cluster(spark, monkeypatch):
+    """Of 40,000 places in a small square, a point far away meets those on its side."""
+    c = spark.range(40_000).select("id", (F.col("id") % 200 / 1e4).alias("lat"), (F.floor(F.col("id") / 200) / 1e4 + 50).alias("lon")).unionByName(spark.createDataFrame([(-1, 80.0, 300.0)], "id long, lat double, lon double"))
+    p = spark.createDataFrame([(1, -70.0, 80.0)], "q int, lat double, lon double")
+    tables = []
+    monkeypatch.setattr(nearest, "_FEW", 0)
+    monkeypatch.setattr(nearest, "written", lambda t, f=nearest.written: tables.append(f(t)) or tables[-1])
+    assert nearest.nearest_places(p, c, "q", "id").first().id == 199 * 200
+    y, x = F.lit(-70.0), F.lit(80.0)
+    box = F.struct("i", "j", "south", "north", "west", "east")
+    last = tables[-1].agg(F.collect_list(box).alias("kids")).select(F.size("kids").alias("all"), F.size(nearest._nearer(F.col("kids"), y, x)).alias("near")).first()
+    assert last["all"] > 600 and last["near"] < 40
+
+
+def test_filling_equals_brute_force(spark):
+    """Sparse and dense rasters with ties, empty columns and rows, cells beyond the land."""
+    for seed, n, m, share in ((1, 14, 20, 0.05), (2, 30, 9, 0.3), (3, 12, 40, 0.01), (4, 8, 8, 0.9)):
+        rng = random.Random(seed)
+        cells = [(r, c, rng.choice([1, 2, 3]) if rng.random() < share or (r, c) == (n // 2, m // 2) else 0) for r in range(n) for c in range(m)]
+        wanted = [(r, c) for r, c, v in cells if v == 0 and rng.random() < 0.7] + [(-3, -7), (n + 2, m + 9)]
+        land = [(r, c, v) for r, c, v in cells if v > 0]
+        want = {(r, c): min(((r - a) ** 2 + (c - b) ** 2, a, b, v) for a, b, v in land)[3] for r, c in wanted}
+        got = spatial.fill_background(spark.createDataFrame(cells, "row int, col int, v int"), spark.createDataFrame(wanted + wanted[:5], "row int, col int"), "v")
+        assert sorted((r.row, r.col, r.v) for r in got.collect()) == sorted((*k, v) for k, v in want.items())
+    assert spatial.fill_background(spark.createDataFrame([(0, 0, 0)], "row int, col int, v int"), spark.createDataFrame([(0, 0)], "row int, col int"), "v").count() == 0
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_long_axes(spark, periodic):
+    rng = random.Random(8)
+    axis = [k / 10 - 180 for k in range(3600)] + [180.0, -180.0, 5.0]
+    rng.shuffle(axis)
+    values = [rng.uniform(-400, 400) for _ in range(60)] + [k / 20 - 180 for k in range(0, 200)] + [180.0, -180.0, 0.0, 359.96, 1e9]
+    across = (lambda v: v % 360.0) if periodic else (lambda v: v)
+
+    def d(a, v):
+        x = abs(across(a) - across(v))
+        return min(x, 360.0 - x) if periodic else x
+
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").coalesce(1)
+    for own in (axis, axis[:1], axis[:2]):
+        got = [r.i for r in df.select(spatial.nearest_on_axis(F.col("v"), own, periodic).alias("i")).collect()]
+        assert got[:-1] == [min((d(a, v), i) for i, a in enumerate(own))[1] for v in values] and got[-1] is None
 
 
 def test_reports_end_with_their_totals(spark):

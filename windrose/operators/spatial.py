@@ -6,11 +6,13 @@ carries the results, and ties go to the lowest ordinal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.geo import crosses, in_box, on_edge, to_360
+from ..functions.geo import in_box, to_360
+from .cover import polygons_at
+from .nearest import nearest_places
 
 OUTSIDE = "outside"
 
@@ -46,35 +48,15 @@ def first_area_join(points: DataFrame, areas: DataFrame, id_col: str, default: s
     return points.crossJoin(F.broadcast(rows)).select(id_col, F.coalesce(F.get(hit, F.lit(0))["name"], F.lit(default)).alias("area"))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None, band: float = 1.0, most: int = 200_000) -> DataFrame:
+def in_polygons(points: DataFrame, edges: DataFrame, id_col: str, boundary: bool = True, default: str | None = None, size: float | None = None, most: int = 200_000) -> DataFrame:
     """The first polygon (lowest ordinal) that contains the point; with
     boundary, points on an outline fall to the first polygon that covers them.
     J5b without.
 
-    edges: poly_ordinal, name, x1, y1, x2, y2.  Edges are dealt to the latitude bands
-    that they reach into and gather there by polygon, so that a point meets one row,
-    that of its band, and is decided in it: an odd number of the edges of a polygon,
-    holes included, that a ray to the east crosses means inside.  Up to ``most`` dealt
-    edges are broadcast; more meet the points by band, and no point is dealt again.
-    Points without coordinates, and those of repeated ids, each give a row."""
-    lon, lat = F.col("lon"), F.col("lat")
-    number = lambda y: F.floor(y / band)
-    reached = F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))
-    dealt = edges.select("poly_ordinal", "name", F.struct("x1", "y1", "x2", "y2").alias("edge"), F.explode(reached).alias("__band"))
-    outlines = dealt.groupBy("__band", "poly_ordinal", "name").agg(F.collect_list("edge").alias("edges"))
-    bands = outlines.groupBy("__band").agg(F.collect_list(F.struct("poly_ordinal", "name", "edges")).alias("__polygons"))
-    if dealt.limit(most + 1).count() <= most:
-        bands = F.broadcast(bands)
-
-    def place(p: Column) -> Column:
-        ends = lambda e: (lon, lat, e.x1, e.y1, e.x2, e.y2)
-        odd = F.size(F.filter(p.edges, lambda e: crosses(*ends(e)))) % 2 == 1
-        edge = F.exists(p.edges, lambda e: on_edge(*ends(e)))
-        return F.struct(F.when(odd & ~edge, 0).when(edge & F.lit(boundary), 1).alias("pass"), p.poly_ordinal.alias("ordinal"), p["name"].alias("name"))
-
-    best = F.array_min(F.filter(F.transform("__polygons", place), lambda hit: hit["pass"].isNotNull()))
-    met = points.withColumn("__band", number(lat)).join(bands, "__band", "left")
-    return met.select(*points.columns, F.coalesce(best["name"], F.lit(default)).alias("polygon"))
+    edges: poly_ordinal, name, x1, y1, x2, y2.  Points without coordinates, and those of
+    repeated ids, each give a row.  See ``polygons_at``, which gives both at once."""
+    found = polygons_at(points, edges, size, most)
+    return found.select(*points.columns, F.coalesce("covers" if boundary else "contains", F.lit(default)).alias("polygon"))
 
 
 def raster_index(value: Column, origin: float, step: float, size: int, how: str = "floor", drop: bool = False) -> Column:
@@ -95,11 +77,36 @@ def raster_lookup(points: DataFrame, cells: DataFrame, value: str, default=0) ->
 def nearest_on_axis(value: Column, axis: list[float], periodic: bool = False) -> Column:
     """The index of the nearest axis value, the first among equals;
     periodic: distances go round 360 degrees.  The axis is a fixed array."""
-    d = lambda a: F.abs(a - value)
+    first: dict[float, int] = {}
+    for i, a in enumerate(axis):
+        first.setdefault(float(a) % 360.0 if periodic else float(a), i)
+    return nearest_in_axis(value, F.array(*(F.struct(F.lit(a).alias("at"), F.lit(i).alias("i")) for a, i in sorted(first.items()))), len(first), periodic)
+
+
+def axis_values(axis: Column, periodic: bool = False) -> Column:
+    """An array of structs of ``at`` and ``i`` in order, each value with its lowest index;
+    periodic: in [0, 360)."""
     if periodic:
-        d = lambda a: F.least(F.abs(to_360(a) - to_360(value)), 360.0 - F.abs(to_360(a) - to_360(value)))
-    ranked = F.transform(F.array(*map(F.lit, axis)), lambda a, i: F.struct(d(a).alias("d"), i.alias("i")))
-    return F.array_min(ranked)["i"]
+        axis = F.transform(axis, lambda a: F.struct(to_360(a["at"]).alias("at"), a["i"].alias("i")))
+    ordered = F.array_sort(axis)
+    return F.filter(ordered, lambda a, k: (k == 0) | (F.get(ordered, k - 1)["at"] != a["at"]))
+
+
+def nearest_in_axis(value: Column, axis: Column, n: int, periodic: bool = False) -> Column:
+    """J8, J8b for an axis in a column, as ``axis_values`` gives it, of at most ``n``
+    values.  Halving finds the place of the value among them; the values on both sides of
+    it are compared, and on a circle the ends too."""
+    x = to_360(value) if periodic else value
+    bounds = F.struct(F.lit(0).alias("low"), F.size(axis).alias("high"))
+    half = lambda s: F.floor((s.low + s.high) / 2).cast("int")
+    left = lambda s: F.get(axis, half(s))["at"] >= x
+    step = lambda s, _: F.when(s.low >= s.high, s).otherwise(F.struct(F.when(left(s), s.low).otherwise(half(s) + 1).alias("low"), F.when(left(s), half(s)).otherwise(s.high).alias("high")))
+    place = F.aggregate(F.sequence(F.lit(0), F.lit(max(1, n).bit_length())), bounds, step, lambda s: s.low)
+    sides = F.array(place, place - 1, F.lit(0), F.size(axis) - 1) if periodic else F.array(place, place - 1)
+    d = lambda a: F.abs(a - x)
+    round_ = (lambda a: F.least(d(a), 360.0 - d(a))) if periodic else d
+    near = F.transform(F.filter(F.transform(sides, lambda k: F.get(axis, k)), lambda a: a.isNotNull()), lambda a: F.struct(round_(a["at"]).alias("d"), a["i"].alias("i")))
+    return F.when(x.isNotNull(), F.array_min(near)["i"])
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", strict: bool = True, degrees: bool = True) -> DataFrame:
@@ -117,38 +124,46 @@ def nearest_cell(points: DataFrame, cells: DataFrame, id_col: str, reach: float,
     return met.groupBy(id_col).agg(F.min(F.struct("d2", cell_id)).alias("best")).select(id_col, F.col(f"best.{cell_id}").alias(cell_id), F.sqrt("best.d2").alias("distance"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder: the one the session names, else one in its warehouse."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{spark.sparkContext.applicationId}")
-    return df.checkpoint()
-
-
-def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, reach: float, cell_id: str = "cell_id", degrees: bool = True) -> DataFrame:
-    """J9 without a bound: the reach doubles for the points that have found none, until
-    it spans all points and cells; points without a place fall out."""
-    places = points.select("lat", "lon").unionByName(cells.select("lat", "lon")).filter(~F.isnan(F.col("lat").cast("double")) & ~F.isnan(F.col("lon").cast("double")))
-    far = places.agg((F.max("lat") - F.min("lat") + (F.lit(360.0) if degrees else F.max("lon") - F.min("lon"))).alias("far")).first().far
-    found, left = None, points
-    while far is not None:
-        got = settled(nearest_cell(left, cells, id_col, reach, cell_id, strict=False, degrees=degrees))
-        found = got if found is None else found.unionByName(got)
-        left = left.join(got, id_col, "left_anti")
-        if reach > far or left.isEmpty():
-            break
-        reach *= 2
-    return found if found is not None else nearest_cell(points, cells, id_col, reach, cell_id, degrees=degrees)
+def nearest_any(points: DataFrame, cells: DataFrame, id_col: str, cell_id: str = "cell_id", degrees: bool = True) -> DataFrame:
+    """J9 without a bound: see ``nearest_places``."""
+    return nearest_places(points, cells, id_col, cell_id, degrees=degrees)
 
 
 def fill_background(cells: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
     """For the wanted cells (row, col) the value of the nearest cell with
-    one above 0, the lowest row and column among equals; the search widens from the
-    neighbours on, so few cells meet a wanted one near the coast."""
-    land = cells.filter(F.col(value) > 0).select(F.col("row").alias("lat"), F.col("col").cast("double").alias("lon"), F.struct("row", "col", value).alias("cell_id"))
-    points = wanted.select(F.struct("row", "col").alias("key"), F.col("row").alias("lat"), F.col("col").cast("double").alias("lon")).distinct()
-    near = nearest_any(points, land, "key", 4.0, degrees=False)
-    return near.select("key.row", "key.col", F.col(f"cell_id.{value}").alias(value))
+    one above 0, the lowest row and column among equals.
+
+    A distance transform in two passes.  Down each column, every wanted row learns the
+    nearest such cell of the column, of equals the upper.  Along each row, a wanted cell
+    then looks through the columns no further away than the cell of its own: what counts
+    there are the squares of both distances.  Cells meet by column, then by row, and never
+    each other.  wanted and the result have each cell once."""
+    land = cells.filter(F.col(value) > 0).select("row", "col", F.struct("row", F.col(value).alias("value")).alias("land"))
+    targets = wanted.select("row", "col").distinct()
+    across = land.agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    # a place for every wanted row in every column: the raster itself
+    places = targets.select("row").distinct().crossJoin(F.broadcast(across)).select("row", F.explode(F.sequence("first", "last")).alias("col"))
+    both = land.unionByName(places.withColumn("land", F.lit(None).cast(land.schema["land"].dataType)))
+    column = Window.partitionBy("col").orderBy("row")
+    above = F.last("land", ignorenulls=True).over(column.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.first("land", ignorenulls=True).over(column.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    down = lambda p: F.when(p.isNotNull(), F.struct(F.abs(p["row"] - F.col("row")).cast("long").alias("d"), p["row"].alias("row"), p["value"].alias("value")))
+    met = both.select("row", "col", "land", above.alias("above"), below.alias("below")).filter("land IS NULL")
+    each = met.select("row", "col", F.least(down(F.col("above")), down(F.col("below"))).alias("near"))
+    rows = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "near"))).alias("across"), F.min("col").alias("first"))
+    asked = targets.groupBy("row").agg(F.collect_list("col").alias("cols"))
+
+    def nearest(c: Column) -> Column:
+        own = F.get("across", (c - F.col("first")).cast("int"))["near"]["d"]
+        reach = F.coalesce(F.when(c >= F.col("first"), own), F.greatest(F.size("across").cast("long"), F.abs(c - F.col("first")).cast("long") + 1))
+        start = F.greatest(c - reach, F.col("first"))
+        part = F.slice("across", (start - F.col("first") + 1).cast("int"), F.greatest(c + reach - start + 1, F.lit(0)).cast("int"))
+        known_ = F.filter(part, lambda p: p["near"].isNotNull())
+        d2 = lambda p: p["near"]["d"] * p["near"]["d"] + (p["col"] - c).cast("long") * (p["col"] - c).cast("long")
+        return F.array_min(F.transform(known_, lambda p: F.struct(d2(p).alias("d2"), p["near"]["row"].alias("row"), p["col"].alias("col"), p["near"]["value"].alias("value"))))["value"]
+
+    found = asked.join(rows, "row").select("row", F.explode(F.transform("cols", lambda c: F.struct(c.alias("col"), nearest(c).alias(value)))).alias("c"))
+    return found.select("row", "c.col", F.col(f"c.{value}").alias(value)).filter(F.col(value).isNotNull())
 
 
 def raster_mode(cells: DataFrame, factor: int, n_rows: int, n_cols: int, value: str = "region_id") -> DataFrame:
@@ -217,24 +232,23 @@ def nearest_in_grids(points: DataFrame, grids: DataFrame, id_col: str) -> DataFr
 
     The axes of a grid are two short arrays, so one row of them for each grid meets
     the points; the cells meet them on their indices."""
-    axes = grids.groupBy("grid_id").agg(F.array_sort(F.collect_set(F.struct("ilat", "lat"))).alias("__lat"), F.array_sort(F.collect_set(F.struct("ilon", "lon"))).alias("__lon"))
+    axis = lambda v, i: F.collect_set(F.struct(F.col(v).alias("at"), F.col(i).alias("i")))
+    axes = grids.groupBy("grid_id").agg(axis("lat", "ilat").alias("__lat"), axis("lon", "ilon").alias("__lon"))
+    axes = axes.withColumns({"__lat": axis_values(F.col("__lat")), "__lon": axis_values(F.col("__lon"), periodic=True)})
+    longest = 1 << 20  # halvings for axes of any length in use
     met = points.join(axes, "grid_id")
-    lat, lon = F.col("lat"), to_360(F.col("lon"))
-    around = lambda a: F.least(F.abs(to_360(a) - lon), 360.0 - F.abs(to_360(a) - lon))
-    ilat = F.array_min(F.transform("__lat", lambda a: F.struct(F.abs(a.lat - lat).alias("d"), a.ilat.alias("i"))))["i"]
-    ilon = F.array_min(F.transform("__lon", lambda a: F.struct(around(a.lon).alias("d"), a.ilon.alias("i"))))["i"]
+    ilat, ilon = nearest_in_axis(F.col("lat"), F.col("__lat"), longest), nearest_in_axis(F.col("lon"), F.col("__lon"), longest, periodic=True)
     at = met.select(id_col, "grid_id", ilat.alias("ilat"), ilon.alias("ilon"))
     return at.join(grids.select("grid_id", "ilat", "ilon", "value"), ["grid_id", "ilat", "ilon"]).select(id_col, "value")
 
 
-def value_by_family(points: DataFrame, regular: DataFrame, curvilinear: DataFrame | None, id_col: str, reach: float = 1.0) -> DataFrame:
+def value_by_family(points: DataFrame, regular: DataFrame, curvilinear: DataFrame | None, id_col: str) -> DataFrame:
     """points' values from the regular grids and, for the others, from the
     curvilinear grid of their family (nearest cell in degrees); NULL where a family
     has no grid.  J19b: without a curvilinear grid only the regular ones count."""
     found = nearest_in_grids(points, regular, id_col)
     if curvilinear is not None:
-        own = points.join(curvilinear.select("grid_id").distinct(), "grid_id", "left_semi")
-        cells = curvilinear.select(F.struct("ilat", "ilon", "value").alias("cell_id"), "lat", "lon")
-        near = nearest_any(own, cells, id_col, reach)
+        cells = curvilinear.select("grid_id", F.struct("ilat", "ilon", "value").alias("cell_id"), "lat", "lon")
+        near = nearest_places(points, cells, id_col, by=["grid_id"])
         found = found.unionByName(near.select(id_col, F.col("cell_id.value").alias("value")))
     return points.select(id_col, "grid_id").join(found, id_col, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import geo, scalar
 from ..operators import coverage, generation, quality, ranking, risk, scenario, spatial, stats
-from ..sources import readers, sinks, synth
+from ..sources import readers, scratch, sinks, synth
 from . import views
 from .oracle import ORACLE_SQL
 
@@ -121,10 +121,8 @@ def q08_rotated_domain(spark, sf_dir):
 
 def q09_point_in_polygon(spark, sf_dir):
     """J5 J5b T9."""
-    s, edges = views.sites(spark, sf_dir).select("site_id", "lon", "lat"), views.polygons(spark)
-    covers = spatial.in_polygons(s, edges, "site_id").withColumnRenamed("polygon", "covers")
-    contains = spatial.in_polygons(s, edges, "site_id", boundary=False, default=spatial.OUTSIDE).select("site_id", F.col("polygon").alias("contains"))
-    return covers.join(contains, "site_id").select("site_id", "covers", "contains")
+    found = spatial.polygons_at(views.sites(spark, sf_dir).select("site_id", "lon", "lat"), views.polygons(spark))
+    return found.select("site_id", "covers", F.coalesce("contains", F.lit(spatial.OUTSIDE)).alias("contains"))
 
 
 def q09b_named_polygons(spark, sf_dir):
@@ -155,7 +153,7 @@ def q11_nearest_axis(spark, sf_dir):
 
 def q11b_nearest_point(spark, sf_dir):
     """Each site's nearest station, however far, and whether it is nearer than 0.3 degrees."""
-    found = spatial.nearest_any(views.sites(spark, sf_dir), table_places(spark, sf_dir), "site_id", 3.0)
+    found = spatial.nearest_any(views.sites(spark, sf_dir), table_places(spark, sf_dir), "site_id")
     return rounded(found.withColumn("near", F.col("distance") < 0.3))
 
 
@@ -488,7 +486,7 @@ def q43_value_by_family(spark, sf_dir):
     bent = c.select(F.lit("bent").alias("grid_id"), F.col("row").alias("ilat"), F.col("col").alias("ilon"), (84.0 - 10.0 * F.col("row") + 0.07 * F.col("col")).alias("lat"), (4.0 + 9.5 * F.col("col") + 0.11 * F.col("row")).alias("lon"), F.col("region_id").cast("double").alias("value"))
     family = F.element_at(F.array(*map(F.lit, ["even", "third", "bent", "none"])), (F.col("site_id") % 4 + 1).cast("int"))
     points = views.sites(spark, sf_dir).select("site_id", "lon", "lat", family.alias("grid_id"))
-    return spatial.value_by_family(points, regular, bent, "site_id", 6.0)
+    return spatial.value_by_family(points, regular, bent, "site_id")
 
 
 def q37_value_counts(spark, sf_dir):
@@ -573,7 +571,7 @@ def q44d_station_selection(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that all machines share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/windrose-{uuid.uuid4().hex}"
+    return f"{scratch.folder(spark)}/windrose-{uuid.uuid4().hex}"
 
 
 def _as_padded_csv(df: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
-"""Tables that are written for a while, in a folder that all machines share."""
+"""Tables that are written for a while, in a folder that all machines share, and how
+small ones are dealt out."""
 
 from __future__ import annotations
 
@@ -32,3 +33,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores where it lies in fewer partitions than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
