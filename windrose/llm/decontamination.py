@@ -3,18 +3,22 @@
 Words are what ``WORD`` matches after lower-casing A-Z.  A window is ``n``
 consecutive words of an item, or a shorter item as a whole.  The hash set holds
 4-gram hashes taken from every item at a stride such that each window has one
-(shorter windows: the hash of all their words).  It goes to every task as a hash set
-in the plan.  Documents are scanned with it; where it hits, the windows around are
-compared with the benchmark's as strings, so a hash collision never counts.
-
-The set's size is counted.  Beyond ``max_set`` entries it goes in as many parts, each
-of them a scan of the documents, so that no set grows with the benchmark; nothing of
-the documents but their candidate windows is shuffled.  Windows are broadcast while
-there are at most ``max_windows`` of them, and otherwise join the candidates.
+(shorter windows: the hash of all their words).  It is broadcast as the hash table of a
+join, which every gram of every document is looked up in as it is scanned; grams that
+aren't in it go no further.  Where one is, the windows around it are compared with the
+benchmark's as strings, so a hash collision never counts.
+
+The set's size is counted: up to ``max_set`` entries of 16 bytes or so are broadcast, and
+a larger set goes in as many parts, each a scan of the documents whose hits are written
+before the next part is sent.  Nothing of the set passes through the driver but what
+Spark broadcasts, and nothing of the documents is shuffled but hits and candidate windows.
+Windows are broadcast while they are at most ``max_windows`` and ``max_bytes`` of text,
+and otherwise join the candidates.
 
 Null and empty texts have no words, are never contaminated and are kept; items
 without words have no windows; repeated documents or items count as such.
-Either table may be empty.  Other columns than the ids and texts aren't read.
+Either table may be empty.  Other columns than the ids and texts aren't read.  The scans
+run while the result is being built.
 """
 
 from __future__ import annotations
@@ -73,25 +77,23 @@ def _windows(items: DataFrame, n: int) -> DataFrame:
     return items.filter("n_words > 0").select("item", "words", size.alias("len"), F.explode(starts).alias("at")).select("item", "at", "len", F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " ").alias("window"))
 
 
-def _candidates(hashes: dict[int, list[int]], spans: dict[int, list[tuple[int, int]]]) -> Column:
-    """Starts and lengths of the windows to compare: an array of structs."""
-    n_words = F.col("n_words")
-
-    def hits(array: str, entries: list[int]) -> Column:
-        listed = ", ".join(f"{x}L" for x in entries)  # as text, which takes large sets at once; a hash set in the plan
-        return F.expr(f"filter(sequence(0, greatest(size({array}) - 1, 0)), i -> get({array}, i) IN ({listed}))")
+def _grams(hashed: DataFrame, sizes: list[int]) -> DataFrame:
+    """``row, k, i, x``: the hash of the k words from i on, for each size k."""
+    each = lambda k: F.transform(f"h{k}", lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x.alias("x")))
+    every = F.concat(*map(each, sizes)) if len(sizes) > 1 else each(sizes[0])
+    return hashed.select("row", F.explode(every).alias("g")).select("row", "g.k", "g.i", "g.x")
 
-    def around(at: Column, size: int, back: int) -> Column:
-        steps = F.array(*(F.lit(x) for x in range(back + 1)))
-        near = F.flatten(F.transform(at, lambda i: F.transform(steps, lambda s: i - s)))
-        fits = F.filter(F.array_distinct(near), lambda s: (s >= 0) & (s + size <= n_words))
-        return F.transform(fits, lambda s: F.struct(s.alias("at"), F.lit(size).alias("len")))
 
-    found = [around(hits(f"h{k}", entries), *span) for k, entries in hashes.items() for span in spans[k]]
-    return F.concat(*found)
+def _around(spans: dict[int, list[tuple[int, int]]]) -> Column:
+    """Of a hit ``k, i``: starts and lengths of the windows that may hold it."""
+    steps = lambda size, back: F.transform(F.sequence(F.lit(0), F.lit(back)), lambda s: F.struct((F.col("i") - s).alias("at"), F.lit(size).alias("len")))
+    found = F.lit(None).cast("array<struct<at:int,len:int>>")
+    for k, own in spans.items():
+        found = F.when(F.col("k") == k, F.concat(*(steps(*span) for span in own))).otherwise(found)
+    return found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 100_000, max_windows: int = 200_000, row_col: str | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 2_000_000, max_windows: int = 200_000, max_bytes: int = 64 << 20, row_col: str | None = None) -> DataFrame:
     """``doc_id, row, n_words, n_hit, items, spans`` for each row of docs; items:
     sorted ids, as strings, of the items with an occurring window; spans: structs
     of ``at`` and ``len``, in words; row: row_col, else a number."""
@@ -99,47 +101,46 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         raise ValueError(f"n must be {GRAM} at least")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("parts")).select("item", _trimmed(F.col("parts")).alias("words"))
     items = gram_hashes(items, [1, 2, 3, 4]).filter("n_words > 0")
-    long = F.col("n_words") >= GRAM
     stride = n - GRAM + 1
     picks = F.filter(F.transform("h4", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s.i % stride == 0)
-    marks = items.select(
-        F.least(F.col("n_words"), F.lit(n)).alias("len"),
-        F.explode(F.when(F.col("n_words") >= n, F.transform(picks, lambda s: s.x)).when(long, F.slice("h4", 1, 1)).when(F.col("n_words") == 3, F.col("h3")).when(F.col("n_words") == 2, F.col("h2")).otherwise(F.col("h1"))).alias("x"),
-    ).distinct()
-    marks = written(marks)
-    n_parts = max(1, -(-marks.count() // max_set))
-    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    source = docs
-    if row_col is None:  # several scans need rows that they agree on
-        source, row = (spread(docs), row) if n_parts == 1 else (numbered(docs, "__contaminated_row"), F.col("__contaminated_row"))
-    base = source.select(F.col(id_col).alias("doc_id"), row.alias("row"), words(F.col(text_col)).alias("parts")).select("doc_id", "row", _trimmed(F.col("parts")).alias("words"))
-    lengths = sorted(r.len for r in marks.select("len").distinct().collect())  # n of them at most
+    short = F.when(F.col("n_words") >= GRAM, F.slice("h4", 1, 1)).when(F.col("n_words") == 3, F.col("h3")).when(F.col("n_words") == 2, F.col("h2")).otherwise(F.col("h1"))
+    len_ = F.least(F.col("n_words"), F.lit(n))
+    marks = written(items.select(len_.alias("len"), F.explode(F.when(F.col("n_words") >= n, F.transform(picks, lambda s: s.x)).otherwise(short)).alias("x")).distinct())
+    lengths = {r.len: r.n for r in marks.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n of them at most
     spans: dict[int, list[tuple[int, int]]] = {}
-    for size in lengths:
+    for size in sorted(lengths):
         spans.setdefault(min(size, GRAM), []).append((size, stride - 1 if size == n else 0))
-    hashed = gram_hashes(base, sorted(spans)) if lengths else base.withColumn("n_words", F.size("words"))
-    window = lambda c: F.struct(c.at.alias("at"), c.len.alias("len"), F.array_join(F.slice("words", c.at + 1, c.len), " ").alias("window"))
-    tried = None
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    source = spread(picked if row_col else numbered(picked, "row"))
+    split = lambda df, *columns: df.select(*columns, words(F.col("text")).alias("parts")).select(*columns, _trimmed(F.col("parts")).alias("words"))
+    base = split(source, "doc_id", "row")
+    counted = base.select("doc_id", "row", F.size("words").alias("n_words"))
+    hits = None
+    n_parts = -(-sum(lengths.values()) // max_set)
     for part in range(n_parts):
-        own = marks.filter(F.pmod(F.xxhash64("x"), F.lit(n_parts)) == part).collect() if lengths else []  # some max_set rows
-        entries = {k: sorted({r.x for r in own if min(r.len, GRAM) == k}) for k in spans}
-        entries = {k: v for k, v in entries.items() if v}
-        found = _candidates(entries, spans) if entries else F.array().cast("array<struct<at:int,len:int>>")
-        scanned = hashed.select("doc_id", "row", "n_words", "words", found.alias("found"))
-        every = F.explode_outer if not part else F.explode  # the first scan keeps documents without a hit
-        here = scanned.select("doc_id", "row", "n_words", every(F.transform("found", window)).alias("c"))
-        tried = here if tried is None else tried.unionByName(here)
+        own = marks.filter(F.pmod(F.xxhash64("x"), F.lit(n_parts)) == part).select(F.least("len", F.lit(GRAM)).alias("k"), "x").distinct()  # some max_set rows
+        met = _grams(gram_hashes(base, sorted(spans)), sorted(spans)).join(F.broadcast(own), ["x", "k"], "left_semi")
+        here = written(met.select("row", "k", "i"))
+        hits = here if hits is None else hits.unionByName(here)
+    if hits is None:
+        none = F.lit(None)
+        return counted.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.coalesce(none.cast("array<string>"), F.array()).alias("items"), F.coalesce(none.cast("array<struct<at:int,len:int>>"), F.array()).alias("spans"))
+    tried = written(hits.select("row", F.explode(_around(spans)).alias("c")).filter("c.at >= 0").groupBy("row").agg(F.collect_set("c").alias("found")))
+    window = lambda c: F.struct(c.at.alias("at"), c.len.alias("len"), F.array_join(F.slice("words", c.at + 1, c.len), " ").alias("window"))
+    if tried.count() <= max_windows:
+        tried = F.broadcast(tried)
+    fits = F.filter("found", lambda c: c.at + c.len <= F.size("words"))
+    texts = split(source.join(tried, "row"), "row", "found").select("row", F.explode(F.transform(fits, window)).alias("c")).select("row", "c.*")
     windows = written(_windows(items, n).select("item", F.col("len").alias("w_len"), F.col("window").alias("w")).distinct())
-    if windows.count() <= max_windows:
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("w")), F.lit(0)).alias("bytes")).first()
+    if size.n <= max_windows and size.bytes <= max_bytes:
         windows = F.broadcast(windows)
-    hits = tried.select("doc_id", "row", "n_words", F.col("c.at").alias("at"), F.col("c.len").alias("len"), F.col("c.window").alias("window")).join(windows, (F.col("window") == F.col("w")) & (F.col("len") == F.col("w_len")), "left")
-    hit = F.col("item").isNotNull() | F.col("w").isNotNull()
-    found = hits.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.when(hit, F.struct("at", "len")))).alias("spans")
-    )
+    same = texts.join(windows, (F.col("window") == F.col("w")) & (F.col("len") == F.col("w_len")))
+    found = written(same.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans")))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a.end, s.at + s.len).alias("end"), (a.n + F.greatest(s.at + s.len - F.greatest(a.end, s.at), F.lit(0))).alias("n")), lambda a: a.n)
-    return found.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", "spans")
+    out = counted.join(found, "row", "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<at:int,len:int>>"))})
+    return out.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", "spans")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw) -> DataFrame:
