@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, known
 from ..functions import constants as K
+from ..sources.scratch import written
 
 #: Columns that tell the power files apart.
 FILE_KEYS = ["technology", "climate_ssp"]
@@ -25,13 +26,20 @@ def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("
     station counts if it is active in the year, has data in the year, a positive
     capacity and a country.
 
-    time: keys, year, month, step_idx of each step, where such a table exists; else
-    the steps are those that occur in power, which is scanned once more for them."""
+    power is scanned once: its rows are summed by station and, in the same aggregation,
+    by step, and that is written while the result is being built.  time: keys, year,
+    month, step_idx of each step, where such a table exists."""
     keys, by = list(keys), list(by)
     monthly = "month" in by
     value = known(F.col("power_gw"))
-    steps = (power if time is None else time).select(*keys, *by, "step_idx").distinct().groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
-    sums = power.groupBy(*keys, "station_idx", *by).agg(F.sum(value).alias("total"), F.count(value).alias("n_known"))
+    figures = F.sum(value).alias("total"), F.count(value).alias("n_known")
+    if time is None:
+        sets = [[*keys, *by, "station_idx"], [*keys, *by, "step_idx"]]
+        both = written(power.groupingSets(sets, *keys, *by, "station_idx", "step_idx").agg(F.grouping("station_idx").alias("__step"), *figures))
+        sums, each = both.filter("__step = 0").drop("__step", "step_idx"), both.filter("__step = 1")
+    else:
+        sums, each = power.groupBy(*keys, "station_idx", *by).agg(*figures), time.select(*keys, *by, "step_idx").distinct()
+    steps = each.groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
     if monthly:  # data in any month of the year make the others count as 0
         year = sums.groupBy(*keys, "station_idx", "year").agg(F.sum("n_known").alias("n_year"))
         sums = sums.join(year, [*keys, "station_idx", "year"]).withColumn("n_known", F.col("n_year"))

@@ -182,8 +182,10 @@ def q12b_grid_by_region(spark, sf_dir):
 
 
 def q13_raster_mode(spark, sf_dir):
-    """Blocks of five cells; the last column block is partial and cut off."""
-    return spatial.raster_mode(views.cells(spark), 5, views.N_ROWS, views.N_COLS)
+    """Regions of the cells under sites, in blocks of five; the last column block is
+    partial and cut off."""
+    found = _located(views.sites(spark, sf_dir)).groupBy("row", "col").agg((F.sum("site_id") % 5).cast("int").alias("region_id"))
+    return spatial.raster_mode(found, 5, views.N_ROWS, views.N_COLS)
 
 
 def q14_zero_nan_quality(spark, sf_dir):
@@ -427,10 +429,12 @@ def q31_pv_density(spark, sf_dir):
 
 
 def q32_ssp_normaliser(spark, sf_dir):
-    """F16 F16b F21."""
-    names = ["SSP1-2.6", "ssp126", "SSP 2 4.5", "ssp2_4_5", "ssp585", "SSP5-8.5", "ssp560", "SSP5-6.0", "SSP370x", "history", "results/ssp245/x.csv"]
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    return df.select("name", scalar.ssp_code(F.col("name")).alias("code"))
+    """Parts named with a scenario in one of many spellings."""
+    key = F.col("p_partkey")
+    spelt = F.element_at(F.array(*map(F.lit, views.SPELLINGS)), (key % len(views.SPELLINGS) + 1).cast("int"))
+    path = F.concat(F.lit("results/"), F.when(key % 2 == 0, spelt).otherwise("all"), F.lit("/stations_"), key.cast("string"), F.lit(".csv"))
+    named = views.table(spark, sf_dir, "part").select(key.alias("part"), F.concat_ws(" ", spelt, F.regexp_replace("p_name", "[0-9]", "")).alias("name"), path.alias("path"))
+    return named.select("part", scalar.ssp_code(F.col("name")).alias("code"), scalar.ssp_from_path(F.col("path")).alias("path_code"))
 
 
 def q33_set_difference(spark, sf_dir):
@@ -507,26 +511,35 @@ def q38b_shared_limits(spark, sf_dir):
 
 
 def q39_boundary_points(spark, sf_dir):
-    """a hundred points round each rectangle."""
-    pts = views.boxes(spark).select("name", F.explode(geo.boundary(geo.to_180(F.col("west")), geo.to_180(F.col("east")), F.col("south"), F.col("north"), 25)).alias("p"))
-    return rounded(pts.select("name", "p.side", "p.step", "p.lon", "p.lat"))
+    """a hundred points round the sites of each nation."""
+    low, high = (lambda c: F.min(c)), (lambda c: F.max(c))
+    boxes = views.sites(spark, sf_dir).groupBy("nation_key").agg(low("lon").alias("west"), high("lon").alias("east"), low("lat").alias("south"), high("lat").alias("north"))
+    pts = boxes.select("nation_key", F.explode(geo.boundary(F.col("west"), F.col("east"), F.col("south"), F.col("north"), 25)).alias("p"))
+    return rounded(pts.select("nation_key", "p.side", "p.step", "p.lon", "p.lat"))
 
 
 def q40_cell_centres(spark, sf_dir):
-    """Cells in column-major order."""
-    rows, cols = spark.range(12).select(F.col("id").alias("row")), spark.range(20).select(F.col("id").alias("col"))
+    """the one-degree cells with a site, their centres, in column-major order."""
+    s = views.sites(spark, sf_dir)
+    found = s.select(spatial.raster_index(90.0 - F.col("lat"), 0.0, 1.0, 180).alias("row"), spatial.raster_index(F.col("lon") + 180.0, 0.0, 1.0, 360).alias("col")).groupBy("row", "col").agg(F.count("*").alias("n"))
     lon, lat = geo.cell_centre(F.col("row"), F.col("col"))
-    return spatial.mesh(rows, cols).select("row", "col", lon.alias("lon"), lat.alias("lat"), (F.col("col") * 12 + F.col("row")).alias("rank"))
+    return found.select("row", "col", "n", lon.alias("lon"), lat.alias("lat"), (F.col("col") * 180 + F.col("row")).alias("rank"))
 
 
 def q41_multipliers(spark, sf_dir):
-    """F11 F12 F12b F12c F13 F14 J21."""
-    dims = spark.createDataFrame([(s, y, t) for s in K.SSPS for y in K.YEARS for t in K.TECHS], "ssp string, year int, technology string").crossJoin(spark.range(1, 13).select(F.col("id").cast("int").alias("month")))
-    s, y, t, m = (F.col(c) for c in ("ssp", "year", "technology", "month"))
+    """Every nation under every technology, scenario and
+    month, with the power that its stations have there, if any."""
+    p = views.power(spark, sf_dir).join(views.stations(spark, sf_dir).select("station_idx", "country"), "station_idx")
+    sums = p.groupBy("country", "technology", F.col("climate_ssp").alias("ssp"), "month").agg(F.sum("power_gw").alias("power")).withColumn("year", F.element_at(F.array(*map(F.lit, K.YEARS)), F.col("month") % 3 + 1))
+    sums = scratch.written(sums)  # its axes and its values
+    axis = lambda *c: sums.select(*c).distinct()
+    dims = views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("country")).crossJoin(axis("technology")).crossJoin(axis("ssp")).crossJoin(axis("month", "year"))
+    met = dims.join(sums.drop("year"), ["country", "technology", "ssp", "month"], "left").withColumn("power", F.coalesce("power", F.lit(0.0)))
+    s, y, t, m, w = (F.col(c) for c in ("ssp", "year", "technology", "month", "power"))
     return rounded(
-        dims.select(
-            s, y, t, m, scalar.deployment_multiplier(s, y).alias("deployment"), scalar.hazard_multiplier(s, y).alias("hazard"), scalar.cf_multiplier(t, s, y).alias("cf"), scalar.season(t, m).alias("season"),
-            scalar.days_in_month(m).alias("days"), scalar.sigmoid(m / 3.0).alias("sigmoid"), scalar.annual_generation(m * 1.5, F.lit(0.25)).alias("generation"),
+        met.select(
+            "country", s, y, t, m, scalar.deployment_multiplier(s, y).alias("deployment"), scalar.hazard_multiplier(s, y).alias("hazard"), scalar.cf_multiplier(t, s, y).alias("cf"), scalar.season(t, m).alias("season"),
+            scalar.days_in_month(m).alias("days"), scalar.sigmoid(w / 100.0).alias("sigmoid"), scalar.annual_generation(w, F.lit(0.25)).alias("generation"),
         )
     )
 
@@ -603,5 +616,49 @@ def q45b_region_files(spark, sf_dir):
     return rounded(rows.unionByName(more.withColumn("region_id", F.col("region_id").cast("int"))).drop("region_name"))
 
 
+def q46_published_rounding(spark, sf_dir):
+    """Halves go to the even neighbour, in the decimals of the published tables."""
+    q = F.col("l_quantity").cast("double")
+    ties = views.table(spark, sf_dir, "lineitem").groupBy(q.alias("q")).agg(F.count("*").alias("n"))
+    q = F.col("q")
+    out = [scalar.half_even(q + 0.5, 0).alias("whole"), scalar.half_even(q / 8, 2).alias("hundredths"), scalar.half_even(q / 32 * -1, 4).alias("negative"), scalar.half_even(q / 16, 3).alias("thousandths")]
+    return ties.select("q", "n", *out)
+
+
+def q46b_published_tables(spark, sf_dir):
+    """capacity, factor and generation with 4, 6 and 3 decimals."""
+    return generation.with_output_rounding(_annual(spark, sf_dir))
+
+
+def q47_power_files(spark, sf_dir):
+    """SRC1 SRC12b U1: power written as files by technology and scenario, not a number
+    where it is missing, and read again as the union of both technologies' files."""
+    root = _scratch(spark)
+    p = views.power(spark, sf_dir).withColumn("power_gw", F.coalesce(F.col("power_gw").cast("double"), F.lit(float("nan"))))
+    p.write.partitionBy("technology", "climate_ssp").parquet(root)
+    solar, wind = (readers.power(spark, f"{root}/technology={t}").withColumn("technology", F.lit(t)) for t in ("solar", "wind"))
+    return rounded(generation.station_period(solar.unionByName(wind), views.stations(spark, sf_dir)))
+
+
+def q48_station_files(spark, sf_dir):
+    """SRC8 SRC8b SRC8c P6b: sites in a padded CSV file, some without a capacity and some
+    of a kind or year that isn't known; read for all years and for one."""
+    path = f"{_scratch(spark)}/stations.csv"
+    kind = F.when(F.col("site_id") % 7 == 0, "tidal").otherwise(F.col("technology"))
+    year = F.when(F.col("site_id") % 11 == 0, 2035).otherwise(F.col("year"))
+    capacity = F.when(F.col("site_id") % 5 == 0, F.lit("")).otherwise(F.col("capacity_gw").cast("string"))
+    _as_padded_csv(_dated_sites(spark, sf_dir).select(year.alias("year"), kind.alias("type"), "lon", "lat", capacity.alias("capacity_gw")), path)
+    report = lambda name, years: readers.stations(spark, path, years).groupBy("type", "year").agg(F.count("*").alias("n"), F.sum("capacity_gw").alias("capacity_gw"), F.min("lon").alias("west")).withColumn("choice", F.lit(name))
+    return rounded(report("all", None).unionByName(report("one", [2040])))
+
+
+def q48b_plain_files(spark, sf_dir):
+    """SRC10: a table of the library in plain CSV."""
+    path = f"{_scratch(spark)}/facilities.csv"
+    s = views.sites(spark, sf_dir).select("technology", "lon", "lat", F.when(F.col("site_id") % 3 > 0, F.col("site_id") * 10.0).alias("area_m2"), "capacity_gw")
+    s.write.csv(path, header=True)
+    return rounded(readers.plain_csv(spark, path, "facilities").groupBy("technology").agg(F.count("*").alias("n"), F.count("area_m2").alias("n_area"), F.sum("area_m2").alias("area_m2"), F.sum("capacity_gw").alias("capacity_gw")), 4)
+
+
 QUERIES = {k: v for k, v in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit() and callable(v)}
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

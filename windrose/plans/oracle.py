@@ -58,6 +58,11 @@ def _in(box: str = "b", lon: str = "lon360", lat: str = "lat") -> str:
     return f"({lat} <= {box}.north AND {lat} >= {box}.south AND CASE WHEN {box}.west <= {box}.east THEN {lon} >= {box}.west AND {lon} <= {box}.east ELSE {lon} >= {box}.west OR {lon} <= {box}.east END)"
 
 
+def _code(name: str) -> str:
+    return f"""CASE WHEN regexp_matches(lower({name}), '1.?2.?6') THEN 'ssp126' WHEN regexp_matches(lower({name}), '2.?4.?5') THEN 'ssp245' WHEN regexp_matches(lower({name}), '5.?8.?5') OR regexp_matches(lower({name}), '5.?6.?0') THEN 'ssp585'
+               WHEN regexp_matches(lower({name}), 'ssp[0-9]{{3}}') THEN 'ssp' || regexp_extract(lower({name}), 'ssp([0-9]{{3}})', 1) ELSE {name} END"""
+
+
 _BOXES = f"v_box AS (SELECT * FROM {_values(views.BOXES, 'ordinal, name, north, west, south, east')})"
 _AREAS = f"v_area AS (SELECT * FROM {_values([(i, *a) for i, a in enumerate(K.AREAS)], 'ordinal, name, north, west, south, east')})"
 
@@ -157,7 +162,8 @@ ORACLE_SQL = {
         o AS (SELECT row, col, sum(cap) AS cap, bool_or(technology = 'solar') AS s, bool_or(technology = 'wind') AS w, bool_or(cap > 5) AS k FROM p GROUP BY ALL)
         SELECT region_id, count(*) AS n_cells, count(*) FILTER (s) AS n_solar, count(*) FILTER (w) AS n_wind, count(*) FILTER (s OR w) AS n_any, count(*) FILTER (k) AS n_covered, round(coalesce(sum(cap), 0), 6) AS capacity_gw
         FROM v_cell LEFT JOIN o USING (row, col) WHERE region_id > 0 GROUP BY region_id""",
-    "q13_raster_mode": f"""WITH {_CELL}, b AS (SELECT row // 5 AS row, col // 5 AS col, region_id, count(*) AS n FROM v_cell WHERE row < 15 AND col < 35 GROUP BY ALL),
+    "q13_raster_mode": f"""WITH {_SITE}, k AS (SELECT {_RC}, site_id FROM v_at), g AS (SELECT row, col, CAST(sum(site_id) % 5 AS INT) AS region_id FROM k GROUP BY ALL),
+        b AS (SELECT CAST(row // 5 AS INT) AS row, CAST(col // 5 AS INT) AS col, region_id, count(*) AS n FROM g WHERE row < 15 AND col < 35 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY region_id = 0, n DESC, region_id) AS k FROM b) SELECT row, col, region_id FROM r WHERE k = 1""",
     "q14_zero_nan_quality": f"""WITH {_POWER}, s AS (SELECT technology, climate_ssp, CASE WHEN deploy_ssp = 'ssp585' THEN 'nodata' WHEN power IS NULL OR power = 0 THEN 'bad' ELSE 'ok' END AS s FROM v_power)
         SELECT technology, climate_ssp, count(*) AS n, count(*) FILTER (s = 'bad') AS n_bad, count(*) FILTER (s = 'ok') AS n_ok, count(*) FILTER (s = 'nodata') AS n_nodata,
@@ -248,9 +254,10 @@ ORACLE_SQL = {
         SELECT site_id, round(lon360, 6) AS lon360, round((((lon * 2.0 + 180.0) % 360.0 + 360.0) % 360.0) - 180.0, 6) AS lon180, round(pv, 6) AS pv_density, round(cap * 1e6 / 1e6 * pv / 1000, 6) AS polygon_gw, round(0.0023552::DOUBLE, 6) AS turbine_gw,
                round(CASE WHEN technology = 'solar' THEN 74.0 WHEN cap * 20.0 > 100 THEN 4.6 ELSE 2.7 END::DOUBLE * 0.4 * (abs(cap) * 100.0) / 1000, 6) AS grid_gw,
                round(degrees(lon * 100000.0 / 6378137.0), 6) AS x, round(degrees(2 * atan(exp(lat * 100000.0 / 6378137.0)) - pi() / 2), 6) AS y FROM d""",
-    "q32_ssp_normaliser": """WITH n AS (SELECT * FROM (VALUES ('SSP1-2.6'), ('ssp126'), ('SSP 2 4.5'), ('ssp2_4_5'), ('ssp585'), ('SSP5-8.5'), ('ssp560'), ('SSP5-6.0'), ('SSP370x'), ('history'), ('results/ssp245/x.csv')) t(name))
-        SELECT name, CASE WHEN regexp_matches(lower(name), '1.?2.?6') THEN 'ssp126' WHEN regexp_matches(lower(name), '2.?4.?5') THEN 'ssp245' WHEN regexp_matches(lower(name), '5.?8.?5') OR regexp_matches(lower(name), '5.?6.?0') THEN 'ssp585'
-               WHEN regexp_matches(lower(name), 'ssp[0-9]{3}') THEN 'ssp' || regexp_extract(lower(name), 'ssp([0-9]{3})', 1) ELSE name END AS code FROM n""",
+    "q32_ssp_normaliser": f"""WITH e AS (SELECT list_value({", ".join("'" + x + "'" for x in views.SPELLINGS)}) AS l), p AS (SELECT p_partkey AS part, l[p_partkey % {len(views.SPELLINGS)} + 1] AS spelt, regexp_replace(p_name, '[0-9]', '', 'g') AS rest FROM part, e),
+        n AS (SELECT part, spelt || ' ' || rest AS name, 'results/' || CASE WHEN part % 2 = 0 THEN spelt ELSE 'all' END || '/stations_' || part || '.csv' AS path FROM p),
+        f AS (SELECT *, regexp_extract(lower(path), '(ssp[0-9.\\-]+)', 1) AS found FROM n)
+        SELECT part, {_code('name')} AS code, CASE WHEN found <> '' THEN {_code('found')} ELSE CAST(part AS VARCHAR) END AS path_code FROM f""",
     "q33_set_difference": """WITH rich AS (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 7000)
         SELECT n_name, 'missing' AS side FROM (SELECT n_name FROM nation EXCEPT SELECT n_name FROM rich) UNION ALL SELECT n_name, 'common' FROM (SELECT n_name FROM nation INTERSECT SELECT n_name FROM rich)""",
     "q34_matrix_deviation": f"""WITH {_annual(_BOTH)}, g AS (SELECT {_BOTH}, sum(capacity_mw * capacity_factor) / sum(capacity_mw) AS w FROM v_annual GROUP BY ALL)
@@ -266,15 +273,19 @@ ORACLE_SQL = {
     "q37_value_counts": f"WITH {_POWER} SELECT technology, climate_ssp, count(*) AS n, count(DISTINCT station_idx) AS n_stations FROM v_power WHERE climate_ssp <> 'ssp245' AND power IS NOT NULL GROUP BY ALL",
     "q38_padded_range": f"""WITH {_annual()}, r AS (SELECT technology, min(log10(generation_mwh)) AS a, max(log10(generation_mwh)) AS b FROM v_annual WHERE generation_mwh > 0 GROUP BY ALL)
         SELECT technology, round(a - (b - a) * 0.08, 6) AS low, round(b + (b - a) * 0.08, 6) AS high FROM r""",
-    "q39_boundary_points": f"""WITH {_BOXES}, d AS (SELECT name, CASE WHEN west >= 180 THEN west - 360 ELSE west END AS w, CASE WHEN east >= 180 THEN east - 360 ELSE east END AS e, south AS s, north AS n FROM v_box),
+    "q39_boundary_points": f"""WITH {_SITE}, d AS (SELECT nation_key, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM v_site GROUP BY ALL),
         p AS (SELECT *, CAST(side AS INT) AS sd, CAST(k AS INT) AS st, k / 24.0::DOUBLE AS f FROM d, range(4) a(side), range(25) b(k))
-        SELECT name, sd AS side, st AS step, round(CASE sd WHEN 0 THEN w + (e - w) * f WHEN 1 THEN e WHEN 2 THEN e + (w - e) * f ELSE w END, 6) AS lon, round(CASE sd WHEN 0 THEN n WHEN 1 THEN n + (s - n) * f WHEN 2 THEN s ELSE s + (n - s) * f END, 6) AS lat FROM p""",
-    "q40_cell_centres": "SELECT r AS row, c AS col, c - 179.5::DOUBLE AS lon, 89.5::DOUBLE - r AS lat, c * 12 + r AS rank FROM range(12) AS a(r), range(20) AS b(c)",
-    "q41_multipliers": f"""WITH s AS (SELECT * FROM {_values([(s, K.DEPLOY_SSP_FACTOR[s], K.HAZARD_SSP_FACTOR[s], K.CF_SSP_EFFECT['solar'][s], K.CF_SSP_EFFECT['wind'][s]) for s in K.SSPS], 'ssp, d, h, cs, cw')}),
-        y AS (SELECT * FROM {_values([(y, K.DEPLOY_YEAR_FACTOR[y], K.YEAR_PROGRESS[y]) for y in K.YEARS], 'year, f, p')}), m AS (SELECT * FROM {_values([(i, n) for i, n in enumerate(K.DAYS_IN_MONTH, 1)], 'month, days')})
-        SELECT ssp, year, technology, month, round(f * d, 6) AS deployment, round(1 + (h - 1) * p, 6) AS hazard, round(1 + CASE technology WHEN 'solar' THEN cs ELSE cw END * p, 6) AS cf,
-               round(CASE technology WHEN 'solar' THEN 1 + 0.18 * sin((month - 3) / 12.0 * 2 * pi()) ELSE 1 + 0.12 * cos((month - 1) / 12.0 * 2 * pi()) END, 6) AS season, days, round(1 / (1 + exp(-(month / 3.0::DOUBLE))), 6) AS sigmoid,
-               round(month * 1.5 * 8760 * 0.25, 6) AS generation FROM s, y, m, (VALUES ('wind'), ('solar')) t(technology)""",
+        SELECT nation_key, sd AS side, st AS step, round(CASE sd WHEN 0 THEN w + (e - w) * f WHEN 1 THEN e WHEN 2 THEN e + (w - e) * f ELSE w END, 6) AS lon, round(CASE sd WHEN 0 THEN n WHEN 1 THEN n + (s - n) * f WHEN 2 THEN s ELSE s + (n - s) * f END, 6) AS lat FROM p""",
+    "q40_cell_centres": f"""WITH {_SITE}, c AS (SELECT CAST(least(greatest(floor(90.0::DOUBLE - lat), 0), 179) AS INT) AS row, CAST(least(greatest(floor(lon + 180.0::DOUBLE), 0), 359) AS INT) AS col, count(*) AS n FROM v_site GROUP BY ALL)
+        SELECT row, col, n, col - 179.5::DOUBLE AS lon, 89.5::DOUBLE - row AS lat, col * 180 + row AS rank FROM c""",
+    "q41_multipliers": f"""WITH {_POWER}, {_STATION}, s AS (SELECT * FROM {_values([(s, K.DEPLOY_SSP_FACTOR[s], K.HAZARD_SSP_FACTOR[s], K.CF_SSP_EFFECT['solar'][s], K.CF_SSP_EFFECT['wind'][s]) for s in K.SSPS], 'ssp, d, h, cs, cw')}),
+        y AS (SELECT * FROM {_values([(y, K.DEPLOY_YEAR_FACTOR[y], K.YEAR_PROGRESS[y]) for y in K.YEARS], 'year, f, p')}), m AS (SELECT * FROM {_values([(i, n) for i, n in enumerate(K.DAYS_IN_MONTH, 1)], 'month, days')}),
+        g AS (SELECT country, technology, climate_ssp AS ssp, month, sum(power) AS w FROM v_power JOIN v_station USING (station_idx) GROUP BY ALL),
+        x AS (SELECT n_name AS country, technology, ssp, year, month, days, d, h, cs, cw, f, p FROM nation, (SELECT DISTINCT technology FROM g), (SELECT DISTINCT month FROM g) JOIN m USING (month) JOIN y ON y.year = [2030, 2040, 2050][month % 3 + 1], s WHERE ssp IN (SELECT ssp FROM g)),
+        v AS (SELECT x.*, coalesce(w, 0) AS w FROM x LEFT JOIN g USING (country, technology, ssp, month))
+        SELECT country, ssp, year, technology, month, round(f * d, 6) AS deployment, round(1 + (h - 1) * p, 6) AS hazard, round(1 + CASE technology WHEN 'solar' THEN cs ELSE cw END * p, 6) AS cf,
+               round(CASE technology WHEN 'solar' THEN 1 + 0.18 * sin((month - 3) / 12.0 * 2 * pi()) ELSE 1 + 0.12 * cos((month - 1) / 12.0 * 2 * pi()) END, 6) AS season, days, round(1 / (1 + exp(-(w / 100.0::DOUBLE))), 6) AS sigmoid,
+               round(w * 8760 * 0.25, 6) AS generation FROM v""",
     "q36b_zero_cf_stations": f"""WITH {_POWER}, {_STATION}, p AS (SELECT *, CASE WHEN power > 0.02 * month THEN 0 * power END AS v FROM v_power WHERE year = 1999),
         t AS (SELECT technology, climate_ssp, station_idx FROM p GROUP BY ALL HAVING count(v) > 0 AND sum(v) = 0)
         SELECT technology, climate_ssp, station_idx, CASE WHEN active <= 2030 THEN 2030 WHEN active <= 2040 THEN 2040 ELSE 2050 END AS bucket FROM t JOIN v_station USING (station_idx) WHERE cap > 0 AND active <= 1999""",
@@ -303,6 +314,16 @@ ORACLE_SQL = {
         UNION ALL SELECT 'country', country, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(count(*) AS DOUBLE), 4) FROM p JOIN v_station USING (station_idx) GROUP BY ALL
         UNION ALL SELECT 'family', name, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(greatest(count(*), 1) AS DOUBLE), 4) FROM p JOIN f USING (climate_ssp) GROUP BY ALL""",
     "q44d_station_selection": f"WITH {_SITE} SELECT CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year, technology AS type, printf('%.1f', lon) AS lon, printf('%.1f', lat) AS lat, printf('%.4f', floor(cap * 64.0::DOUBLE) / 64.0::DOUBLE + 0.00001::DOUBLE) AS capacity_gw FROM v_site",
+    "q46_published_rounding": """WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS q, count(*) AS n FROM lineitem GROUP BY ALL)
+        SELECT q, n, CAST(round_even(q + 0.5, 0) AS DOUBLE) AS whole, CAST(round_even(q / 8, 2) AS DOUBLE) AS hundredths, CAST(round_even(q / 32 * -1, 4) AS DOUBLE) AS negative, CAST(round_even(q / 16, 3) AS DOUBLE) AS thousandths FROM t""",
+    "q46b_published_tables": f"WITH {_annual()} SELECT technology, climate_ssp, year, station_idx, country, n_steps, CAST(round_even(capacity_mw, 4) AS DOUBLE) AS capacity_mw, CAST(round_even(capacity_factor, 6) AS DOUBLE) AS capacity_factor, CAST(round_even(generation_mwh, 3) AS DOUBLE) AS generation_mwh FROM v_annual",
+    "q47_power_files": f"WITH {_annual()} SELECT technology, climate_ssp, year, {_Q01_COLUMNS} FROM v_annual",
+    "q48_station_files": f"""WITH {_SITE}, d AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS own_year FROM v_site),
+        r AS (SELECT CASE WHEN site_id % 7 = 0 THEN 'tidal' ELSE technology END AS type, CASE WHEN site_id % 11 = 0 THEN 2035 ELSE own_year END AS year, lon, CASE WHEN site_id % 5 = 0 THEN 0 ELSE cap END AS cap FROM d),
+        k AS (SELECT * FROM r WHERE type IN ('solar', 'wind') AND year IN (2030, 2040, 2050))
+        SELECT type, CAST(year AS INT) AS year, count(*) AS n, round(sum(cap), 6) AS capacity_gw, round(min(lon), 6) AS west, 'all' AS choice FROM k GROUP BY ALL
+        UNION ALL SELECT type, CAST(year AS INT), count(*), round(sum(cap), 6), round(min(lon), 6), 'one' FROM k WHERE year = 2040 GROUP BY ALL""",
+    "q48b_plain_files": f"WITH {_SITE} SELECT technology, count(*) AS n, count(*) FILTER (site_id % 3 > 0) AS n_area, round(sum(site_id * 10.0::DOUBLE) FILTER (site_id % 3 > 0), 4) AS area_m2, round(sum(cap), 4) AS capacity_gw FROM v_site GROUP BY technology",
     "q45_model_files": f"""WITH {_COUNTRY}, b AS (SELECT technology, year, avg(mean_cf) AS base FROM v_country WHERE climate_ssp = 'ssp126' GROUP BY ALL), m AS (SELECT climate_ssp, technology, year, count(*) AS n, avg(mean_cf) AS cf FROM v_country GROUP BY ALL)
         SELECT climate_ssp AS model, technology AS energy, year, n, round(cf, 6) AS mean_cf, round(base, 6) AS base_cf FROM m LEFT JOIN b USING (technology, year)""",
     "q45b_region_files": f"""WITH {_SITE}, {_AREAS}, {_inside('v_area')}, d AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year FROM v_in), c AS (SELECT year, nation_key AS region_id, {_COVER} FROM d GROUP BY ALL)

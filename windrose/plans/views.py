@@ -25,6 +25,8 @@ POLYGONS = [
     (1, "kite", 0.0, -40.0, 80.0, 0.0), (1, "kite", 80.0, 0.0, 0.0, 60.0), (1, "kite", 0.0, 60.0, -10.0, 0.0), (1, "kite", -10.0, 0.0, 0.0, -40.0),
     (2, "inner", -60.0, -10.0, -40.0, -10.0), (2, "inner", -40.0, -10.0, -50.0, 15.0), (2, "inner", -50.0, 15.0, -60.0, -10.0),
 ]
+#: Scenarios as files and folders spell them.
+SPELLINGS = ["SSP1-2.6", "ssp126", "SSP 2 4.5", "ssp2_4_5", "ssp585", "SSP5-8.5", "ssp560", "SSP5-6.0", "SSP370x", "history", "ssp245"]
 LAT_AXIS = [-60.0 + 7.5 * i for i in range(20)]
 LON_AXIS = [12.0 * i for i in range(30)]
 
