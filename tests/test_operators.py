@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrose.functions import geo, scalar
-from windrose.operators import cover, coverage, generation, nearest, order_stats, quality, ranking, risk, scenario, spatial, stats
+from windrose.operators import cover, coverage, generation, nearest, order_stats, quality, ranking, rings, risk, scenario, spatial, stats
 
 NAN = float("nan")
 
@@ -469,6 +469,46 @@ def test_filling_equals_brute_force(spark):
     assert spatial.fill_background(spark.createDataFrame([(0, 0, 0)], "row int, col int, v int"), spark.createDataFrame([(0, 0)], "row int, col int"), "v").count() == 0
 
 
+def rings_by_hand(cells):
+    """Rings of each value as lists of corners, walked side by side."""
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    out = []
+    for value in {v for v in cells.values() if v is not None}:
+        own = {k for k, v in cells.items() if v == value}
+        sides = {(r + a, c + b, d) for r, c in own for d, ((a, b), (i, j)) in enumerate(zip([(0, 0), (0, 1), (1, 1), (1, 0)], [(-1, 0), (0, 1), (1, 0), (0, -1)], strict=True)) if (r + i, c + j) not in own}
+        while sides:
+            at = start = min(sides)
+            ring = []
+            while True:
+                sides.discard(at)
+                y, x, d = at
+                ring.append(at)
+                y, x = y + steps[d][0], x + steps[d][1]
+                at = next((y, x, t % 4) for t in (d + 1, d, d + 3) if (y, x, t % 4) in sides or (y, x, t % 4) == start)
+                if at == start:
+                    break
+            corners = [(y, x) for k, (y, x, d) in enumerate(ring) if ring[k - 1][2] != d]
+            area = sum(x0 * y1 - x1 * y0 for (y0, x0), (y1, x1) in zip(corners, corners[1:] + corners[:1], strict=True))
+            out.append((value, area < 0, tuple(corners)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.95])
+def test_region_rings(spark, share):
+    """Noise with corners that only touch, rings in rings, missing cells and a frame."""
+    rng = random.Random(int(share * 10))
+    cells = {(r, c): rng.choice([1, 2]) if rng.random() < share else rng.choice([0, None]) for r in range(-2, 12) for c in range(5, 19)}
+    cells |= {(r, c): 7 if max(abs(r - 30), abs(c - 30)) in (2, 4) else 8 for r in range(25, 36) for c in range(25, 36)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row int, col int, v int")
+    found = {}
+    for r in rings.region_rings(df, "v").collect():
+        found.setdefault((r.value, r.hole, r.ring), []).append((r.seq, r.y, r.x))
+    got = sorted((v, hole, tuple((y, x) for _, y, x in sorted(own))) for (v, hole, _), own in found.items())
+    assert got == rings_by_hand(cells)
+    assert sum(v == 7 and hole for v, hole, _ in got) == 2
+    assert rings.region_rings(df.limit(0), "v").count() == 0
+
+
 @pytest.mark.parametrize("periodic", [False, True])
 def test_long_axes(spark, periodic):
     rng = random.Random(8)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo, scalar
-from ..operators import coverage, generation, quality, ranking, risk, scenario, spatial, stats
+from ..operators import coverage, generation, quality, ranking, rings, risk, scenario, spatial, stats
 from ..sources import readers, scratch, sinks, synth
 from . import views
 from .oracle import ORACLE_SQL
@@ -188,6 +188,12 @@ def q13_raster_mode(spark, sf_dir):
     return spatial.raster_mode(found, 5, views.N_ROWS, views.N_COLS)
 
 
+def q13b_region_rings(spark, sf_dir):
+    """Rings around the cells under sites by region, holes told apart."""
+    found = _located(views.sites(spark, sf_dir)).groupBy("row", "col").agg((F.sum("site_id") % 3).cast("int").alias("region_id"))
+    return rings.region_rings(found, "region_id").withColumnRenamed("value", "region_id")
+
+
 def q14_zero_nan_quality(spark, sf_dir):
     """A11 F24 P11."""
     df = views.power(spark, sf_dir)

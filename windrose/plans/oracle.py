@@ -165,6 +165,15 @@ ORACLE_SQL = {
     "q13_raster_mode": f"""WITH {_SITE}, k AS (SELECT {_RC}, site_id FROM v_at), g AS (SELECT row, col, CAST(sum(site_id) % 5 AS INT) AS region_id FROM k GROUP BY ALL),
         b AS (SELECT CAST(row // 5 AS INT) AS row, CAST(col // 5 AS INT) AS col, region_id, count(*) AS n FROM g WHERE row < 15 AND col < 35 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY region_id = 0, n DESC, region_id) AS k FROM b) SELECT row, col, region_id FROM r WHERE k = 1""",
+    "q13b_region_rings": f"""WITH RECURSIVE {_SITE}, k AS (SELECT {_RC}, site_id FROM v_at), g AS MATERIALIZED (SELECT row AS r, col AS c, CAST(sum(site_id) % 3 AS INT) AS v FROM k GROUP BY ALL),
+        way AS (SELECT * FROM (VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 0), (2, 1, 0, 1, 1, 0, -1), (3, 0, -1, 1, 0, -1, 0)) t(d, nr, nc, a, b, dy, dx)),
+        s AS MATERIALIZED (SELECT g.v, g.r + a AS y, g.c + b AS x, d, g.r + a + dy AS yy, g.c + b + dx AS xx FROM g CROSS JOIN way LEFT JOIN g AS o ON o.r = g.r + nr AND o.c = g.c + nc AND o.v = g.v WHERE o.v IS NULL),
+        e AS MATERIALIZED (SELECT s.*, (s.y - min(s.y) OVER ()) * (max(s.x) OVER () - min(s.x) OVER () + 1) * 4 + (s.x - min(s.x) OVER ()) * 4 + s.d AS id FROM s),
+        n AS MATERIALIZED (SELECT e.id, e.v, e.d, e.y, e.x, e.yy, e.xx, arg_min(o.id, (o.d - e.d + 6) % 4 * -1) AS nx, arg_min(o.d, (o.d - e.d + 6) % 4 * -1) <> e.d AS turns FROM e JOIN e AS o ON o.v = e.v AND o.y = e.yy AND o.x = e.xx GROUP BY e.id, e.v, e.d, e.y, e.x, e.yy, e.xx),
+        w(head, here, seq) AS (SELECT id, id, 0 FROM n UNION ALL SELECT w.head, n.nx, w.seq + 1 FROM w JOIN n ON n.id = w.here WHERE n.nx > w.head),
+        done AS (SELECT w.head AS ring, max(w.seq) AS last FROM w GROUP BY w.head), closed AS (SELECT done.ring, last FROM done JOIN w ON w.head = done.ring AND w.seq = done.last JOIN n ON n.id = w.here WHERE n.nx = done.ring),
+        a AS (SELECT w.head AS ring, sum(n.x * n.yy - n.xx * n.y) AS area FROM w JOIN closed ON closed.ring = w.head JOIN n ON n.id = w.here GROUP BY ALL)
+        SELECT n.v AS region_id, w.head AS ring, a.area < 0 AS hole, CAST(w.seq AS BIGINT) AS seq, n.x, n.y FROM w JOIN closed ON closed.ring = w.head JOIN a ON a.ring = w.head JOIN n ON n.id = w.here JOIN (SELECT DISTINCT nx FROM n WHERE turns) t ON t.nx = n.id""",
     "q14_zero_nan_quality": f"""WITH {_POWER}, s AS (SELECT technology, climate_ssp, CASE WHEN deploy_ssp = 'ssp585' THEN 'nodata' WHEN power IS NULL OR power = 0 THEN 'bad' ELSE 'ok' END AS s FROM v_power)
         SELECT technology, climate_ssp, count(*) AS n, count(*) FILTER (s = 'bad') AS n_bad, count(*) FILTER (s = 'ok') AS n_ok, count(*) FILTER (s = 'nodata') AS n_nodata,
                round(count(*) FILTER (s = 'bad') / CAST(nullif(count(*) FILTER (s <> 'nodata'), 0) AS DOUBLE), 6) AS bad_ratio FROM s GROUP BY ALL""",
