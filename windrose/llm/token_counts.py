@@ -2,9 +2,9 @@
 
 Tier one is a table of the corpus's most frequent pre-tokens with their lengths
 in tokens.  It is found by one pass over all documents: each task keeps bounded
-lossy counts and reports its heaviest entries as one row; these summaries are merged
-in a tree, ``fan_in`` at a time, and cut to the same size after each merge.  The table
-has at most ``frequent`` entries of at most ``KEPT`` characters, so its broadcast is
+lossy counts and reports its few thousand heaviest entries as one row; these summaries
+are merged in a tree, ``fan_in`` at a time, and cut after each merge to what the table
+holds.  It has at most ``frequent`` entries of at most ``KEPT`` characters, so its broadcast is
 bounded whatever the corpus.  Tier two is a cache in each worker, bounded in bytes, that
 holds what the first tier misses, encoded by the tokenizer library in batches.  Longer
 chunks, as in scripts without spaces, are encoded and not kept.  Which entries a tier
@@ -137,10 +137,11 @@ def _merged(report: int):
     return run
 
 
-def frequent_chunks(docs: DataFrame, text_col: str = "text", frequent: int = 32_768, capacity: int = 200_000, fan_in: int = 16) -> list[str]:
-    """The chunks that tasks report most often over all documents, at most ``frequent``."""
+def frequent_chunks(docs: DataFrame, text_col: str = "text", frequent: int = 32_768, capacity: int = 200_000, fan_in: int = 16, report: int = 4096) -> list[str]:
+    """The chunks that tasks report most often over all documents, at most ``frequent``;
+    each task reports its ``report`` heaviest."""
     texts = docs.select(F.col(text_col).alias("text"))
-    found, parts = texts.mapInArrow(_heavy(capacity, frequent), _SUMMARY), texts.rdd.getNumPartitions()
+    found, parts = texts.mapInArrow(_heavy(capacity, min(report, frequent)), _SUMMARY), texts.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // fan_in)
         found = found.withColumn("part", F.floor(F.col("part") / fan_in)).repartition("part").sortWithinPartitions("part").mapInArrow(_merged(frequent), _SUMMARY)
