@@ -15,6 +15,40 @@ from ..sources.scratch import written
 FILE_KEYS = ["technology", "climate_ssp"]
 
 
+def power_figures(power: DataFrame, by: Sequence[str], keys: Sequence[str] = FILE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """By file keys and period, each station's sum of known values and their
+    number, and the time steps that occur.  Both come from one scan and one aggregation,
+    which is written while the result is being built."""
+    value = known(F.col("power_gw"))
+    groups = [*keys, *by]
+    both = power.groupingSets([[*groups, "station_idx"], [*groups, "step_idx"]], *groups, "station_idx", "step_idx")
+    both = written(both.agg(F.grouping("station_idx").alias("__step"), F.sum(value).alias("total"), F.count(value).alias("n_known")))
+    return both.filter("__step = 0").select(*groups, "station_idx", "total", "n_known"), both.filter("__step = 1").select(*groups, "step_idx")
+
+
+def yearly_figures(sums: DataFrame, steps: DataFrame, keys: Sequence[str] = FILE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """The same by year from those by month."""
+    year = sums.groupBy(*keys, "year", "station_idx").agg(F.sum("total").alias("total"), F.sum("n_known").alias("n_known"))
+    return year, steps.select(*keys, "year", "step_idx").distinct()
+
+
+def from_figures(sums: DataFrame, steps: DataFrame, stations: DataFrame, by: Sequence[str] = ("year",), keys: Sequence[str] = FILE_KEYS, dt_hours: float = 3.0) -> DataFrame:
+    """See ``station_period``."""
+    keys, by = list(keys), list(by)
+    counted = steps.groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
+    if "month" in by:  # data in any month of the year make the others count as 0
+        year = sums.groupBy(*keys, "station_idx", "year").agg(F.sum("n_known").alias("n_year"))
+        sums = sums.join(year, [*keys, "station_idx", "year"]).withColumn("n_known", F.col("n_year"))
+    able = stations.filter((F.col("capacity_gw") > 0) & F.col("country").isNotNull())
+    own = ["station_idx", *(k for k in keys if k in stations.columns)]
+    met = sums.filter("n_known > 0").join(able, own).filter(F.col("activation_year") <= F.col("year")).join(counted, [*keys, *by])
+    total = F.coalesce("total", F.lit(0.0))
+    return met.select(
+        *keys, "station_idx", *by, "country", F.col("n_steps"), (F.col("capacity_gw") * 1000).alias("capacity_mw"),
+        (total / (F.col("n_steps") * F.col("capacity_gw"))).alias("capacity_factor"), (total * dt_hours * 1000).alias("generation_mwh"),
+    )
+
+
 def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("year",), keys: Sequence[str] = FILE_KEYS, dt_hours: float = 3.0, time: DataFrame | None = None) -> DataFrame:
     """Capacity factor and generation of each station and
     period (year, or year and month).
@@ -26,31 +60,16 @@ def station_period(power: DataFrame, stations: DataFrame, by: Sequence[str] = ("
     station counts if it is active in the year, has data in the year, a positive
     capacity and a country.
 
-    power is scanned once: its rows are summed by station and, in the same aggregation,
-    by step, and that is written while the result is being built.  time: keys, year,
-    month, step_idx of each step, where such a table exists."""
+    power is scanned once, see ``power_figures``.  time: keys, year, month, step_idx of
+    each step, where such a table exists; then nothing is written."""
     keys, by = list(keys), list(by)
-    monthly = "month" in by
-    value = known(F.col("power_gw"))
-    figures = F.sum(value).alias("total"), F.count(value).alias("n_known")
     if time is None:
-        sets = [[*keys, *by, "station_idx"], [*keys, *by, "step_idx"]]
-        both = written(power.groupingSets(sets, *keys, *by, "station_idx", "step_idx").agg(F.grouping("station_idx").alias("__step"), *figures))
-        sums, each = both.filter("__step = 0").drop("__step", "step_idx"), both.filter("__step = 1")
+        sums, steps = power_figures(power, by, keys)
     else:
-        sums, each = power.groupBy(*keys, "station_idx", *by).agg(*figures), time.select(*keys, *by, "step_idx").distinct()
-    steps = each.groupBy(*keys, *by).agg(F.count("*").alias("n_steps"))
-    if monthly:  # data in any month of the year make the others count as 0
-        year = sums.groupBy(*keys, "station_idx", "year").agg(F.sum("n_known").alias("n_year"))
-        sums = sums.join(year, [*keys, "station_idx", "year"]).withColumn("n_known", F.col("n_year"))
-    able = stations.filter((F.col("capacity_gw") > 0) & F.col("country").isNotNull())
-    own = ["station_idx", *(k for k in keys if k in stations.columns)]
-    met = sums.filter("n_known > 0").join(able, own).filter(F.col("activation_year") <= F.col("year")).join(steps, [*keys, *by])
-    total = F.coalesce("total", F.lit(0.0))
-    return met.select(
-        *keys, "station_idx", *by, "country", F.col("n_steps"), (F.col("capacity_gw") * 1000).alias("capacity_mw"),
-        (total / (F.col("n_steps") * F.col("capacity_gw"))).alias("capacity_factor"), (total * dt_hours * 1000).alias("generation_mwh"),
-    )
+        value = known(F.col("power_gw"))
+        sums = power.groupBy(*keys, "station_idx", *by).agg(F.sum(value).alias("total"), F.count(value).alias("n_known"))
+        steps = time.select(*keys, *by, "step_idx").distinct()
+    return from_figures(sums, steps, stations, by, keys, dt_hours)
 
 
 def with_output_rounding(df: DataFrame) -> DataFrame:

@@ -30,13 +30,15 @@ def located(stations: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 def station_tables(power: DataFrame, stations: DataFrame, years: Sequence[int] = K.YEARS, ssps: Sequence[str] = K.SSPS, dt_hours: float = 3.0, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
     """``station_annual, station_monthly, country_annual``: deployment and climate
-    agree in these tables, by the way they are made (T19).  keep: writes a table and
-    reads it again, so that the time steps and the annual table are made once."""
+    agree in these tables, by the way they are made (T19).  power is scanned once, for
+    sums and steps by month, which those by year follow from.  keep: writes a table and
+    reads it again, so that the annual table is made once."""
     chosen = power.filter(F.col("year").isin(list(years)) & F.col("climate_ssp").isin(list(ssps)))
-    time = keep("time_steps", chosen.select(*FILE_KEYS, "year", "month", "step_idx").distinct())
+    monthly = generation.power_figures(chosen, ["year", "month"], FILE_KEYS)
+    figures = {"station_monthly": monthly, "station_annual": generation.yearly_figures(*monthly, FILE_KEYS)}
     out = {}
     for name, by, word in (("station_annual", ("year",), "annual"), ("station_monthly", ("year", "month"), "monthly")):
-        df = generation.with_output_rounding(generation.station_period(chosen, stations, by, FILE_KEYS, dt_hours, time))
+        df = generation.with_output_rounding(generation.from_figures(*figures[name], stations, by, FILE_KEYS, dt_hours))
         out[name] = keep(name, df.select(
             station_key(F.col("technology"), F.col("climate_ssp"), F.col("region"), F.col("station_idx")).alias("station_id"), "country", "technology", F.col("climate_ssp").alias("deploy_ssp"), "climate_ssp",
             F.col("year").alias("target_year"), *(["month"] if "month" in by else []), "capacity_mw", F.col("capacity_factor").alias(f"{word}_capacity_factor"), F.col("generation_mwh").alias(f"{word}_generation_mwh"),
@@ -47,8 +49,8 @@ def station_tables(power: DataFrame, stations: DataFrame, years: Sequence[int] =
 
 
 def prepare(spark: SparkSession, power: str, stations: str, out: str, polygons: str | None = None, years: Sequence[int] = K.YEARS, ssps: Sequence[str] = K.SSPS, dt_hours: float = 3.0) -> dict[str, int]:
-    """From power and station tables to the three result tables (and that of the time
-    steps), each written as it is made; their row counts."""
+    """From power and station tables to the three result tables, each written as it is
+    made; their row counts."""
     edges = spark.read.parquet(polygons) if polygons else None
     counts: dict[str, int] = {}
 
