@@ -94,9 +94,18 @@ def test_the_rest_works_without_this_package(tmp_path):
     for name in ("windrose", "__spark_entry__.py"):
         source = ROOT / name
         shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    assert done.returncode == 0, done.stderr[-800:]
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+q = e.queries()
+assert q and not any(k.startswith("op") or k == "pipeline" for k in q) and e.oracle_sql()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "kept")!r}).getOrCreate()
+print("rows", *(q[k](spark, "/root/testdata/sf0.001").count() for k in ("q01_station_annual_cf", "q24_quadrants", "q09_point_in_polygon")))
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    rows = [int(n) for n in done.stdout.partition("rows ")[2].split()]
+    assert len(rows) == 3 and all(rows), done.stderr[-1500:]
 
 
 def test_ids_are_whole(spark, corpus):

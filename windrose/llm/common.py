@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+from ..sources.scratch import written as as_table
+
 #: Bytes of text that a worker handles at a time, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
 
@@ -45,15 +47,10 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
-def keep_tables(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the context has none: the one that the session
-    names, else one in its warehouse, which the machines of a cluster share."""
+def keep_tables(spark: SparkSession) -> str:
+    """The checkpoint folder, which all machines share; set where the context has none."""
     ship(spark)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{sc.applicationId}")
+    return folder(spark)
 
 
 def _bare_scan(docs: DataFrame) -> bool:
@@ -89,10 +86,8 @@ def saved(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder: as saved(), but compact
     and read by column."""
-    keep_tables(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    return as_table(df)
 
 
 def frequent(counts: DataFrame, limit: int, n: str = "n") -> Column:

@@ -202,6 +202,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     symbols, known: frequent words that are emitted, and that are broadcast with
     their counts; rounds: of Baum-Welch at most, where that is wanted; least: gain in log10 of a token's
     likelihood that is worth another round; starters: documents for its start."""
+    if not 0 < symbols + SHAPES < 1 << 16:
+        raise ValueError(f"symbols must be from 1 to {(1 << 16) - SHAPES - 1}")
     spark = docs.sparkSession
     picked = two_columns(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", folds))
     train = picked.filter(~F.col("held_out"))

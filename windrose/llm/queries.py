@@ -27,42 +27,52 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the whole texts with begin and end, as digests, and what they decode to."""
     return encode_decode(spread(table(spark, sf_dir, "documents")), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 13 of the benchmark, items that occur, and whether a twentieth is hit.  Builds by running its scans."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a text is toxic, learned outside one fold in four.  Builds by fitting on its sample."""
     return toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left where windows of 35 that start elsewhere too are gone.  Builds by running its sketches."""
     return substring_dedup(spread(table(spark, sf_dir, "documents")), keep_text=False)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of each group of texts that are equal but for blanks."""
     return exact_dedup(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left where later windows of three lines are gone."""
     return line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov scores beside those of single words, learned outside one fold in seven.  Builds by training."""
     return lm_scores(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and bytes of the whole texts, and which are over 1,024.  Builds by counting frequent chunks."""
     return token_counts(spread(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest language of each text, learned outside one fold in four.  Builds by fitting on its sample."""
     return language_id(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and components at three bits.  Builds by rounds of components."""
     return simhash_classes(spread(table(spark, sf_dir, "documents")))
 
 
