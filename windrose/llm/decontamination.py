@@ -93,10 +93,10 @@ def _around(spans: dict[int, list[tuple[int, int]]]) -> Column:
     return found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 2_000_000, max_windows: int = 200_000, max_bytes: int = 64 << 20, row_col: str | None = None) -> DataFrame:
-    """``doc_id, row, n_words, n_hit, items, spans`` for each row of docs; items:
-    sorted ids, as strings, of the items with an occurring window; spans: structs
-    of ``at`` and ``len``, in words; row: row_col, else a number."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_set: int = 2_000_000, max_windows: int = 200_000, max_bytes: int = 64 << 20, row_col: str | None = None, hit_only: bool = False) -> DataFrame:
+    """``doc_id, row, n_words, n_hit, items, spans`` for each row of docs, or for those
+    with an occurring window only; items: sorted ids, as strings, of the items with one;
+    spans: structs of ``at`` and ``len``, in words; row: row_col, else a number."""
     if n < GRAM:
         raise ValueError(f"n must be {GRAM} at least")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("parts")).select("item", _trimmed(F.col("parts")).alias("words"))
@@ -124,10 +124,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         hits = here if hits is None else hits.unionByName(here)
     if hits is None:
         none = F.lit(None)
+        counted = counted.limit(0) if hit_only else counted
         return counted.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.coalesce(none.cast("array<string>"), F.array()).alias("items"), F.coalesce(none.cast("array<struct<at:int,len:int>>"), F.array()).alias("spans"))
     tried = written(hits.select("row", F.explode(_around(spans)).alias("c")).filter("c.at >= 0").groupBy("row").agg(F.collect_set("c").alias("found")))
     window = lambda c: F.struct(c.at.alias("at"), c.len.alias("len"), F.array_join(F.slice("words", c.at + 1, c.len), " ").alias("window"))
-    if tried.count() <= max_windows:
+    few = lambda df, array: (lambda r: r.n <= max_windows and r.size <= max_bytes // 16)(df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(array)), F.lit(0)).alias("size")).first())
+    if few(tried, "found"):
         tried = F.broadcast(tried)
     fits = F.filter("found", lambda c: c.at + c.len <= F.size("words"))
     texts = split(source.join(tried, "row"), "row", "found").select("row", F.explode(F.transform(fits, window)).alias("c")).select("row", "c.*")
@@ -139,7 +141,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = written(same.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans")))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a.end, s.at + s.len).alias("end"), (a.n + F.greatest(s.at + s.len - F.greatest(a.end, s.at), F.lit(0))).alias("n")), lambda a: a.n)
-    out = counted.join(found, "row", "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<at:int,len:int>>"))})
+    if few(found, "spans"):
+        found = F.broadcast(found)
+    if hit_only:
+        out = split(source.join(found, "row"), "doc_id", "row", "items", "spans").withColumn("n_words", F.size("words"))
+    else:
+        out = counted.join(found, "row", "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast("array<struct<at:int,len:int>>"))})
     return out.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", "spans")
 
 
@@ -158,7 +165,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     name = "__contaminated_row"
     rows = numbered(docs, name)
     # written, so that its size is known: a small one is broadcast and texts stay where they are
-    bad = written(contamination(rows, benchmark, id_col=id_col, row_col=name, **kw).filter("contaminated").select(F.col("row").alias(name)))
+    bad = written(contamination(rows, benchmark, id_col=id_col, row_col=name, hit_only=True, **kw).filter("contaminated").select(F.col("row").alias(name)))
     return rows.join(bad, name, "left_anti").select(*docs.columns)
 
 
@@ -167,7 +174,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     from the texts; the rest of a text stays as it is, and a null text null."""
     name, spans = "__contaminated_row", "__contaminated_spans"
     rows = numbered(docs, name)
-    found = find_contamination(rows, benchmark, text_col=text_col, row_col=name, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
+    found = find_contamination(rows, benchmark, text_col=text_col, row_col=name, hit_only=True, **kw).filter("n_hit > 0").select(F.col("row").alias(name), F.col("spans").alias(spans))
     # words and what is between them in turn; A-Z are word characters here
     between = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{between}|{between.replace('[', '[^', 1)}"), F.lit(0))
