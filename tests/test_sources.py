@@ -126,3 +126,21 @@ def test_q42_runs_over_all_countries(spark):
 
     got = QUERIES["q42_study_losses"](spark, "")
     assert got.columns[0] == "country" and {r.country for r in got.select("country").distinct().collect()} == set(K.COUNTRIES)
+
+
+@pytest.mark.parametrize(("master", "warehouse", "named", "fails"), [("spark://a:7077", "file:/data/w", None, True), ("yarn", "/data/w", None, True), ("yarn", "hdfs://a/w", None, False), ("local[4]", "/data/w", None, False), ("yarn", "/data/w", "hdfs://a/c", False)])
+def test_a_cluster_needs_a_shared_folder(master, warehouse, named, fails):
+    from unittest.mock import MagicMock
+
+    from windrose.sources import scratch
+
+    spark = MagicMock()
+    spark.sparkContext.master = master
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    spark.conf.get = lambda key, default=None: {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": named}.get(key) or default
+    if fails:
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.folder(spark)
+    else:
+        scratch.folder(spark)
+        assert spark.sparkContext.setCheckpointDir.call_args[0][0].startswith(named or warehouse)
