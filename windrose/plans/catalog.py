@@ -435,7 +435,7 @@ def q31_pv_density(spark, sf_dir):
 
 
 def q32_ssp_normaliser(spark, sf_dir):
-    """Parts named with a scenario in one of many spellings."""
+    """Parts named with a scenario in one of many spellings."""
     key = F.col("p_partkey")
     spelt = F.element_at(F.array(*map(F.lit, views.SPELLINGS)), (key % len(views.SPELLINGS) + 1).cast("int"))
     path = F.concat(F.lit("results/"), F.when(key % 2 == 0, spelt).otherwise("all"), F.lit("/stations_"), key.cast("string"), F.lit(".csv"))
@@ -666,5 +666,19 @@ def q48b_plain_files(spark, sf_dir):
     return rounded(readers.plain_csv(spark, path, "facilities").groupBy("technology").agg(F.count("*").alias("n"), F.count("area_m2").alias("n_area"), F.sum("area_m2").alias("area_m2"), F.sum("capacity_gw").alias("capacity_gw")), 4)
 
 
+def q49_zero_denominators(spark, sf_dir):
+    """Ratios over denominators that are 0 in many rows, in ANSI mode."""
+    value, base = F.col("l_extendedprice"), F.col("l_discount")
+    df = views.table(spark, sf_dir, "lineitem").withColumns({"zero": scalar.ratio_or_zero(value, base), "null": scalar.ratio_or_null(value, base), "floor": scalar.ratio_floor_one(value, base), "change": scenario.percent_change(value, base)})
+    mean = [F.avg(c).alias(c) for c in ("zero", "null", "floor", "change")]
+    return rounded(df.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count("null").alias("n_null"), F.count("change").alias("n_change"), *mean), 4)
+
+
+def q49b_single_precision(spark, sf_dir):
+    """Power kept in single precision, summed in doubles."""
+    p = views.power(spark, sf_dir).withColumn("power_gw", F.col("power_gw").cast("float"))
+    return rounded(generation.totals(generation.station_period(p, views.stations(spark, sf_dir)), ["country", "technology"], "generation_mwh"), 2)
+
+
 QUERIES = {k: v for k, v in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit() and callable(v)}
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

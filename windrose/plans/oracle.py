@@ -333,6 +333,10 @@ ORACLE_SQL = {
         SELECT type, CAST(year AS INT) AS year, count(*) AS n, round(sum(cap), 6) AS capacity_gw, round(min(lon), 6) AS west, 'all' AS choice FROM k GROUP BY ALL
         UNION ALL SELECT type, CAST(year AS INT), count(*), round(sum(cap), 6), round(min(lon), 6), 'one' FROM k WHERE year = 2040 GROUP BY ALL""",
     "q48b_plain_files": f"WITH {_SITE} SELECT technology, count(*) AS n, count(*) FILTER (site_id % 3 > 0) AS n_area, round(sum(site_id * 10.0::DOUBLE) FILTER (site_id % 3 > 0), 4) AS area_m2, round(sum(cap), 4) AS capacity_gw FROM v_site GROUP BY technology",
+    "q49_zero_denominators": """SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_discount <> 0) AS n_null, count(*) FILTER (l_discount <> 0) AS n_change,
+        round(avg(CASE WHEN l_discount <> 0 THEN l_extendedprice / l_discount ELSE 0 END), 4) AS zero, round(avg(l_extendedprice / l_discount) FILTER (l_discount <> 0), 4) AS "null",
+        round(avg(l_extendedprice / greatest(l_discount, 1)), 4) AS floor, round(avg((l_extendedprice - l_discount) / l_discount * 100) FILTER (l_discount <> 0), 4) AS change FROM lineitem GROUP BY ALL""",
+    "q49b_single_precision": f"WITH {_annual().replace('l_discount * l_quantity END AS power', 'CAST(CAST(l_discount * l_quantity AS FLOAT) AS DOUBLE) END AS power')} SELECT country, technology, round(sum(generation_mwh), 2) AS generation_mwh FROM v_annual GROUP BY ALL",
     "q45_model_files": f"""WITH {_COUNTRY}, b AS (SELECT technology, year, avg(mean_cf) AS base FROM v_country WHERE climate_ssp = 'ssp126' GROUP BY ALL), m AS (SELECT climate_ssp, technology, year, count(*) AS n, avg(mean_cf) AS cf FROM v_country GROUP BY ALL)
         SELECT climate_ssp AS model, technology AS energy, year, n, round(cf, 6) AS mean_cf, round(base, 6) AS base_cf FROM m LEFT JOIN b USING (technology, year)""",
     "q45b_region_files": f"""WITH {_SITE}, {_AREAS}, {_inside('v_area')}, d AS (SELECT *, CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year FROM v_in), c AS (SELECT year, nation_key AS region_id, {_COVER} FROM d GROUP BY ALL)
