@@ -551,9 +551,19 @@ def q41_multipliers(spark, sf_dir):
 
 
 def q42_study_losses(spark, sf_dir):
-    """SRC13 SRC13b: an invented study's losses by technology and event."""
-    t = synth.study(spark, 42)
-    return rounded(t["country_technology_vulnerability"], 4)
+    """SRC13 SRC13b: losses by technology of the tables' stations under invented hazards of
+    their nations; draws follow from seed and keys."""
+    target = F.element_at(F.array(*map(F.lit, K.YEARS)), F.array_position(F.array(*map(F.lit, YEARS)), F.col("year")).cast("int"))
+    own = _annual(spark, sf_dir, BOTH).filter(F.col("year").isin(YEARS)).withColumn("target_year", target)
+    annual = scratch.written(own.select(
+        F.concat_ws("_", "station_idx", "technology", "year").alias("station_id"), "country", "technology", "deploy_ssp", "climate_ssp", "target_year", "capacity_mw",
+        F.col("capacity_factor").alias("annual_capacity_factor"), F.col("generation_mwh").alias("annual_generation_mwh"),
+    ))
+    nations = [r.n_name for r in views.table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]  # 25 of them
+    hazard = synth.event_hazard(synth.country_base(spark, 42, nations), 42)
+    places = annual.select("station_id").distinct().withColumn("station_extreme_weather_index", synth.Draws(42).uniform("local", "station_id", low=0.8, high=1.2))
+    losses = risk.losses(risk.exposures(places, annual, hazard), annual)
+    return rounded(risk.technology_vulnerability(risk.country_losses(losses)), 4)
 
 
 def _dated_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
