@@ -632,6 +632,21 @@ def q45b_region_files(spark, sf_dir):
     return rounded(rows.unionByName(more.withColumn("region_id", F.col("region_id").cast("int"))).drop("region_name"))
 
 
+def q45c_chosen_files(spark, sf_dir):
+    """SRC12 SRC12c SRC12d: results in a folder for each of two years; the last folder's
+    first file by pattern, and the file that covers a year."""
+    root = _scratch(spark)
+    rows = scratch.written(_country(spark, sf_dir).select(F.col("technology").alias("energy"), F.lit("m").alias("model"), F.col("climate_ssp").alias("scenario"), F.col("country").alias("region"), "year", "mean_cf"))
+    for year in YEARS[:2]:
+        _as_padded_csv(rows.filter(F.col("year") == year), f"{root}/results_{year}/cf_{year}.csv")
+    last = readers.first_existing(spark, readers.latest_results(spark, root), ["mean_*.csv", "cf_*.csv"])
+    spans = [(f"{root}/results_{y}/cf_{y}.csv", y, y + 1) for y in YEARS[:2]]
+    chosen = {"last": last, "covers": readers.file_for_year(spans, YEARS[1] + 1), "none_covers": readers.file_for_year(spans, 1900)}
+    tables = [readers.required(spark, path, "per_country_annual_cf").withColumn("choice", F.lit(name)) for name, path in chosen.items()]
+    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rounded(every.groupBy("choice", "energy", "scenario", "year").agg(F.count("*").alias("n"), F.avg("mean_cf").alias("mean_cf")))
+
+
 def q46_published_rounding(spark, sf_dir):
     """Halves go to the even neighbour, in the decimals of the published tables."""
     q = F.col("l_quantity").cast("double")

@@ -323,6 +323,8 @@ ORACLE_SQL = {
         UNION ALL SELECT 'country', country, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(count(*) AS DOUBLE), 4) FROM p JOIN v_station USING (station_idx) GROUP BY ALL
         UNION ALL SELECT 'family', name, count(*), count(*) FILTER (bad), round(count(*) FILTER (bad) / CAST(greatest(count(*), 1) AS DOUBLE), 4) FROM p JOIN f USING (climate_ssp) GROUP BY ALL""",
     "q44d_station_selection": f"WITH {_SITE} SELECT CASE site_id % 3 WHEN 0 THEN 2030 WHEN 1 THEN 2040 ELSE 2050 END AS year, technology AS type, printf('%.1f', lon) AS lon, printf('%.1f', lat) AS lat, printf('%.4f', floor(cap * 64.0::DOUBLE) / 64.0::DOUBLE + 0.00001::DOUBLE) AS capacity_gw FROM v_site",
+    "q45c_chosen_files": f"""WITH {_COUNTRY}, c AS (SELECT * FROM (VALUES ('last', 1998), ('covers', 1998), ('none_covers', 1996)) t(choice, year))
+        SELECT choice, technology AS energy, climate_ssp AS scenario, year, count(*) AS n, round(avg(mean_cf), 6) AS mean_cf FROM v_country JOIN c USING (year) GROUP BY ALL""",
     "q46_published_rounding": """WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS q, count(*) AS n FROM lineitem GROUP BY ALL)
         SELECT q, n, CAST(round_even(q + 0.5, 0) AS DOUBLE) AS whole, CAST(round_even(q / 8, 2) AS DOUBLE) AS hundredths, CAST(round_even(q / 32 * -1, 4) AS DOUBLE) AS negative, CAST(round_even(q / 16, 3) AS DOUBLE) AS thousandths FROM t""",
     "q46b_published_tables": f"WITH {_annual()} SELECT technology, climate_ssp, year, station_idx, country, n_steps, CAST(round_even(capacity_mw, 4) AS DOUBLE) AS capacity_mw, CAST(round_even(capacity_factor, 6) AS DOUBLE) AS capacity_factor, CAST(round_even(generation_mwh, 3) AS DOUBLE) AS generation_mwh FROM v_annual",
